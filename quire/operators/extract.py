@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.fixed_values import INVOICE_NUMBER_WORDS, TAX_RATE
 from quire.functions.json import as_field_map, strict_parse
-from quire.functions.text import py_round, py_strip
+from quire.functions.text import py_float, py_round, py_strip
 from quire.schemas import LINE_ITEM
 
 _FENCE = "```"
@@ -64,7 +64,10 @@ def _typed(data: Column, fields: dict[str, str]) -> list[Column]:
     """Columns of an object VARIANT; a missing or unfit list is an empty list."""
     columns = []
     for name, kind in fields.items():
-        value = F.try_variant_get(data, f"$.{name}", kind)
+        if kind == "double":
+            value = py_float(F.try_variant_get(data, f"$.{name}", "string"))
+        else:
+            value = F.try_variant_get(data, f"$.{name}", kind)
         if kind.startswith("array"):
             value = F.coalesce(value, F.array().cast(kind))
         columns.append(value.alias(name))
