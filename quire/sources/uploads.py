@@ -2,9 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_BINARY_FILE = T.StructType.fromDDL("path string, modificationTime timestamp, length bigint, content binary")
+_BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def scan_uploads(

@@ -4,7 +4,7 @@ Rows later than the watermark are dropped by Spark and counted in the query's pr
 (``numRowsDroppedByWatermark``).
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,7 +43,8 @@ def _windowed(runs: DataFrame, labels: list[str], window: str, watermark: str, s
     return runs.withWatermark(time_col, watermark).groupBy(spans.alias("window"), *labels)
 
 
-_SPAN = [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]
+def _span() -> list[Column]:
+    return [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]
 
 
 def stream_counts(
@@ -56,7 +57,7 @@ def stream_counts(
 ) -> DataFrame:
     """Rows per time window and label set; a window is emitted once it is closed. Also runs on tables."""
     grouped = _windowed(runs, labels, window, watermark, slide, time_col)
-    return grouped.agg(F.count(F.lit(1)).alias("total")).select(*_SPAN, *labels, "total")
+    return grouped.agg(F.count(F.lit(1)).alias("total")).select(*_span(), *labels, "total")
 
 
 def stream_histogram(
@@ -72,7 +73,7 @@ def stream_histogram(
     """Cumulative histogram per time window and label set, as ``histogram``. Also runs on tables."""
     grouped = _windowed(runs, labels, window, watermark, slide, time_col)
     counted = grouped.agg(*bucket_counts(F.expr(value).cast("double"), bounds))
-    return bucket_rows(counted, bounds, [*_SPAN, *labels])
+    return bucket_rows(counted, bounds, [*_span(), *labels])
 
 
 def stream_dedup(
