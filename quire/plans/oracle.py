@@ -326,11 +326,11 @@ def histogram_parts(value: str, bounds: list[float], labels: list[str], source:
 
 FLIGHT = f"""{RUNS},
 changes AS (
-  SELECT epoch_us(start_time) AS at, 1 AS change FROM runs
+  SELECT epoch_us(start_time) AS at_us, 1 AS change FROM runs
   UNION ALL SELECT epoch_us(start_time) + CAST(floor(processing_time_ms * 1000) AS BIGINT), -1 FROM runs),
 flight AS (
-  SELECT at, CAST(sum(change) AS BIGINT) AS net,
-    CAST(sum(sum(change)) OVER (ORDER BY at) AS BIGINT) AS in_flight FROM changes GROUP BY at)"""
+  SELECT at_us, CAST(sum(change) AS BIGINT) AS net,
+    CAST(sum(sum(change)) OVER (ORDER BY at_us) AS BIGINT) AS in_flight FROM changes GROUP BY at_us)"""
 
 
 def _truth() -> str:
@@ -634,10 +634,10 @@ SELECT document_type, error_type, count(*) AS total FROM runs WHERE error_type I
 SELECT strftime(start_time, '%Y-%m-%d') AS day, count(*) AS documents,
   CAST(sum(count(*)) OVER (ORDER BY strftime(start_time, '%Y-%m-%d')) AS BIGINT) AS total_documents
 FROM runs GROUP BY 1""",
-    "documents_in_flight": f"WITH {FLIGHT} SELECT at AS at_us, net, in_flight FROM flight",
+    "documents_in_flight": f"WITH {FLIGHT} SELECT at_us, net, in_flight FROM flight",
     "peak_in_flight": f"""WITH {FLIGHT}
-SELECT at // 60000000 * 60000000 AS bucket_us, arg_min(in_flight - net, at) AS opening,
-  greatest(max(in_flight), arg_min(in_flight - net, at)) AS peak FROM flight GROUP BY 1""",
+SELECT at_us // 60000000 * 60000000 AS bucket_us, arg_min(in_flight - net, at_us) AS opening,
+  greatest(max(in_flight), arg_min(in_flight - net, at_us)) AS peak FROM flight GROUP BY 1""",
     "fields_matched": f"WITH {MATCHES} SELECT sample_id, field, kind, match FROM matches",
     "sample_accuracy": f"WITH {MATCHES} SELECT sample_id, {ACCURACY} FROM matches GROUP BY sample_id",
     "overall_accuracy": f"""WITH {MATCHES}
