@@ -9,12 +9,15 @@ from pyspark.sql import types as T
 
 from quire.fixed_values import CLASSIFY_CHARS, CLASSIFY_PROMPT, FALLBACK_PROMPT, PROMPTS, TEXT_PLACEHOLDER
 from quire.functions.sizing import hinted, is_small
-from quire.schemas import PROMPTS as PROMPTS_SCHEMA
 
 
 def prompt_registry(spark: SparkSession) -> DataFrame:
     """The built-in prompts as a table."""
-    return spark.createDataFrame(PROMPTS, PROMPTS_SCHEMA)
+    names = ["key", "version", "system", "template"]
+    slots = [[f":{name}{i}" for name in names] for i in range(len(PROMPTS))]
+    values = {f"{name}{i}": text for i, row in enumerate(PROMPTS) for name, text in zip(names, row)}
+    rows = ", ".join(f"({', '.join(slot)})" for slot in slots)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS prompts({', '.join(names)})", args=values)
 
 
 def latest_by_prefix(prompts: DataFrame) -> DataFrame:

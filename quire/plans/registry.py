@@ -425,9 +425,10 @@ def peak_in_flight(spark, sf_dir):
 
 
 def _matches(spark, sf_dir) -> DataFrame:
-    answers = _parsed(spark, sf_dir).withColumnRenamed("doc_id", "sample_id")
+    base = derived.stored_invoice_base(spark, sf_dir)
+    answers = extract.parse_model_json(derived.invoice_answers_of(base)).withColumnRenamed("doc_id", "sample_id")
     extracted = answers.select("sample_id", "prompt_version", "data")
-    return evaluate.field_matches(extracted, derived.invoice_truth(spark, sf_dir))
+    return evaluate.field_matches(extracted, derived.invoice_truth_of(base))
 
 
 @query

@@ -6,6 +6,8 @@ Every rule is deterministic and covers whole tables, so work on these inputs gro
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.paths import work_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -168,6 +170,13 @@ def invoice_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_invoice_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``invoice_base`` written once to the shared work folder, for queries that read it several times."""
+    path = work_dir(spark, "invoices")
+    invoice_base(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def invoice_answers_of(base: DataFrame) -> DataFrame:
     """Model answers about invoices: clean, fenced, after a sentence, broken, and with odd values."""
     answer = (
@@ -233,10 +242,10 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invoice_texts_of(invoice_base(spark, sf_dir))
 
 
-def invoice_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def invoice_truth_of(base: DataFrame) -> DataFrame:
     """Expected fields of every invoice, one row per field."""
     number = "CAST({} AS DOUBLE)"
-    return invoice_base(spark, sf_dir).selectExpr(
+    return base.selectExpr(
         "doc_id AS sample_id",
         "'invoice' AS document_type",
         "stack(9,"
@@ -255,7 +264,7 @@ def invoice_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_run_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Inputs of a whole run over the invoices: uploads, both engines' results and model answers."""
-    base = invoice_base(spark, sf_dir)
+    base = stored_invoice_base(spark, sf_dir)
     uploads = base.selectExpr(
         "doc_id",
         "CASE doc_id % 23 WHEN 0 THEN '' WHEN 1 THEN concat('inv', doc_id, '.docx')"
