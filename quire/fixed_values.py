@@ -39,6 +39,7 @@ SCORE_FIELDS = {
         "important": ["expiration_date", "contract_value", "key_terms", "governing_law"],
     },
 }
+LIST_FIELDS = ["line_items", "parties", "key_terms"]
 CRITICAL_WEIGHT = 0.7
 IMPORTANT_WEIGHT = 0.3
 

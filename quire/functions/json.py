@@ -20,6 +20,15 @@ def as_field_map(data: Column) -> Column:
     return data.try_cast("map<string,variant>")
 
 
+def is_object_text(text: Column) -> Column:
+    """Whether JSON text holds an object: its first character after JSON white space tells."""
+    return F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
+
+
 def is_filled(value: Column) -> Column:
-    """Neither null nor an empty string; 0, false, [] and {} count as filled."""
-    return ~F.is_variant_null(value) & F.coalesce(value.try_cast("string") != "", F.lit(True))
+    """Neither null nor an empty string; 0, false, [] and {} count as filled.
+
+    Lists and objects are recognised by a shallow cast, so their contents are never turned into text.
+    """
+    nested = value.try_cast("array<variant>").isNotNull() | value.try_cast("map<string,variant>").isNotNull()
+    return ~F.is_variant_null(value) & (nested | F.coalesce(value.try_cast("string") != "", F.lit(True)))

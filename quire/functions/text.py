@@ -14,14 +14,34 @@ def py_strip(text: Column) -> Column:
     return F.btrim(text, F.lit(PYTHON_WHITESPACE))
 
 
-def py_round(value: Column, digits: int) -> Column:
-    """Round half to even on the binary value; ``F.round`` is half-up."""
+def np_round(value: Column, digits: int) -> Column:
+    """Round as numpy does: scale, round half to even, scale back. For means."""
     scale = float(10**digits)
     return F.rint(value * F.lit(scale)) / F.lit(scale)
 
 
+def py_round(value: Column, digits: int) -> Column:
+    """Round as Python's ``round``: on the exact binary value, half to even. (``F.round`` is half-up.)
+
+    Scaling can land on a half that the exact product only comes close to. The product's rounding
+    error, computed without loss by splitting the value in two, then tells which way to go.
+    """
+    scale = F.lit(float(10**digits))
+    scaled = value * scale
+    wide = value * F.lit(134217729.0)  # 2**27 + 1: keeps the upper half of the digits
+    high = wide - (wide - value)
+    error = (high * scale - scaled) + (value - high) * scale
+    near_half = (scaled - F.floor(scaled)) == 0.5
+    whole = (
+        F.when(near_half & (error > 0), F.floor(scaled) + 1)
+        .when(near_half & (error < 0), F.floor(scaled))
+        .otherwise(F.rint(scaled))
+    )
+    return whole / scale
+
+
 def two_decimals(value: Column) -> Column:
-    """Text with two decimals, half to even."""
+    """Text with two decimals, rounded as Python does."""
     return F.format_string("%.2f", py_round(value, 2))
 
 

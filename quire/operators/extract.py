@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.fixed_values import INVOICE_NUMBER_WORDS, TAX_RATE
-from quire.functions.json import as_field_map, strict_parse
+from quire.functions.json import is_object_text, strict_parse
 from quire.functions.text import py_float, py_round, py_strip
 from quire.schemas import LINE_ITEM
 
@@ -33,30 +33,27 @@ def parse_model_json(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """
     raw = F.col(raw_col)
     kept = F.to_variant_object(F.struct(raw.alias("raw_output")))
-    parsed = F.coalesce("_strict", "_slice")
-    is_object = F.col("_fields").isNotNull()
+    path = (
+        F.when(raw.isNull(), "failed")
+        .when(F.col("_strict").isNotNull(), F.when(is_object_text(F.col("_clean")), "strict").otherwise("non_object"))
+        .when(F.col("_slice").isNotNull(), "slice")
+        .otherwise("raw")
+    )
+    data = (
+        F.when(F.col("parse_path") == "strict", F.col("_strict"))
+        .when(F.col("parse_path") == "slice", F.col("_slice"))
+        .when(F.col("parse_path") == "raw", kept)
+        .otherwise(F.parse_json(F.lit("{}")))
+    )
     return (
-        df.withColumn("_clean", _without_fences(py_strip(raw)))
+        df.withColumn("_stripped", py_strip(raw))
+        .withColumn("_clean", _without_fences(F.col("_stripped")))
         .withColumn("_strict", strict_parse(F.col("_clean")))
         .withColumn("_cut", F.when(F.col("_strict").isNull(), _outer_braces(F.col("_clean"))))
         .withColumn("_slice", strict_parse(F.col("_cut")))
-        .withColumn("_parsed", parsed)
-        .withColumn("_fields", as_field_map(F.col("_parsed")))
-        .withColumn(
-            "parse_path",
-            F.when(raw.isNull(), "failed")
-            .when(F.col("_parsed").isNull(), "raw")
-            .when(~is_object, "non_object")
-            .when(F.col("_strict").isNotNull(), "strict")
-            .otherwise("slice"),
-        )
-        .withColumn(
-            "data",
-            F.when(F.col("parse_path").isin("strict", "slice"), F.col("_parsed"))
-            .when(F.col("parse_path") == "raw", kept)
-            .otherwise(F.parse_json(F.lit("{}"))),
-        )
-        .drop("_clean", "_strict", "_cut", "_slice", "_parsed", "_fields")
+        .withColumn("parse_path", path)
+        .withColumn("data", data)
+        .drop("_stripped", "_clean", "_strict", "_cut", "_slice")
     )
 
 

@@ -14,7 +14,7 @@ from quire.fixed_values import (
     STABLE_ADVICE,
     WARNINGS_IN_TAG,
 )
-from quire.functions.text import exact_mean, py_round
+from quire.functions.text import exact_mean, np_round
 from quire.operators.score import completeness
 
 # Spark limits rows per group before the shuffle only for ranks up to this (its default setting)
@@ -81,9 +81,9 @@ def compare_prompts(runs: DataFrame, document_type: str | None = None, limit: in
         .groupBy("document_type", "prompt_version")
         .agg(
             F.count(F.lit(1)).alias("run_count"),
-            py_round(exact_mean(F.col("extraction_confidence")), 4).alias("avg_extraction_confidence"),
-            py_round(exact_mean(F.col("processing_time_ms")), 2).alias("avg_processing_time_ms"),
-            py_round(exact_mean(F.col("field_completeness")), 4).alias("avg_field_completeness"),
+            np_round(exact_mean(F.col("extraction_confidence")), 4).alias("avg_extraction_confidence"),
+            np_round(exact_mean(F.col("processing_time_ms")), 2).alias("avg_processing_time_ms"),
+            np_round(exact_mean(F.col("field_completeness")), 4).alias("avg_field_completeness"),
         )
     )
 
@@ -118,9 +118,9 @@ def check_drift(runs: DataFrame, document_type: str | None = None, window: int =
         "document_type",
         "runs",
         F.when(~enough, "insufficient_data").when(drifted, "drift_detected").otherwise("stable").alias("status"),
-        F.when(enough, py_round(F.col("_recent"), 4)).alias("recent_avg_confidence"),
-        F.when(enough, py_round(F.col("_baseline"), 4)).alias("baseline_avg_confidence"),
-        F.when(enough, py_round(drift, 4)).alias("drift_magnitude"),
+        F.when(enough, np_round(F.col("_recent"), 4)).alias("recent_avg_confidence"),
+        F.when(enough, np_round(F.col("_baseline"), 4)).alias("baseline_avg_confidence"),
+        F.when(enough, np_round(drift, 4)).alias("drift_magnitude"),
         F.when(enough, F.lit(ACCURACY_THRESHOLD)).alias("threshold"),
         F.when(enough, F.when(drifted, DRIFT_ADVICE).otherwise(STABLE_ADVICE)).alias("recommendation"),
     )
@@ -145,8 +145,8 @@ def metrics_summary(runs: DataFrame) -> DataFrame:
 
     return by_type.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_documents"),
-        py_round(ratio("confidence", "with_confidence"), 4).alias("avg_confidence"),
-        py_round(ratio("time", "with_time"), 2).alias("avg_processing_time_ms"),
+        np_round(ratio("confidence", "with_confidence"), 4).alias("avg_confidence"),
+        np_round(ratio("time", "with_time"), 2).alias("avg_processing_time_ms"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("documents_by_type"),
-        py_round(ratio("completed", "n"), 4).alias("extraction_success_rate"),
+        np_round(ratio("completed", "n"), 4).alias("extraction_success_rate"),
     )

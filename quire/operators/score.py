@@ -1,5 +1,8 @@
 """Confidence score, field counts, bands, and declared constraints."""
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,46 +13,67 @@ from quire.fixed_values import (
     EXTRACTION_STATUSES,
     IMPORTANT_WEIGHT,
     LENGTH_BANDS,
+    LIST_FIELDS,
     SCORE_FIELDS,
 )
 from quire.functions.json import as_field_map, is_filled
 from quire.functions.text import py_round, py_strip
 
 
-def score_confidence(df: DataFrame, out: str = "confidence_score") -> DataFrame:
-    """Add the share of expected fields that are filled.
+def _with_fields(df: DataFrame) -> DataFrame:
+    return df.withColumn("_fields", as_field_map(F.col("data")))
 
-    Invoices and contracts weigh critical against important fields and round to four digits; other
-    types use filled keys over all keys, unrounded. An empty object scores 0.
-    """
-    pairs = F.filter(F.map_entries("_fields"), lambda entry: is_filled(entry["value"]))
 
+def _field_filled(name: str) -> Column:
+    """1 where a top-level field is filled. Lists are recognised without turning them into text."""
+    text = F.coalesce(F.try_variant_get("data", f"$.{name}", "string") != "", F.lit(False))
+    if name in LIST_FIELDS:
+        text = F.try_variant_get("data", f"$.{name}", "array<variant>").isNotNull() | text
+    return text.cast("int")
+
+
+def _score(df: DataFrame, out: str) -> DataFrame:
     def share(names: list[str]) -> Column:
-        return F.size(F.array_intersect("_filled", F.array(*[F.lit(n) for n in names]))) / F.lit(float(len(names)))
+        return reduce(add, [_field_filled(n) for n in names]) / F.lit(float(len(names)))
 
     score = F.when(F.lit(False), F.lit(None).cast("double"))
     for kind, fields in SCORE_FIELDS.items():
         weighted = share(fields["critical"]) * CRITICAL_WEIGHT + share(fields["important"]) * IMPORTANT_WEIGHT
         score = score.when(F.col("document_type") == kind, py_round(weighted, 4))
-    score = score.otherwise(F.size("_filled") / F.greatest(F.size(F.map_keys("_fields")), F.lit(1)))
-    return (
-        df.withColumn("_fields", as_field_map(F.col("data")))
-        .withColumn("_filled", F.transform(pairs, lambda entry: entry["key"]))
-        .withColumn(out, F.coalesce(score, F.lit(0.0)))
-        .drop("_fields", "_filled")
-    )
+    filled = F.size(F.filter(F.map_values("_fields"), is_filled))
+    generic = filled / F.greatest(F.size(F.map_keys("_fields")), F.lit(1))
+    return df.withColumn(out, F.coalesce(score.otherwise(generic), F.lit(0.0)))
+
+
+def _count(df: DataFrame) -> DataFrame:
+    not_null = F.filter(F.map_values("_fields"), lambda value: ~F.is_variant_null(value))
+    return df.withColumns(
+        {
+            "fields_extracted": F.coalesce(F.size(not_null), F.lit(0)).cast("bigint"),
+            "total_fields": F.coalesce(F.size(F.map_keys("_fields")), F.lit(0)).cast("bigint"),
+        }
+    ).withColumn("field_completeness", completeness("fields_extracted", "total_fields"))
+
+
+def score_confidence(df: DataFrame, out: str = "confidence_score") -> DataFrame:
+    """Add the share of expected fields that are filled.
+
+    Invoices and contracts weigh critical against important fields and round to four digits; other
+    types use filled keys over all keys, unrounded. An empty object scores 0.
+    """
+    untyped = ~F.col("document_type").isin(list(SCORE_FIELDS))
+    opened = df.withColumn("_fields", F.when(untyped, as_field_map(F.col("data"))))
+    return _score(opened, out).drop("_fields")
 
 
 def count_fields(df: DataFrame) -> DataFrame:
     """Add ``fields_extracted`` (not null; empty text counts), ``total_fields`` and ``field_completeness``."""
-    not_null = F.filter(F.map_values("_fields"), lambda value: ~F.is_variant_null(value))
-    return (
-        df.withColumn("_fields", as_field_map(F.col("data")))
-        .withColumn("fields_extracted", F.coalesce(F.size(not_null), F.lit(0)).cast("bigint"))
-        .withColumn("total_fields", F.coalesce(F.size(F.map_keys("_fields")), F.lit(0)).cast("bigint"))
-        .withColumn("field_completeness", completeness("fields_extracted", "total_fields"))
-        .drop("_fields")
-    )
+    return _count(_with_fields(df)).drop("_fields")
+
+
+def score_and_count(df: DataFrame, out: str = "confidence_score") -> DataFrame:
+    """Both ``score_confidence`` and ``count_fields``, opening each object once."""
+    return _count(_score(_with_fields(df), out)).drop("_fields")
 
 
 def completeness(fields: str, total: str) -> Column:

@@ -10,7 +10,7 @@ from quire.operators.ingest import route_uploads
 from quire.operators.ocr import choose_engine, engine_result, flag_ocr
 from quire.operators.prompts import select_prompt
 from quire.operators.runs import log_runs
-from quire.operators.score import count_fields, score_confidence
+from quire.operators.score import score_and_count
 from quire.operators.store import build_index_rows
 
 
@@ -62,7 +62,7 @@ def process_documents(
     )
     typed = resolve_type(classify_keywords(opened, "_unclassified"))
     prompted = select_prompt(typed, prompts)
-    scored = count_fields(score_confidence(parse_model_json(prompted)))
+    scored = score_and_count(parse_model_json(prompted))
     blanked = {
         name: F.when(accepted, F.col(name))
         for name in (

@@ -30,6 +30,11 @@ def rnd(x: str, digits: int) -> str:
     return f"(round_even(({x}) * {scale}, 0) / {scale})"
 
 
+def exact(x: str, digits: int) -> str:
+    """Rounded on the exact binary value, through text."""
+    return f"CAST(printf('%.{digits}f', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
 def mean(x: str) -> str:
     return f"(CAST(sum(CAST({x} AS DECIMAL(28,10))) AS DOUBLE) / count({x}))"
 
@@ -146,7 +151,7 @@ order_items AS (
       || '  $' || {_money_text('l_extendedprice')}, chr(10) {_ORDER}) AS items_text
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey),
 order_tax AS (
-  SELECT *, CAST(round_even(CAST(subtotal AS DOUBLE) * CAST(0.085 AS DOUBLE) * 100, 0) / 100 AS DECIMAL(18,2)) AS tax
+  SELECT *, CAST({exact("CAST(subtotal AS DOUBLE) * CAST(0.085 AS DOUBLE)", 2)} AS DECIMAL(18,2)) AS tax
   FROM order_items),
 base AS (
   SELECT o_orderkey AS doc_id, o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m-%d') AS issued, vendor,
@@ -232,7 +237,7 @@ _CONTRACT_SCORE = f"({filled_sum(_CONTRACT)} / 3.0::DOUBLE * 0.7::DOUBLE + {fill
 _KEYS = "json_keys(data)"
 _FILLED_KEYS = f"len(list_filter({_KEYS}, lambda x: coalesce(json_extract_string(data, '$.' || x) <> '', false)))"
 NON_NULL_KEYS = f"len(list_filter({_KEYS}, lambda x: json_extract_string(data, '$.' || x) IS NOT NULL))"
-SCORE = f"""CASE document_type WHEN 'invoice' THEN {rnd(_INVOICE_SCORE, 4)} WHEN 'contract' THEN {rnd(_CONTRACT_SCORE, 4)}
+SCORE = f"""CASE document_type WHEN 'invoice' THEN {exact(_INVOICE_SCORE, 4)} WHEN 'contract' THEN {exact(_CONTRACT_SCORE, 4)}
     ELSE CAST({_FILLED_KEYS} AS DOUBLE) / greatest(len({_KEYS}), 1) END"""
 
 SCORED_SOURCE = f"""{ANSWERS},{CONTRACT_ANSWERS},
@@ -274,7 +279,7 @@ scored AS (
   FROM query_vectors CROSS JOIN index_rows WHERE {where}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM scored)
 SELECT query_id, rank, id, substr(text, 1, 200) || '...' AS text_preview, document_type,
-  {rnd('distance', 6)} AS distance FROM ranked WHERE rank <= {k}"""
+  {exact('distance', 6)} AS distance FROM ranked WHERE rank <= {k}"""
 
 
 def recent(n: int, where: str = "true") -> str:
@@ -318,7 +323,7 @@ def histogram_parts(value: str, bounds: list[float], labels: list[str], source:
     rows = [(str(b), f"v <= {b!r}::DOUBLE") for b in bounds] + [("+Inf", "v IS NOT NULL")]
     parts = [
         f"SELECT {names}, '{le}' AS le, CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS cumulative_count,"
-        f" count(v) AS total_count, {rnd('coalesce(sum(v), 0)', 4)} AS total_sum FROM valued GROUP BY {names}"
+        f" count(v) AS total_count, {exact('coalesce(sum(v), 0)', 4)} AS total_sum FROM valued GROUP BY {names}"
         for le, cond in rows
     ]
     return f"WITH {source}, valued AS (SELECT *, CAST({value} AS DOUBLE) AS v FROM runs)\n" + "\nUNION ALL ".join(parts)
@@ -364,7 +369,7 @@ matches AS (
 
 ACCURACY = (
     "CAST(count(*) FILTER (WHERE match) AS BIGINT) AS correct, count(*) AS total, "
-    + rnd("CAST(count(*) FILTER (WHERE match) AS DOUBLE) / greatest(count(*), 1)", 4)
+    + exact("CAST(count(*) FILTER (WHERE match) AS DOUBLE) / greatest(count(*), 1)", 4)
     + " AS accuracy"
 )
 
@@ -386,7 +391,7 @@ read AS (
   SELECT *, p_text IS NULL OR (p_conf < 0.7::DOUBLE AND coalesce(a_conf, 0) > p_conf) AS alternate FROM uploads),
 picked AS (
   SELECT *, {strip("coalesce(CASE WHEN alternate THEN a_text ELSE p_text END, '')")} AS raw_text,
-    {rnd('coalesce(CASE WHEN alternate THEN a_conf ELSE p_conf END, 0)', 4)} AS ocr_confidence,
+    {exact('coalesce(CASE WHEN alternate THEN a_conf ELSE p_conf END, 0)', 4)} AS ocr_confidence,
     CASE WHEN NOT alternate THEN 'tesseract' WHEN a_text IS NOT NULL THEN 'doctr' ELSE 'none' END AS engine_used
   FROM read),
 coded AS (
@@ -418,7 +423,7 @@ results AS (
     CASE WHEN status_code = 200 THEN CAST({NON_NULL_KEYS} AS BIGINT) END AS fields_extracted,
     CASE WHEN status_code = 200 THEN CAST(len({_KEYS}) AS BIGINT) END AS total_fields,
     CASE WHEN status_code = 200 AND ocr_confidence < 0.7::DOUBLE THEN 'Low OCR confidence ('
-      || printf('%.2f', {rnd('ocr_confidence', 2)}) || '). Results may be inaccurate.' ELSE '' END AS warnings
+      || printf('%.2f', ocr_confidence) || '). Results may be inaccurate.' ELSE '' END AS warnings
   FROM parsed)"""
 
 RESULT_ROWS = f"""WITH {RESULTS}
@@ -475,7 +480,7 @@ SELECT doc_id, extension, CAST(CASE WHEN name = '' OR bad THEN 400 WHEN size > 5
 judged AS (SELECT *, {strip('raw_text')} = '' AS blank FROM blanked)
 SELECT doc_id, CAST(CASE WHEN blank THEN 422 ELSE 200 END AS BIGINT) AS status_code,
   CASE WHEN blank THEN {text(BLANK_TEXT)} END AS reason,
-  CASE WHEN NOT blank AND confidence < 0.7::DOUBLE THEN 'Low OCR confidence (' || printf('%.2f', {rnd('confidence', 2)})
+  CASE WHEN NOT blank AND confidence < 0.7::DOUBLE THEN 'Low OCR confidence (' || printf('%.2f', confidence)
     || '). Results may be inaccurate.' ELSE '' END AS warnings FROM judged""",
     "text_assembled": f"""WITH {words()},
 line_texts AS (SELECT doc_id, page, line, string_agg(value, ' ' ORDER BY word) AS line_text FROM words GROUP BY ALL),
@@ -494,11 +499,11 @@ SELECT doc_id, 'tesseract' AS engine,
   count(*) AS page_count FROM all_pages GROUP BY doc_id""",
     "confidence_by_page": f"""WITH {words()}, {PAGES},
 by_page AS (SELECT doc_id, page, avg(conf) / 100 AS c FROM words WHERE conf > 0 GROUP BY ALL)
-SELECT b.doc_id, 'tesseract' AS engine, {rnd('least(sum(coalesce(c, 0)) / count(*), 1)', 4)} AS confidence,
+SELECT b.doc_id, 'tesseract' AS engine, {exact('least(sum(coalesce(c, 0)) / count(*), 1)', 4)} AS confidence,
   count(*) AS page_count
 FROM blank_pages b LEFT JOIN by_page p ON b.doc_id = p.doc_id AND b.page = p.page GROUP BY b.doc_id""",
     "confidence_by_word": f"""WITH {words(37)}
-SELECT doc_id, 'doctr' AS engine, {rnd('avg(greatest(conf, 0) / 128)', 4)} AS confidence, count(conf) AS word_count
+SELECT doc_id, 'doctr' AS engine, {exact('avg(greatest(conf, 0) / 128)', 4)} AS confidence, count(conf) AS word_count
 FROM words GROUP BY doc_id""",
     "ocr_reconciled": f"""WITH {ENGINES}, both_engines AS (
   SELECT coalesce(p.doc_id, a.doc_id) AS doc_id, p.raw_text AS p_text, p.confidence AS p_conf, a.raw_text AS a_text,
@@ -506,7 +511,7 @@ FROM words GROUP BY doc_id""",
     p.raw_text IS NULL OR (p.confidence < 0.7::DOUBLE AND coalesce(a.confidence, 0) > p.confidence) AS alternate
   FROM primary_engine p FULL JOIN alternate_engine a ON p.doc_id = a.doc_id)
 SELECT doc_id, {strip('CASE WHEN alternate THEN a_text ELSE p_text END')} AS raw_text,
-  {rnd('CASE WHEN alternate THEN a_conf ELSE p_conf END', 4)} AS confidence,
+  {exact('CASE WHEN alternate THEN a_conf ELSE p_conf END', 4)} AS confidence,
   CASE WHEN alternate THEN 'doctr' ELSE 'tesseract' END AS engine_used, page_count FROM both_engines""",
     "classified_by_keywords": f"WITH {TYPED} SELECT doc_id, {keyword_case('raw_text')} AS classified_type FROM typed",
     "classified_from_answers": f"""WITH {TYPED} SELECT doc_id, CASE {' '.join(
@@ -555,12 +560,12 @@ _TOTALS = f"""{_ITEMS},
 sums AS (
   SELECT doc_id, CAST(coalesce(sum(CAST(total AS DECIMAL(28,8))), 0) AS DOUBLE) AS subtotal, count(item_no) AS item_count
   FROM items GROUP BY doc_id),
-taxed AS (SELECT *, {rnd('subtotal * 0.085::DOUBLE', 2)} AS tax FROM sums),
-totals AS (SELECT *, {rnd('subtotal + tax', 2)} AS total FROM taxed)"""
+taxed AS (SELECT *, {exact('subtotal * 0.085::DOUBLE', 2)} AS tax FROM sums),
+totals AS (SELECT *, {exact('subtotal + tax', 2)} AS total FROM taxed)"""
 
 
 def _close(stated: str, computed: str) -> str:
-    return f"coalesce({rnd(f'abs(TRY_CAST({field(stated)} AS DOUBLE) - {computed})', 6)} <= 0.01::DOUBLE, false)"
+    return f"coalesce({exact(f'abs(TRY_CAST({field(stated)} AS DOUBLE) - {computed})', 6)} <= 0.01::DOUBLE, false)"
 
 
 def _found(pattern: str, strip_to_comma: bool = False) -> str:

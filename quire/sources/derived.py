@@ -6,7 +6,9 @@ Every rule is deterministic and covers whole tables, so work on these inputs gro
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.fixed_values import TAX_RATE
 from quire.functions.paths import work_dir
+from quire.functions.text import py_round
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,10 +125,17 @@ def typed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invoice_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One invoice per order with lines: parties, items (as JSON and as text) and amounts."""
+    """One invoice per order with lines: parties, items (as JSON and as text) and amounts.
+
+    Lines are placed by order while they are still a few numbers; their texts are built after that, and
+    the grouping finds them in place.
+    """
     money = "CAST({} AS DECIMAL(18,2))"
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
     lines = (
         table(spark, sf_dir, "lineitem")
+        .select(columns)
+        .repartition("l_orderkey")
         .join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), F.expr("l_partkey = p_partkey"))
         .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.expr("l_suppkey = s_suppkey"))
         .selectExpr(
@@ -161,8 +170,8 @@ def invoice_base(spark: SparkSession, sf_dir: str) -> DataFrame:
             "array_join(items.json, ',') AS items_json",
             "array_join(items.line, '\n') AS items_text",
             "subtotal",
-            "CAST(rint(CAST(subtotal AS DOUBLE) * 0.085D * 100) / 100 AS DECIMAL(18,2)) AS tax",
         )
+        .withColumn("tax", py_round(F.col("subtotal").cast("double") * TAX_RATE, 2).cast("decimal(18,2)"))
         .selectExpr("*", "CAST(subtotal + tax AS DECIMAL(18,2)) AS total")
         .selectExpr(
             "*", "CAST(total + CASE WHEN doc_id % 17 = 0 THEN 1.00 ELSE 0.00 END AS DECIMAL(18,2)) AS stated_total"
