@@ -89,7 +89,7 @@ def top_k_batches(
         if batch.num_rows == 0:
             continue
         docs = unit_rows(matrix_of(batch.column("embedding"), width))
-        distance = np.round(1.0 - docs @ units.T, DISTANCE_DIGITS)
+        distance = np.round(1.0 - docs @ units.T, DISTANCE_DIGITS) + 0.0  # no negative zero
         if probes is not None:
             distance[~probed[:, batch.column("cell").to_numpy()].T] = np.inf
         id_place = np.empty(batch.num_rows, dtype=np.int64)

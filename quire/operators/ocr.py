@@ -21,10 +21,10 @@ def assemble_text(words: DataFrame, pages: DataFrame | None = None) -> DataFrame
     """One row per document and engine: words to lines, lines to pages, pages to ``raw_text``.
 
     Grouping goes up level by level, so a document with very many words is spread over its pages and
-    only finished page texts meet. One shuffle by page serves both the line and the page level.
+    only finished page texts meet. One shuffle by document and page serves both the line and the page level.
     With ``pages`` given, pages without words count as empty pages.
     """
-    lines = words.repartition(*_PAGE).groupBy(_LINE).agg(_joined(["word"], "value", " ").alias("line_text"))
+    lines = words.repartition("doc_id", "page").groupBy(_LINE).agg(_joined(["word"], "value", " ").alias("line_text"))
     texts = lines.groupBy(_PAGE).agg(_joined(["block", "line"], "line_text", "\n").alias("page_text"))
     if pages is not None:
         texts = pages.select(_PAGE).join(texts, _PAGE, "left").fillna("", ["page_text"])

@@ -77,10 +77,12 @@ def render_prompts(
 
 def render_classification(df: DataFrame, prompts: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """Add ``system`` and ``prompt`` that ask for the type; the question shows only the head of the text."""
-    asked = df.withColumn("prompt_key", F.lit(CLASSIFY_PROMPT))
-    asked = _look_up(asked, prompts, {"system": "system", "template": "_template"}, is_small(prompts))
+    row = prompts.where(F.col("key") == CLASSIFY_PROMPT).first()  # one prompt for all rows: no join needed
+    if row is None:
+        raise ValueError(f"no prompt {CLASSIFY_PROMPT}")
     head = F.substring(F.coalesce(text_col, F.lit("")), 1, CLASSIFY_CHARS)
-    return asked.withColumn("prompt", F.replace(F.col("_template"), F.lit(TEXT_PLACEHOLDER), head)).drop("_template")
+    prompt = F.replace(F.lit(row["template"]), F.lit(TEXT_PLACEHOLDER), head)
+    return df.withColumns({"prompt_key": F.lit(CLASSIFY_PROMPT), "system": F.lit(row["system"]), "prompt": prompt})
 
 
 def apply_model(

@@ -12,7 +12,7 @@ def scan_uploads(
     """Files below ``path``: path, filename, extension, size, modified [, content].
 
     Without ``with_content`` no file is opened; only the listing is used. Further folders below ``path``
-    are included. ``stream`` gives a stream of newly arriving files.
+    are included; Spark's reader leaves out empty files. ``stream`` gives a stream of newly arriving files.
     """
     reader = spark.readStream.schema(_BINARY_FILE) if stream else spark.read
     reader = reader.format("binaryFile").option("recursiveFileLookup", "true")
