@@ -14,13 +14,10 @@ from quire.fixed_values import (
     STABLE_ADVICE,
     WARNINGS_IN_TAG,
 )
+from quire.functions.ranking import first_per_group
 from quire.functions.text import exact_mean, np_round
 from quire.operators.score import completeness
 
-# Spark limits rows per group before the shuffle only for ranks up to this (its default setting)
-_GROUP_LIMIT = 1000
-_SALTS = 64
-
 
 def log_runs(extractions: DataFrame, pipeline: str = "document-extraction") -> DataFrame:
     """Add ``field_completeness`` and ``tags`` to extraction rows."""
@@ -37,8 +34,12 @@ def log_runs(extractions: DataFrame, pipeline: str = "document-extraction") -> D
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
-    """Append to the run log, one folder per document type so that a type filter prunes files."""
-    runs.write.mode("append").partitionBy("document_type").parquet(path)
+    """Append to the run log, one folder per document type so that a type filter prunes files.
+
+    Rebalancing gives files of even size: small types are merged, a dominant one is split.
+    """
+    even = runs.hint("rebalance", F.col("document_type"))
+    even.write.mode("append").partitionBy("document_type").parquet(path)
 
 
 def latest_runs(runs: DataFrame, document_type: str, n: int) -> DataFrame:
@@ -48,19 +49,9 @@ def latest_runs(runs: DataFrame, document_type: str, n: int) -> DataFrame:
 
 
 def latest_runs_per_type(runs: DataFrame, n: int) -> DataFrame:
-    """The newest ``n`` runs of every type, numbered from 1 in ``recency``.
-
-    Up to 1000 Spark drops surplus rows in each task before the shuffle. For more, runs are first ranked
-    in 64 parts of each type, so that a type holding most of the log is not sorted by one task.
-    """
+    """The newest ``n`` runs of every type, numbered from 1 in ``recency``."""
     newest = [F.col("start_time").desc(), F.col("run_id").desc()]
-    if n > _GROUP_LIMIT:
-        part = F.pmod(F.xxhash64("run_id"), F.lit(_SALTS))
-        in_part = Window.partitionBy("document_type", "_part").orderBy(*newest)
-        runs = runs.withColumn("_part", part).withColumn("recency", F.row_number().over(in_part))
-        runs = runs.where(F.col("recency") <= n).drop("_part", "recency")
-    ranked = runs.withColumn("recency", F.row_number().over(Window.partitionBy("document_type").orderBy(*newest)))
-    return ranked.where(F.col("recency") <= n)
+    return first_per_group(runs, ["document_type"], newest, n, spread_by="run_id", rank="recency")
 
 
 def _recent(runs: DataFrame, document_type: str | None, n: int) -> DataFrame:

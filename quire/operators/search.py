@@ -7,12 +7,13 @@ from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline as Stages
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.fixed_values import PREVIEW_CHARS, SEARCH_K, SEARCH_K_RANGE
 from quire.functions.paths import work_dir
+from quire.functions.ranking import first_per_group
 from quire.functions.vectors import cells_of, hyperplanes, matrix_of, nearest_cells, top_k_batches
 
 QUERY_BLOCK = 512
@@ -68,12 +69,9 @@ def _scored(docs: DataFrame, ids: list, vectors: np.ndarray, id_type, k: int, pr
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
-    nearest = Window.partitionBy("query_id").orderBy("distance", "id")
-    return (
-        hits.withColumn("rank", F.row_number().over(nearest))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "id", "text_preview", "metadata", "distance")
-    )
+    nearest = [F.col("distance"), F.col("id")]
+    ranked = first_per_group(hits, ["query_id"], nearest, k, spread_by="id", rank="rank")
+    return ranked.select("query_id", "rank", "id", "text_preview", "metadata", "distance")
 
 
 def _candidates(docs: DataFrame, document_type: str | None, *more: str) -> DataFrame:
@@ -125,8 +123,12 @@ def assign_cells(docs: DataFrame, width: int, bits: int = 6, seed: int = 7) -> D
 
 
 def write_search_index(docs: DataFrame, path: str, width: int, bits: int = 6, seed: int = 7) -> None:
-    """Store documents by cell, so that a search reads only the folders of the cells it probes."""
-    assign_cells(docs, width, bits, seed).write.partitionBy("cell").parquet(path)
+    """Store documents by cell, so that a search reads only the folders of the cells it probes.
+
+    Rebalancing keeps the number of files small and splits a cell that holds very many documents.
+    """
+    placed = assign_cells(docs, width, bits, seed).hint("rebalance", F.col("cell"))
+    placed.write.partitionBy("cell").parquet(path)
 
 
 def search_approx(

@@ -36,8 +36,9 @@ def test_newest_rows_are_cut_before_the_shuffle(log, spark, sf_dir):
         assert "WindowGroupLimit" in text and "Partial" in text
 
 
-def test_drift_shuffles_once(log):
-    assert exchanges(runs.check_drift(log)) == 1
+def test_drift_shuffles_only_cut_rows(log):
+    text = plan(runs.check_drift(log))
+    assert text.count("Exchange hashpartitioning") == 2 and text.count("Partial") == 2
 
 
 def test_one_type_takes_the_newest_without_a_full_sort(log):
@@ -103,3 +104,14 @@ def test_an_id_written_very_often_is_reduced_early(spark):
     )
     result = store.upsert_documents(hot.limit(0), hot)
     assert result.where("id = 7").first()["seq"] == 29997 and result.count() == 20000
+
+
+def test_documents_without_updates_are_not_shuffled(spark, sf_dir, monkeypatch):
+    current, updates = derived.stored_documents(spark, sf_dir), derived.document_updates(spark, sf_dir)
+    small = store.upsert_documents(current, updates)
+    assert "BroadcastHashJoin [id" in plan(small) and "LeftAnti" in plan(small)
+    monkeypatch.setattr(store, "is_small", lambda ids: False)
+    large = store.upsert_documents(current, updates)
+    assert "LeftAnti" not in plan(large)
+    columns = ["id", "seq", "text"]
+    assert sorted(map(tuple, small.select(columns).collect())) == sorted(map(tuple, large.select(columns).collect()))
