@@ -11,17 +11,12 @@ _ZERO = r"^-?0(\.0*)?([eE][+-]?\d+)?$"
 _QUOTE = '"'
 
 
-def _shown(data: Column) -> Column:
-    """Top-level values as text: JSON, but for strings the plain string after one quote mark.
-
-    Plain texts are smaller in a shuffle than VARIANT values, each of which carries its own key table.
-    """
-
-    def text(_, value: Column) -> Column:
-        json = F.to_json(value)
-        return F.when(json.startswith(_QUOTE), F.concat(F.lit(_QUOTE), value.try_cast("string"))).otherwise(json)
-
-    return F.transform_values(as_field_map(data), text)
+def _plain(json: Column) -> Column:
+    """The text of a JSON value: strings without quotes, null as null, all else as written."""
+    inner = F.substring(json, F.lit(2), F.length(json) - 2)
+    escaped = F.try_parse_json(json).try_cast("string")
+    text = F.when(json.contains("\\"), escaped).otherwise(inner)
+    return F.when(json.startswith(_QUOTE), text).otherwise(F.nullif(json, F.lit("null")))
 
 
 def _matches() -> Column:
@@ -31,7 +26,7 @@ def _matches() -> Column:
     field agrees with an expected 0.
     """
     shown = F.col("_value")
-    empty = shown.isNull() | shown.isin("null", "false", _QUOTE, "[]", "{}") | shown.rlike(_ZERO)
+    empty = shown.isNull() | shown.isin("null", "false", '""', "[]", "{}") | shown.rlike(_ZERO)
     text = F.when(empty, "").otherwise(F.coalesce("extracted", F.lit("")))
     number = F.when(empty, 0.0).when(shown == "true", 1.0).otherwise(py_float(F.col("extracted")))
     same_text = F.lower(py_strip(text)) == F.lower(py_strip(F.col("expected_text")))
@@ -51,15 +46,14 @@ def field_matches(extracted: DataFrame, ground_truth: DataFrame) -> DataFrame:
     """
     items = F.size(F.try_variant_get("data", "$.line_items", "array<variant>"))
     carried = [c for c in ("prompt_version",) if c in extracted.columns]
-    side = extracted.select(
-        "sample_id", *carried, _shown(F.col("data")).alias("_values"), F.coalesce(items, F.lit(0)).alias("_items")
-    )
+    # JSON texts are smaller in the shuffle than VARIANT values, each of which carries its own key table
+    values = F.transform_values(as_field_map(F.col("data")), lambda _, value: F.to_json(value))
+    side = extracted.select("sample_id", *carried, values.alias("_values"), F.coalesce(items, F.lit(0)).alias("_items"))
     joined = ground_truth.join(side, "sample_id", "left").fillna(0, ["_items"])
     valued = joined.withColumn("_value", F.try_element_at("_values", F.col("field")))
-    plain = F.when(F.col("_value").startswith(_QUOTE), F.expr("substring(_value, 2)")).otherwise(
-        F.nullif("_value", F.lit("null"))
+    return valued.withColumn("extracted", _plain(F.col("_value"))).withColumn("match", _matches()).drop(
+        "_values", "_items", "_value"
     )
-    return valued.withColumn("extracted", plain).withColumn("match", _matches()).drop("_values", "_items", "_value")
 
 
 def _accuracy() -> list[Column]:

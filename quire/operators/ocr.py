@@ -67,7 +67,8 @@ def choose_engine(primary: str, alternate: str, threshold: float = OCR_CONFIDENC
     """
     p, a = F.col(primary), F.col(alternate)
     failed = p["raw_text"].isNull()
-    better = (p["confidence"] < threshold) & (F.coalesce(a["confidence"], F.lit(0.0)) > p["confidence"])
+    weak = p["confidence"] < threshold
+    better = weak & a["raw_text"].isNotNull() & (F.coalesce(a["confidence"], F.lit(0.0)) > p["confidence"])
     chosen = F.when(failed | better, a).otherwise(p)
     return {
         "raw_text": py_strip(F.coalesce(chosen["raw_text"], F.lit(""))),

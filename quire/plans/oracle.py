@@ -91,14 +91,14 @@ blank_pages AS (
 
 ENGINES = """
 primary_engine AS (
-  SELECT doc_id, 'tesseract' AS engine, text AS raw_text, CAST(doc_id * 31 % 128 AS DOUBLE) / 128 AS confidence,
+  SELECT doc_id, CASE WHEN lang <> 'es' THEN text END AS raw_text, CAST(doc_id * 31 % 128 AS DOUBLE) / 128 AS confidence,
     CAST((len(string_split(text, chr(10))) - 1) // 5 + 1 AS BIGINT) AS page_count
-  FROM documents WHERE lang <> 'es'),
+  FROM documents),
 alternate_engine AS (
-  SELECT doc_id, 'doctr' AS engine, '  ' || text || chr(10) AS raw_text,
+  SELECT doc_id, CASE WHEN lang <> 'de' THEN '  ' || text || chr(10) END AS raw_text,
     CAST(doc_id * 37 % 128 AS DOUBLE) / 128 AS confidence,
     CAST((len(string_split(text, chr(10))) - 1) // 5 + 1 AS BIGINT) AS page_count
-  FROM documents WHERE lang <> 'de')"""
+  FROM documents)"""
 
 TYPED = """
 typed AS (
@@ -477,7 +477,7 @@ SELECT doc_id, extension, CAST(CASE WHEN name = '' OR bad THEN 400 WHEN size > 5
     "ocr_flagged": f"""WITH {ENGINES}, blanked AS (
   SELECT doc_id, confidence, CASE WHEN doc_id % 10 = 0 THEN ' ' || chr(10) || chr(9) || chr(160) ELSE raw_text END AS raw_text
   FROM primary_engine),
-judged AS (SELECT *, {strip('raw_text')} = '' AS blank FROM blanked)
+judged AS (SELECT *, {strip("coalesce(raw_text, '')")} = '' AS blank FROM blanked)
 SELECT doc_id, CAST(CASE WHEN blank THEN 422 ELSE 200 END AS BIGINT) AS status_code,
   CASE WHEN blank THEN {text(BLANK_TEXT)} END AS reason,
   CASE WHEN NOT blank AND confidence < 0.7::DOUBLE THEN 'Low OCR confidence (' || printf('%.2f', confidence)
@@ -506,10 +506,11 @@ FROM blank_pages b LEFT JOIN by_page p ON b.doc_id = p.doc_id AND b.page = p.pag
 SELECT doc_id, 'doctr' AS engine, {exact('avg(greatest(conf, 0) / 128)', 4)} AS confidence, count(conf) AS word_count
 FROM words GROUP BY doc_id""",
     "ocr_reconciled": f"""WITH {ENGINES}, both_engines AS (
-  SELECT coalesce(p.doc_id, a.doc_id) AS doc_id, p.raw_text AS p_text, p.confidence AS p_conf, a.raw_text AS a_text,
-    a.confidence AS a_conf, coalesce(p.page_count, a.page_count) AS page_count,
-    p.raw_text IS NULL OR (p.confidence < 0.7::DOUBLE AND coalesce(a.confidence, 0) > p.confidence) AS alternate
-  FROM primary_engine p FULL JOIN alternate_engine a ON p.doc_id = a.doc_id)
+  SELECT p.doc_id, p.raw_text AS p_text, p.confidence AS p_conf, a.raw_text AS a_text,
+    a.confidence AS a_conf, p.page_count,
+    p.raw_text IS NULL OR (p.confidence < 0.7::DOUBLE AND a.raw_text IS NOT NULL AND a.confidence > p.confidence)
+      AS alternate
+  FROM primary_engine p JOIN alternate_engine a ON p.doc_id = a.doc_id)
 SELECT doc_id, {strip('CASE WHEN alternate THEN a_text ELSE p_text END')} AS raw_text,
   {exact('CASE WHEN alternate THEN a_conf ELSE p_conf END', 4)} AS confidence,
   CASE WHEN alternate THEN 'doctr' ELSE 'tesseract' END AS engine_used, page_count FROM both_engines""",

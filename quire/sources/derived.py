@@ -91,15 +91,16 @@ def pages_of_words(spark: SparkSession, sf_dir: str, engine: str = "tesseract")
 
 
 def engine_results(spark: SparkSession, sf_dir: str, alternate: bool) -> DataFrame:
-    """One engine's result per document it could read.
+    """One engine's result per document; no text where it failed.
 
-    Neither engine reads every language: the first has no Spanish, the second no German.
+    Neither engine reads every language: the first fails on Spanish, the second on German.
     """
     lang, engine, step = ("de", "doctr", 37) if alternate else ("es", "tesseract", 31)
-    return table(spark, sf_dir, "documents").where(F.col("lang") != lang).selectExpr(
+    text = "concat('  ', text, '\n')" if alternate else "text"
+    return table(spark, sf_dir, "documents").selectExpr(
         "doc_id",
         f"'{engine}' AS engine",
-        "concat('  ', text, '\n') AS raw_text" if alternate else "text AS raw_text",
+        f"CASE WHEN lang <> '{lang}' THEN {text} END AS raw_text",
         f"CAST(doc_id * {step} % 128 AS DOUBLE) / 128 AS confidence",
         "CAST((size(split(text, '\n')) - 1) div 5 + 1 AS BIGINT) AS page_count",
     )

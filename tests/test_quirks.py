@@ -193,12 +193,12 @@ def test_weak_and_blank_text(spark):
 
 def test_engine_choice(spark):
     kind = "doc_id long, engine string, raw_text string, confidence double, page_count long"
-    primary = spark.createDataFrame([(1, "p", "a", 0.9, 1), (2, "p", "a", 0.5, 1), (3, "p", "a", 0.5, 1), (4, "p", None, None, 2), (6, "p", " a\n", 0.69996, 1)], kind)
-    alternate = spark.createDataFrame([(1, "q", "b", 1.0, 1), (2, "q", "b", 0.5, 1), (3, "q", "b", 0.51, 1), (5, "q", "b", 0.2, 3)], kind)
+    primary = spark.createDataFrame([(1, "p", "a", 0.9, 1), (2, "p", "a", 0.5, 1), (3, "p", "a", 0.5, 1), (4, "p", None, None, 2), (6, "p", " a\n", 0.69996, 1), (7, "p", "a", 0.1, 1)], kind)
+    alternate = spark.createDataFrame([(1, "q", "b", 1.0, 1), (2, "q", "b", 0.5, 1), (3, "q", "b", 0.51, 1), (5, "q", "b", 0.2, 3), (7, "q", None, 0.9, 1)], kind)
     rows = {r["doc_id"]: (r["engine_used"], r["raw_text"], r["confidence"]) for r in ocr.reconcile_ocr(primary, alternate).collect()}
     assert rows == {
         1: ("p", "a", 0.9), 2: ("p", "a", 0.5), 3: ("q", "b", 0.51), 4: ("none", "", 0.0), 5: ("q", "b", 0.2),
-        6: ("p", "a", 0.7),
+        6: ("p", "a", 0.7), 7: ("p", "a", 0.1),
     }
 
 
