@@ -7,7 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import table
+from pyspark.sql import functions as F
+
+from quire.llm.common import fixed, table, text_or_empty
+from quire.llm.mixing import mix_sources
+from quire.llm.sharding import SHARDS, record_size, shuffle_into_shards
 from quire.llm.token_counts import count_tokens
 
 
@@ -25,8 +29,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        record_size().alias("size"),
+        F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
+    )
+    keys = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    placed = shuffle_into_shards(fixed(digests, "digests"), keys, F.col("size"), SHARDS)
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op8_source_mix": op8_source_mix,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE: dict[str, str] = {}
