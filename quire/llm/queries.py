@@ -14,6 +14,7 @@ from quire.llm.exact_dedup import drop_copies
 from quire.llm.mixing import mix_sources
 from quire.llm.sharding import SHARDS, record_size, shuffle_into_shards
 from quire.llm.token_counts import count_tokens
+from quire.llm.url_filter import RULES, judge_urls, rule_table
 
 
 def tokenizer_file(name: str) -> str:
@@ -30,6 +31,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_copies(table(spark, sf_dir, "documents"))
 
@@ -51,12 +56,50 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_source_mix": op8_source_mix,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE: dict[str, str] = {
+    "op5_url_filter": r"""
+        with recursive rules(action, rule, h, p) as (
+          values ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+                 ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')
+        ), cut as (
+          select page_id, html, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages
+        ), p0 as (
+          select page_id, html, coalesce(lower(regexp_extract(rest, '^[^/?#]*')), '') as host,
+                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path,
+                 lower(split_part(url, '://', 1)) || '://' || lower(regexp_extract(rest, '^[^/?#]*'))
+                   || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as node
+          from cut
+        ), links as (
+          select node, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+                                      '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) as link from p0
+          union all
+          select node, regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+                                      '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) as link from p0
+        ), edge as (  -- absolute links; the given pages have no others
+          select node as a, regexp_extract(link, '^[^#]*') as b from links where link like '%://%'
+        ), both_ways as (select a, b from edge union select b, a from edge
+        ), reach(a, b) as (
+          select distinct node, node from p0 where node is not null
+          union select r.a, e.b from reach r join both_ways e on r.b = e.a
+        ), named as (
+          select p0.page_id, p0.host, p0.path, p0.node, arg_max(rules.rule, length(rules.rule)) as rule,
+                 arg_max(rules.action, length(rules.rule)) as action
+          from p0 left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+          group by all
+        ), spread as (
+          select r.a, bool_or(n.action = 'allow') as any_allow, bool_or(n.action = 'block') as any_block
+          from reach r join named n on n.node = r.b group by 1
+        )
+        select page_id, host, path, rule,
+               case when action is not null then action when any_allow then 'allow' when any_block then 'block' else 'allow' end as verdict
+        from named left join spread on spread.a = named.node
+    """,
     "op6_exact_dedup": r"""
         with n as (
           select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents
