@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import fixed, table, text_or_empty
 from quire.llm.exact_dedup import drop_copies
+from quire.llm.html_text import extract_main_text
 from quire.llm.mixing import mix_sources
 from quire.llm.sharding import SHARDS, record_size, shuffle_into_shards
 from quire.llm.token_counts import count_tokens
@@ -43,6 +44,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_source_mix": op8_source_mix,
+    "op9_html_text": op9_html_text,
     "op10_sharding": op10_sharding,
 }
 
