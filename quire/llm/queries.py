@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import fixed, table, text_or_empty
+from quire.llm.decontam import contaminated
 from quire.llm.exact_dedup import drop_copies
 from quire.llm.html_text import extract_main_text
 from quire.llm.mixing import mix_sources
@@ -32,6 +33,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
@@ -61,6 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_source_mix": op8_source_mix,
@@ -69,6 +75,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_decontamination": r"""
+        with masks(m, tail) as (
+          values (0, [1, 2, 3, 5, 6, 9, 10, 11]), (1, [1, 2, 4, 5, 7, 8, 10, 11]),
+                 (2, [1, 3, 4, 6, 7, 8, 9, 11]), (3, [1, 2, 3, 4, 8, 9, 10, 11])
+        ), d0 as (
+          select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') as w from documents
+        ), i0 as (
+          select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') as w from benchmark
+        ), items as (
+          select min(item_id) as item_id, w from i0 where len(w) > 0 group by w
+        ), at_doc as (
+          select doc_id, w, unnest(range(len(w))) as place from d0
+        ), at_item as (
+          select item_id, w, unnest(range(len(w) - 10)) as place from items where len(w) >= 11
+        ), in_doc as (
+          select doc_id, w, place, m, list_transform(tail, lambda i: w[place + i]) as seed
+          from at_doc, masks where place + 11 <= len(w)
+        ), in_item as (
+          select min(item_id) as item_id, list_slice(w, greatest(place - 5, 0) + 1, least(place + 16, len(w))) as context,
+                 place - greatest(place - 5, 0) as off, m, list_transform(tail, lambda i: w[place + i]) as seed
+          from at_item, masks group by context, off, m, seed
+        ), long_hits as (
+          select doc_id, item_id, place, len(context) as n_context,
+                 len(list_filter(range(len(context)), lambda i: place - off + i >= 0 and coalesce(d.w[place - off + i + 1] = context[i + 1], false))) as n_equal
+          from in_doc d join in_item using (m, seed)
+        ), short_hits as (
+          select doc_id, item_id, place, len(i.w) as n_context, len(i.w) as n_equal
+          from at_doc d join items i on len(i.w) < 11 and list_slice(d.w, place + 1, place + len(i.w)) = i.w
+        ), hits as (
+          select * from (select * from long_hits union all select * from short_hits) where n_equal * 100 >= n_context * 80
+        )
+        select doc_id, item_id, count(*) as n_hits, max({s: n_equal / n_context, c: n_context, e: n_equal}).e as n_equal,
+               max({s: n_equal / n_context, c: n_context, e: n_equal}).c as n_context, min(place) as first_place
+        from hits group by all
+    """,
     "op5_url_filter": r"""
         with recursive rules(action, rule, h, p) as (
           values ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
