@@ -14,6 +14,7 @@ from quire.llm.decontam import contaminated
 from quire.llm.exact_dedup import drop_copies
 from quire.llm.html_text import extract_main_text
 from quire.llm.mixing import mix_sources
+from quire.llm.near_dedup import near_duplicates
 from quire.llm.sharding import SHARDS, record_size, shuffle_into_shards
 from quire.llm.token_counts import count_tokens
 from quire.llm.url_filter import RULES, judge_urls, rule_table
@@ -45,6 +46,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_copies(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_html_text": op9_html_text,
     "op10_sharding": op10_sharding,
@@ -155,4 +161,26 @@ ORACLE: dict[str, str] = {
                doc_id = min(doc_id) over w as kept, sha256(norm) as text_sha256
         from n window w as (partition by norm)
     """,
+    "op7_near_dedup": r"""
+        with recursive words as (
+          select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x20\x09-\x0D]+') as w from documents
+        ), runs as (
+          select doc_id, w, unnest(range(greatest(len(w) - 2, 1))) as i from words where len(w) > 0
+        ), shingles as (select distinct doc_id, list_slice(w, i + 1, i + 3) as s from runs
+        ), sizes as (select doc_id, count(*) as n from shingles group by 1
+        ), common as (
+          select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id
+          group by 1, 2
+        ), link as (
+          select a, b from common c join sizes x on x.doc_id = c.a join sizes y on y.doc_id = c.b
+          where 100 * c.n >= 85 * (x.n + y.n - c.n)
+        ), both_ways as (select a, b from link union select b, a from link
+        ), reach(a, b) as (
+          select doc_id, doc_id from documents
+          union select r.a, e.b from reach r join both_ways e on r.b = e.a
+        ), least as (select a as doc_id, min(b) as component_id from reach group by 1)
+        select doc_id, coalesce(sizes.n, 0) as n_shingles, component_id, doc_id = component_id as kept
+        from least left join sizes using (doc_id)
+    """,
 }
