@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +56,15 @@ def text_or_empty(name: str = "text") -> Column:
 def task_number() -> int:
     """Number of the running task's partition; the same when the task is tried again."""
     return TaskContext.get().partitionId()
+
+
+def per_process(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once per worker process and key.
+
+    The package's functions travel to the executors by value, each job with globals of its own, so what
+    should outlive a task hangs on a module of its own.
+    """
+    kept = sys.modules.setdefault("_quire_worker", types.ModuleType("_quire_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -17,6 +17,7 @@ from quire.llm.mixing import mix_sources
 from quire.llm.near_dedup import near_duplicates
 from quire.llm.sharding import SHARDS, record_size, shuffle_into_shards
 from quire.llm.token_counts import count_tokens
+from quire.llm.token_files import read_token_shards, write_token_shards
 from quire.llm.url_filter import RULES, judge_urls, rule_table
 
 
@@ -38,6 +39,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_shards(write_token_shards(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
@@ -72,6 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op4_token_files": op4_token_files,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,

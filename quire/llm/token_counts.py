@@ -22,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm.common import fixed, task_number, text_or_empty
+from quire.llm.common import fixed, per_process, task_number, text_or_empty
 
 BLOCK_CHARS = 24_000_000
 MAX_TOKENS = 2048
 
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-_TOKENIZERS: dict[int, Tokenizer] = {}
 
 _BLOCKS = (
     "block long, doc_ids array<long>, n_bytes array<long>, n_entries array<long>, entries binary, "
@@ -75,11 +74,8 @@ class _Rules:
 
 
 def _tokenizer(source) -> Tokenizer:
-    """The tokenizer of this worker process, built once from the broadcast file content."""
-    key = hash(source.value)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = Tokenizer.from_str(source.value)
-    return _TOKENIZERS[key]
+    """The tokenizer of this worker process, built from the broadcast file content."""
+    return per_process(("tokenizer", hash(source.value)), lambda: Tokenizer.from_str(source.value))
 
 
 def _pack(values: np.ndarray) -> bytes:
