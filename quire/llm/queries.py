@@ -15,6 +15,7 @@ from quire.llm.exact_dedup import drop_copies
 from quire.llm.html_text import extract_main_text
 from quire.llm.mixing import mix_sources
 from quire.llm.near_dedup import near_duplicates
+from quire.llm.quality import fit_quality, score_quality
 from quire.llm.sharding import SHARDS, record_size, shuffle_into_shards
 from quire.llm.token_counts import count_tokens
 from quire.llm.token_files import read_token_shards, write_token_shards
@@ -35,6 +36,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +82,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
     "op5_url_filter": op5_url_filter,
