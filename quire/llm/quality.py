@@ -26,29 +26,56 @@ ROUNDS = 3
 SURE = 0.97  # calibrated probability from which a pseudo-label is handed over
 KEEP = 0.5  # documents with a lower probability of being good are rejected
 
+SMOOTHING = 50.0  # bytes
+
 _RUNS = 256  # hashed three-byte runs
-_TEXT = 256 + _RUNS + 4
+_TEXT = 256 + _RUNS + 1
 _SOURCES, _LANGS = 64, 16
 _META = _SOURCES + _LANGS + 8
-_PENALTY = 1.0
+_PENALTY = 0.3
 _SCALE = 1 << 30
 
 
-def text_features(texts: list[str]) -> np.ndarray:
-    """Square roots of relative frequencies, so that length does not matter, and four numbers on their spread."""
+def _frequencies(text: str) -> tuple[np.ndarray, int, float]:
+    """Counts of bytes and hashed three-byte runs, the length, and how much the text repeats itself."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    counts = np.zeros(256 + _RUNS, np.float32)
+    if len(data) < 8:
+        counts[:256] = np.bincount(data, minlength=256)
+        return counts, len(data), 0.0
+    wide = data.astype(np.uint32)
+    runs = wide[:-2] | (wide[1:-1] << 8) | (wide[2:] << 16)
+    counts[:256] = np.bincount(data, minlength=256)
+    counts[256:] = np.bincount((runs * np.uint32(2654435761)) >> np.uint32(24), minlength=_RUNS)
+    # the chance that two windows of six bytes are the same, whatever the length
+    windows = (runs[:-3] * np.uint32(2654435761) + runs[3:] * np.uint32(2246822519)) >> np.uint32(18)
+    again = np.bincount(windows, minlength=1 << 14).astype(np.float64)
+    n = len(windows)
+    same = (float(again @ again) - n) / max(n * (n - 1), 1)
+    return counts, len(data), math.log1p(1000 * same)
+
+
+def background(texts: list[str]) -> np.ndarray:
+    """Mean relative frequencies of bytes and runs; even if there are no texts."""
+    total = np.full(256 + _RUNS, 1e-3)
+    for text in texts:
+        counts, n, _ = _frequencies(text)
+        total += counts / max(n, 1)
+    total[:256] /= total[:256].sum()
+    total[256:] /= total[256:].sum()
+    return total.astype(np.float32)
+
+
+def text_features(texts: list[str], usual: np.ndarray) -> np.ndarray:
+    """Square roots of relative frequencies less the usual ones, and how much the text repeats itself.
+
+    The usual frequencies count as much as SMOOTHING bytes, so that a short text says little.
+    """
     out = np.zeros((len(texts), _TEXT), np.float32)
     for row, text in zip(out, texts, strict=True):
-        data = np.frombuffer(text.encode(), np.uint8)
-        if len(data) == 0:
-            continue
-        row[:256] = np.bincount(data, minlength=256) / len(data)
-        if len(data) > 2:
-            wide = data.astype(np.uint32)
-            runs = (wide[:-2] | (wide[1:-1] << 8) | (wide[2:] << 16)) * np.uint32(2654435761)
-            row[256 : 256 + _RUNS] = np.bincount(runs >> np.uint32(24), minlength=_RUNS) / len(runs)
-        np.sqrt(row, out=row)
-        frequent = row[256 : 256 + _RUNS]
-        row[-4:] = frequent.max(), frequent.sum() / 16, row[:256].sum() / 16, 1.0
+        counts, n, repeats = _frequencies(text)
+        row[:-1] = np.sqrt((counts + SMOOTHING * usual) / (n + SMOOTHING)) - np.sqrt(usual)
+        row[-1] = repeats
     return out
 
 
@@ -123,12 +150,13 @@ def _view(x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray,
 class QualityModel:
     text: _View
     meta: _View
+    usual: np.ndarray  # frequencies of bytes and runs in the sample
     prior: float  # log-odds of a good document
     rounds: list[tuple[int, int]]  # pseudo-labels handed over in each round: from text, from metadata
 
     def odds(self, texts: list[str], sources: list, langs: list, lengths: list) -> tuple[np.ndarray, ...]:
         """Calibrated log-odds of the text view, the metadata view, and both."""
-        by_text = self.text.odds(text_features(texts))
+        by_text = self.text.odds(text_features(texts, self.usual))
         by_text = np.where([len(t) > 0 for t in texts], by_text, self.prior)  # an empty text says nothing
         by_meta = self.meta.odds(meta_features(sources, langs, lengths))
         return by_text, by_meta, by_text + by_meta - self.prior
@@ -177,7 +205,8 @@ def fit_quality(
     """
     rows = _training_rows(docs, labels, labelled, pool, seed)
     texts = [r["text"] for r in rows]
-    x_text = text_features(texts)
+    usual = background(texts)
+    x_text = text_features(texts, usual)
     x_meta = meta_features([r["source"] for r in rows], [r["lang"] for r in rows], [r["n_chars"] for r in rows])
     quality = np.array([-1 if r["quality"] is None else r["quality"] for r in rows], np.int64)
     fold = np.array([r["fold"] for r in rows], np.int64)
@@ -207,7 +236,7 @@ def fit_quality(
             ys[pupil] = np.r_[ys[pupil], y]
         handed.append((len(given[0][1]), len(given[1][1])))
         now = views()
-    return QualityModel(now["text"], now["meta"], prior, handed)
+    return QualityModel(now["text"], now["meta"], usual, prior, handed)
 
 
 def quality_columns(model: QualityModel):
