@@ -78,16 +78,20 @@ def _prefix_length(percent: int, k: int) -> Column:
 
 
 def _lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """value, class for the rare retained values that several classes share."""
+    """value, class, own for the rare retained values that several classes share.
+
+    ``own``: how many values of the class's sketch no other class has; few in the text that others copy.
+    """
     held = classes.where("n_shingles > 0").select("class", F.explode("sketch").alias("value"))
     shared = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # the values that are not shared come before all others and need only be counted
     common = held.join(shared, "value").groupBy("class").agg(F.collect_list(F.struct("df", "value")).alias("shared"))
     lengths = classes.select("class", _prefix_length(percent, k).alias("length"), F.size("sketch").alias("held"))
     common = common.join(lengths, "class")
-    rest = F.greatest(F.col("length") - F.col("held") + F.size("shared"), F.lit(0)).cast("int")
-    kept = F.slice(F.array_sort("shared"), F.lit(1), rest)
-    return common.select("class", F.explode(kept).alias("entry")).select(F.col("entry.value").alias("value"), "class")
+    own = F.col("held") - F.size("shared")
+    kept = F.slice(F.array_sort("shared"), F.lit(1), F.greatest(F.col("length") - own, F.lit(0)).cast("int"))
+    entries = common.select("class", own.alias("own"), F.explode(kept).alias("entry"))
+    return entries.select(F.col("entry.value").alias("value"), "class", "own")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
@@ -169,9 +173,11 @@ def similar_classes(docs: DataFrame, carry: list[str], width: int, percent: int,
     sets = found.select("class", "text").mapInArrow(lambda b: _sets(b, width), "class long, shingles array<long>")
     sets = fixed(sets.join(wanted.select("class", "n_shingles", "sketch"), "class"), "sets")
 
-    # every class of a list with the list's leader
-    leaders = lists.groupBy("value").agg(F.min("class").alias("src"))
-    stars = lists.join(leaders, "value").where("class > src").select("src", F.col("class").alias("dst")).distinct()
+    # every class of a list with the list's leader, the class that adds least of its own
+    leaders = lists.groupBy("value").agg(F.min(F.struct("own", "class")).alias("leader"))
+    stars = lists.join(leaders, "value").where(F.col("class") != F.col("leader.class"))
+    ends = F.least("leader.class", "class").alias("src"), F.greatest("leader.class", "class").alias("dst")
+    stars = stars.select(*ends).distinct()
     links = fixed(_confirmed(stars, sets, percent, k), "links")
 
     # what is left between components
