@@ -24,21 +24,33 @@ _HEAD = "<4sIIIIQ"
 _MAGIC = b"RPG1"
 
 
-def _frequent(key: np.ndarray, allowed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent keys, ascending, and the places where they may stand.
+def _frequent(key: np.ndarray, allowed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent keys, where they may stand, and which of them stands there.
 
-    Counts by hash first; only keys in frequent bins are then counted themselves.
+    Counts by hash first. Each frequent bin then names one of its keys, whose places are counted; a key that
+    shares its bin with that one waits for a later round.
     """
-    bins = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)
-    counts = np.bincount(bins[allowed].astype(np.int64), minlength=1 << _BINS)
-    floor = LEAST_COUNT
-    if np.count_nonzero(counts >= floor) > most:
-        floor = max(floor, int(np.partition(counts, -most)[-most]))
-    places = np.flatnonzero(allowed & (counts >= floor)[bins])
-    found, each = np.unique(key[places], return_counts=True)
-    order = np.lexsort((found, -each))[:most]
-    chosen = np.sort(found[order[each[order] >= LEAST_COUNT]])
-    return chosen, places
+    bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).view(np.int64)
+    counts = np.bincount(bins, minlength=1 << _BINS) - np.bincount(bins[~allowed], minlength=1 << _BINS)
+    # the least count of the most frequent bins
+    at_least = np.cumsum(np.bincount(np.minimum(counts, 1 << 16))[::-1])[::-1]
+    floor = max(LEAST_COUNT, int(np.count_nonzero(at_least >= most)) - 1)
+    frequent = np.flatnonzero(counts >= floor)
+    number = np.full(1 << _BINS, -1, np.int32)
+    number[frequent] = np.arange(len(frequent), dtype=np.int32)
+    places = np.flatnonzero(allowed & (number >= 0)[bins])
+    which, found = number[bins[places]], key[places]
+    named = np.zeros(len(frequent), np.uint64)
+    named[which[::-1]] = found[::-1]  # the first in the shard
+    own = named[which] == found
+    places, which = places[own], which[own]
+    each = np.bincount(which, minlength=len(frequent))
+    order = np.lexsort((named, -each))[:most]
+    chosen = np.sort(order[each[order] >= LEAST_COUNT])
+    rank = np.full(len(frequent), -1, np.int64)
+    rank[chosen] = np.arange(len(chosen))
+    stands = rank[which] >= 0
+    return named[chosen], places[stands], rank[which[stands]]
 
 
 def compress(
@@ -55,13 +67,9 @@ def compress(
         if len(symbols) < 2:
             break
         key = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        chosen, places = _frequent(key, ~last[:-1], most)
+        chosen, places, rank = _frequent(key, ~last[:-1], most)
         if len(chosen) == 0:
             break
-        rank = np.searchsorted(chosen, key[places])
-        rank[rank == len(chosen)] = 0
-        hit = chosen[rank] == key[places]
-        places, rank = places[hit], rank[hit]
         # of overlapping pairs every other one, from the left
         starts = np.flatnonzero(np.r_[True, np.diff(places) > 1])
         within = np.arange(len(places)) - np.repeat(starts, np.diff(np.r_[starts, len(places)]))

@@ -7,12 +7,15 @@ format on any store that Spark can write to.
 
 from __future__ import annotations
 
+import gc
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -21,86 +24,144 @@ from quire.llm.common import fixed, per_process, task_number, text_or_empty
 from quire.llm.grammar import Shard, gather, pack
 
 SHARD_IDS = 1_000_000
-CACHE_WORDS = 700_000  # distinct words a worker remembers
+SLICE_ROWS = 4096  # documents encoded at a time
+CACHE_WORDS = 1_200_000  # distinct words a worker remembers
 _SHARDS = "part int, number int, start_in_part long, n_ids long, doc_ids array<long>, shard binary"
 _DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class _Words(dict):
-    """Numbers words from 0 as they come."""
+    """Numbers words from 0 as they come; ``new`` collects those that are new."""
+
+    def __init__(self):
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
+        self.new.append(word)
         return number
 
 
+class _Table:
+    """Id sequences one after the other, by number."""
+
+    def __init__(self):
+        self.flat = np.empty(1 << 20, np.int32)
+        self.used = 0
+        self.starts = np.empty(0, np.int64)
+        self.lengths = np.empty(0, np.int64)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.r_[self.flat, np.empty(len(self.flat), np.int32)]
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts = np.r_[self.starts, self.used + np.cumsum(lengths) - lengths]
+        self.lengths = np.r_[self.lengths, lengths]
+        self.used += len(ids)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        return gather(self.flat, self.starts, self.lengths, numbers)
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable ones as they are, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class _Encoder:
     """Encodes texts with a byte-level tokenizer, each distinct blank-separated word once.
 
     Such a tokenizer starts a new pre-token at a single blank between two characters that are no white space,
-    so the words between such blanks are encoded alone, blank included. Texts with other white space next to
-    a blank are encoded whole.
+    so the words between such blanks are encoded alone, blank included; a closing mark is a pre-token of its
+    own, and a word of letters is one, which goes to the tokenizer's model as it is. Texts with other white
+    space next to a blank are encoded whole. These rules are tried out on the tokenizer first.
     """
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side already
         self.tokenizer = Tokenizer.from_str(source)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.split = all(
             self._ids(a + " " + b) == self._ids(a) + self._ids(" " + b)
             for a, b in (("ab", "cd"), ("a.", "1b"), ("7", ".x"), ("é\nz", "ß"), ("it's", "'s"), ("a<|b", "|>c"))
         )
-        self.marks = {m: self._ids(m) for m in ",." if self._ids(" ab" + m) == self._ids(" ab") + self._ids(m)}
+        self.marks = {m: ids[0] for m in ",." if len(ids := self._ids(m)) == 1 and self._ids(" ab" + m) == self._ids(" ab") + ids}
+        self.direct = self.tokenizer.normalizer is None and all(
+            self._letters_only(w) == self._ids(" " + w) for w in ("the", "Blend", "été", "жук", "ßtz", "日本")
+        )
         self._reset()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _letters_only(self, word: str) -> list[int]:
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [token.id for token in self.model.tokenize("\u0120" + written)]
+
     def _reset(self) -> None:
-        self.words = _Words()
-        self.flat = np.empty(1 << 20, np.int32)
-        self.used = 0
-        self.starts = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
+        self.words, self.cores = _Words(), _Words()
+        self.word_ids, self.core_ids = _Table(), _Table()
+        self.core_alone = np.empty(0, bool)
+        self.alone = np.empty(0, bool)  # whether a word may be encoded without its neighbours
 
     def _learn(self) -> None:
-        """Encode the words that came since the last call; -1 as length marks those that need their neighbours."""
-        new = list(self.words)[len(self.starts) :] if len(self.words) > len(self.starts) else []
-        if not new:
-            return
-        cores, tails = [], []
+        """Encode the words that came since the last call."""
+        new, self.words.new = self.words.new, []
+        core, tail = [], []
         for word in new:
-            marked = len(word) > 1 and word[-1] in self.marks and word[-2].isascii() and word[-2].isalnum()
-            cores.append(" " + (word[:-1] if marked else word))
-            tails.append(self.marks[word[-1]] if marked else [])
-        found = [e.ids for e in self.tokenizer.encode_batch(cores, add_special_tokens=False)]
-        found = [ids + tail for ids, tail in zip(found, tails, strict=True)]
-        alone = np.array([bool(w) and not w[0].isspace() and not w[-1].isspace() for w in new])
+            mark = self.marks.get(word[-1:], -1)
+            if mark >= 0 and len(word) > 1 and word[-2].isascii() and word[-2].isalnum():
+                core.append(self.cores[word[:-1]])
+                tail.append(mark)
+            else:
+                core.append(self.cores[word])
+                tail.append(-1)
+        new, self.cores.new = self.cores.new, []
+        found = [self._letters_only(w) if self.direct and w.isalpha() else None for w in new]
+        others = [i for i, ids in enumerate(found) if ids is None]
+        encoded = self.tokenizer.encode_batch([" " + new[i] for i in others], add_special_tokens=False)
+        for i, one in zip(others, encoded, strict=True):
+            found[i] = one.ids
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for f in found for i in f), np.int32, int(lengths.sum()))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.r_[self.flat, np.empty(len(self.flat), np.int32)]
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts = np.r_[self.starts, self.used + np.cumsum(lengths) - lengths]
-        self.lengths = np.r_[self.lengths, np.where(alone, lengths, -1)]
-        self.used += len(ids)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.core_ids.add(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum())), lengths)
+        self.core_alone = np.r_[self.core_alone, [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in new]].astype(bool)
+
+        core, tail = np.array(core, np.int64), np.array(tail, np.int32)
+        marked = tail >= 0
+        lengths = self.core_ids.lengths[core] + marked
+        ids = np.empty(int(lengths.sum()), np.int32)
+        ends = np.cumsum(lengths)
+        at_mark = np.zeros(len(ids), bool)
+        at_mark[ends[marked] - 1] = True
+        ids[at_mark] = tail[marked]
+        ids[~at_mark] = self.core_ids.of(core)
+        self.word_ids.add(ids, lengths)
+        self.alone = np.r_[self.alone, self.core_alone[core]]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self.words) > CACHE_WORDS:
             self._reset()
-        parts = []
-        for text in texts:
-            words = text.split(" ") if self.split else [""]
-            entries = np.fromiter(map(self.words.__getitem__, words[1:]), np.int64, len(words) - 1)
-            parts.append((words[0], entries))
-        self._learn()
-        firsts = self.tokenizer.encode_batch([first for first, _ in parts], add_special_tokens=False)
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()  # every text has a first word, if an empty one
+        words = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if self.words.new:
+            self._learn()
+        entries = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        bounds = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+        firsts = [words[i] for i in coded.indices.take(pa.array(bounds[:-1])).to_pylist()]
+        heads = self.tokenizer.encode_batch(firsts, add_special_tokens=False)
         encoded = []
-        for text, (first, entries), head in zip(texts, parts, firsts, strict=True):
-            plain = first and not first[-1].isspace() and self.split and not (self.lengths[entries] < 0).any()
-            if plain:
-                encoded.append(np.r_[np.array(head.ids, np.int32), gather(self.flat, self.starts, self.lengths, entries)])
+        for i, (first, head) in enumerate(zip(firsts, heads, strict=True)):
+            rest = entries[bounds[i] + 1 : bounds[i + 1]]
+            if first and not first[-1].isspace() and self.split and self.alone[rest].all():
+                encoded.append(np.r_[np.array(head.ids, np.int32), self.word_ids.of(rest)])
             else:
-                encoded.append(np.array(self._ids(text), np.int32))
+                encoded.append(np.array(self._ids(texts[i].as_py()), np.int32))
         return encoded
 
 
@@ -110,6 +171,7 @@ def _encoder(source) -> _Encoder:
 
 
 def _write(batches: Iterator[pa.RecordBatch], source, end_id: int, shard_ids: int, schema) -> Iterator[pa.RecordBatch]:
+    gc.disable()  # the many small lists below hold no cycles
     encoder = _encoder(source)
     first_new = max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     part, number, before = task_number(), 0, 0
@@ -126,9 +188,9 @@ def _write(batches: Iterator[pa.RecordBatch], source, end_id: int, shard_ids: in
         return pa.RecordBatch.from_pydict(dict(zip(schema.names, row, strict=True)), schema=schema)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            some = batch.slice(at, 512)
-            for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            some = batch.slice(at, SLICE_ROWS)
+            for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
                 doc_ids.append(doc_id)
                 held.append(np.r_[ids, np.int32(end_id)])
                 size += len(ids) + 1
@@ -136,6 +198,7 @@ def _write(batches: Iterator[pa.RecordBatch], source, end_id: int, shard_ids: in
                     yield finish()
     if held:
         yield finish()
+    gc.enable()
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
