@@ -162,6 +162,11 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     Only the documents at the edges of blocks are taken in part; they come when at least half is taken. Each
     document comes at most ``max_times``; documents without words do not come.
     """
-    mixed = mix_sources(docs.select(F.struct("*").alias("row"), "doc_id", "source", "text"), carry=["row"], **parameters)
+    whole = docs.select(F.struct("*").alias("record"), "doc_id", "source", "text")
+    whole = fixed(whole.withColumn("row", F.monotonically_increasing_id()), "mix-documents")
+    mixed = mix_sources(whole, carry=["row"], **parameters)
     times = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("time")).select("row.*")
+    taken = mixed.select("row", times.alias("times")).where("times > 0")
+    # texts move once, to meet the number of times they are taken
+    both = whole.select("row", "record").join(taken, "row")
+    return both.select("record", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("time")).select("record.*")
