@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import fixed, text_or_empty
 
-LABELLED = 9_000  # labelled documents that are looked at, at most
-POOL = 6_000  # unlabelled documents that are looked at over all rounds, at most
+LABELLED = 6_000  # labelled documents that are looked at, at most
+POOL = 4_500  # unlabelled documents that are looked at over all rounds, at most
 ROUNDS = 3
 SURE = 0.97  # calibrated probability from which a pseudo-label is handed over
 KEEP = 0.5  # documents with a lower probability of being good are rejected
@@ -55,28 +57,44 @@ def _frequencies(text: str) -> tuple[np.ndarray, int, float]:
     return counts, len(data), math.log1p(1000 * same)
 
 
-def background(texts: list[str]) -> np.ndarray:
+def _smoothed(counts: np.ndarray, n: np.ndarray, repeats: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Square roots of relative frequencies less the usual ones, and how much the text repeats itself.
+
+    The usual frequencies count as much as SMOOTHING bytes, so that a short text says little.
+    """
+    out = np.empty((len(counts), _TEXT), np.float32)
+    out[:, :-1] = np.sqrt((counts + SMOOTHING * usual) / (n + SMOOTHING)[:, None]) - np.sqrt(usual)
+    out[:, -1] = repeats
+    return out
+
+
+def text_features(texts: list[str], usual: np.ndarray) -> np.ndarray:
+    """The text view of each text; ``usual``: relative frequencies of bytes and runs in the sample."""
+    parts = []
+    for at in range(0, len(texts), 1000):
+        found = [_frequencies(text) for text in texts[at : at + 1000]]
+        counts, n, repeats = (np.array(c, np.float32) for c in zip(*found, strict=True))
+        parts.append(_smoothed(counts, n, repeats, usual))
+    return np.concatenate(parts) if parts else np.empty((0, _TEXT), np.float32)
+
+
+def _usual(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Mean relative frequencies of bytes and runs; even if there are no texts."""
-    total = np.full(256 + _RUNS, 1e-3)
-    for text in texts:
-        counts, n, _ = _frequencies(text)
-        total += counts / max(n, 1)
+    total = (counts / np.maximum(n, 1)[:, None]).sum(axis=0, dtype=np.float64) + 1e-3
     total[:256] /= total[:256].sum()
     total[256:] /= total[256:].sum()
     return total.astype(np.float32)
 
 
-def text_features(texts: list[str], usual: np.ndarray) -> np.ndarray:
-    """Square roots of relative frequencies less the usual ones, and how much the text repeats itself.
-
-    The usual frequencies count as much as SMOOTHING bytes, so that a short text says little.
-    """
-    out = np.zeros((len(texts), _TEXT), np.float32)
-    for row, text in zip(out, texts, strict=True):
-        counts, n, repeats = _frequencies(text)
-        row[:-1] = np.sqrt((counts + SMOOTHING * usual) / (n + SMOOTHING)) - np.sqrt(usual)
-        row[-1] = repeats
-    return out
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the text, the first column, by its counts, length and repetition."""
+    for batch in batches:
+        found = [_frequencies(text.as_py()) for text in batch.column(0)]
+        counts = pa.array([c.tobytes() for c, _, _ in found], pa.binary())
+        n = pa.array([n for _, n, _ in found], pa.int64())
+        repeats = pa.array([r for _, _, r in found], pa.float64())
+        names = ["counts", "n", "repeats", *batch.schema.names[1:]]
+        yield pa.RecordBatch.from_arrays([counts, n, repeats, *batch.columns[1:]], names=names)
 
 
 def meta_features(sources: list, langs: list, lengths: list) -> np.ndarray:
@@ -105,14 +123,17 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 def _fit(x: np.ndarray, y: np.ndarray, steps: int = 8) -> np.ndarray:
     """Weights (the last is the constant) of a logistic regression with an L2 penalty, by Newton's method."""
-    x = np.c_[x.astype(np.float64), np.ones(len(x))]
-    weights = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], _PENALTY)
+    weights = np.zeros(x.shape[1] + 1)
+    penalty = np.full(len(weights), _PENALTY)
     penalty[-1] = 1e-3
     for _ in range(steps):
-        p = _logistic(x @ weights)
-        hessian = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hessian, x.T @ (y - p) - penalty * weights)
+        hessian, slope = np.diag(penalty), -penalty * weights
+        for at in range(0, len(x), 1000):  # a piece at a time keeps the driver small
+            some = np.c_[x[at : at + 1000].astype(np.float64), np.ones(len(x[at : at + 1000]))]
+            p = _logistic(some @ weights)
+            hessian += (some * (p * (1 - p) + 1e-6)[:, None]).T @ some
+            slope += some.T @ (y[at : at + 1000] - p)
+        step = np.linalg.solve(hessian, slope)
         weights += step
         if np.abs(step).max() < 1e-4:
             break
@@ -170,7 +191,7 @@ def _sampled(rows: DataFrame, key: Column, n: int, bound: int) -> DataFrame:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, labelled: int, pool: int, seed: int) -> list:
-    """(quality or null, fold, text, source, lang, n_chars): a bounded sample of labelled and other documents."""
+    """A bounded sample of labelled and other documents: quality or null, fold, counts of the text, metadata."""
     known = labels.where("doc_id is not null").groupBy("doc_id")
     known = known.agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     known = fixed(known.where("quality = other and quality in (0, 1)").select("doc_id", "quality"), "labels")
@@ -182,9 +203,11 @@ def _training_rows(docs: DataFrame, labels: DataFrame, labelled: int, pool: int,
     n = docs.count()
     in_pool = draw < int(_SCALE * min(1.0, 0.95 * pool / max(n, 1)))
     rows = joined.where(F.col("quality").isNotNull() | in_pool)
-    fold = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "text"), F.lit(3 * ROUNDS * 100)).alias("fold")
-    rows = fixed(rows.select("quality", fold, text_or_empty().alias("text"), "source", "lang", "n_chars"), "training")
-    return rows.limit(labelled + pool).collect()
+    fold = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "text"), F.lit(3 * ROUNDS * 100)).cast("long").alias("fold")
+    rows = rows.select(text_or_empty().alias("text"), "quality", fold, "source", "lang", "n_chars")
+    kind = rows.schema["quality"].dataType.simpleString()
+    kinds = f"counts binary, n long, repeats double, quality {kind}, fold long, source string, lang string, n_chars double"
+    return fixed(rows.mapInArrow(_count_batches, kinds), "training").limit(labelled + pool).collect()
 
 
 def _metadata(docs: DataFrame) -> list[Column]:
@@ -204,9 +227,11 @@ def fit_quality(
     share of good labels (a half if there are none).
     """
     rows = _training_rows(docs, labels, labelled, pool, seed)
-    texts = [r["text"] for r in rows]
-    usual = background(texts)
-    x_text = text_features(texts, usual)
+    counts = np.array([np.frombuffer(r["counts"], np.float32) for r in rows]).reshape(len(rows), 256 + _RUNS)
+    n = np.array([r["n"] for r in rows], np.float32)
+    usual = _usual(counts, n)
+    x_text = _smoothed(counts, n, np.array([r["repeats"] for r in rows], np.float32), usual)
+    del counts
     x_meta = meta_features([r["source"] for r in rows], [r["lang"] for r in rows], [r["n_chars"] for r in rows])
     quality = np.array([-1 if r["quality"] is None else r["quality"] for r in rows], np.int64)
     fold = np.array([r["fold"] for r in rows], np.int64)
