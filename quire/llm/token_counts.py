@@ -26,6 +26,8 @@ from quire.llm.common import fixed, per_process, task_number, text_or_empty
 
 BLOCK_CHARS = 24_000_000
 MAX_TOKENS = 2048
+BLOCK_BITS = 14  # for the number of a block in its task
+PLACE_BITS = 26  # for the number of a pre-token in its block, which has no more characters than that
 
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 
@@ -55,7 +57,7 @@ class _Rules:
         if set(" \t\n\r") & set(unsafe):
             raise ValueError("this tokenizer's pre-tokens are not separated by white space")
         self.unsafe = re.compile("[" + "".join(map(re.escape, unsafe)) + "]") if unsafe else None
-        self.lower = all(n(w) == n(w.lower()) for w in ("THE", "Blend", "XyZzy", "Don'T", "A1B"))
+        self.lower = all(n(w) == n(w.lower()) for w in ("THE", "Blend", "XyZzy", "Don'T", "A1B", "ÀÉÖ", "Ñu"))
         self.tails = "".join(t for t in ",." if all(n(w + t) == n(w) + n(t) for w in ("the", "qzx", "a1", "7")))
 
     def words(self, text: str) -> list[str]:
@@ -65,10 +67,10 @@ class _Rules:
 
     def parts(self, word: str) -> tuple[str, str | None]:
         """The word reduced, and its closing mark if that counts on its own."""
-        if not word.isascii() or "<" in word:  # special strings are left alone
+        if "<" in word or max(word) > "\xff":  # special strings are left alone, and letters with odd lower cases
             return word, None
         tail = None
-        if len(word) > 1 and word[-1] in self.tails and word[-2].isalnum():
+        if len(word) > 1 and word[-1] in self.tails and word[-2].isascii() and word[-2].isalnum():
             word, tail = word[:-1], word[-1]
         return (word.lower() if self.lower else word), tail
 
@@ -79,11 +81,14 @@ def _tokenizer(source) -> Tokenizer:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.astype(np.int32).tobytes())
+    """Whole numbers, lowest bytes of all first: the higher bytes are mostly zeros and take no room."""
+    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], source, block_chars: int, schema) -> Iterator[pa.RecordBatch]:
@@ -99,7 +104,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], source, block_chars: int, schema)
         steps = [np.diff(found, prepend=0) for _, _, found, _ in rows]  # small numbers pack well
         entries = np.concatenate([np.concatenate(steps), np.concatenate([freq for *_, freq in rows])])
         row = {
-            "block": [(task_number() << 32) + done],
+            "block": [(task_number() << BLOCK_BITS) + done],
             "doc_ids": [[r[0] for r in rows]],
             "n_bytes": [[r[1] for r in rows]],
             "n_entries": [[len(r[2]) for r in rows]],
@@ -135,9 +140,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], source) -> Iterator[pa.RecordBatc
 def _sums(batches: Iterator[pa.RecordBatch], schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            place = np.array([p["place"] for p in row["found"]], np.int64)
-            pieces = np.zeros(len(place) + 1, np.int64)  # the last entry stands for no tail
-            pieces[place] = [p["pieces"] for p in row["found"]]
+            # place in the dictionary and number of pieces
+            found = np.array(row["found"], np.int64)
+            pieces = np.zeros(len(found) + 1, np.int64)  # the last entry stands for no tail
+            pieces[found >> 32] = found & 0xFFFFFFFF
             per_word = pieces[_unpack(row["head"])] + pieces[_unpack(row["tail"])]
             steps, freq = np.split(_unpack(row["entries"]).astype(np.int64), 2)
             ends = np.cumsum(row["n_entries"])
@@ -173,10 +179,17 @@ def count_tokens(
     texts = docs.select(F.col(id_col).cast("long"), text_or_empty(text))
     blocks = fixed(texts.mapInArrow(lambda b: _blocks(b, source, block_chars, block_schema), _BLOCKS), "token-blocks")
     uses = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    # block and place in one number, and place and pieces in another: what travels is as narrow as can be
+    place = F.col("place").cast("long")
+    uses = uses.select("word", (F.shiftleft("block", PLACE_BITS) + place).alias("use"))
     pieces = uses.select("word").distinct().mapInArrow(lambda b: _pieces(b, source), "word string, pieces long")
-    found = uses.join(pieces, "word").groupBy("block").agg(F.collect_list(F.struct("place", "pieces")).alias("found"))
+    found = uses.join(pieces, "word").select(
+        F.shiftright("use", PLACE_BITS).alias("block"),
+        (F.shiftleft(F.col("use").bitwiseAND((1 << PLACE_BITS) - 1), 32) + F.col("pieces")).alias("item"),
+    )
+    found = found.groupBy("block").agg(F.collect_list("item").alias("found"))
     joined = blocks.drop("words").join(found, "block", "left")
-    joined = joined.withColumn("found", F.coalesce("found", F.array().cast("array<struct<place:int,pieces:bigint>>")))
+    joined = joined.withColumn("found", F.coalesce("found", F.array().cast("array<bigint>")))
     counted = joined.mapInArrow(lambda b: _sums(b, count_schema), _COUNTS)
     return counted.withColumn("over_limit", F.col("n_tokens") > max_tokens)
 
