@@ -53,6 +53,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python tasks get at most ``rows`` texts at a time; texts can be long, and every batch is held twice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def task_number() -> int:
     """Number of the running task's partition; the same when the task is tried again."""
     return TaskContext.get().partitionId()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import broadcast_within, fixed, text_or_empty
+from quire.llm.common import bounded_batches, broadcast_within, fixed, text_or_empty
 from quire.llm.components import connected_components
 from quire.llm.shingles import shingle_set
 
@@ -154,6 +154,7 @@ def similar_classes(docs: DataFrame, carry: list[str], width: int, percent: int,
     ``docs`` needs ``text``; a class is a whole number that stands for one set of shingles (null: no words).
     The links connect exactly what all links would connect; pairs inside a component need not all be listed.
     """
+    bounded_batches(docs.sparkSession)
     mark = F.xxhash64(text_or_empty())
     texts = docs.select(*carry, mark.alias("mark"), text_or_empty().alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])

@@ -15,12 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fixed, text_or_empty
+from quire.llm.common import bounded_batches, fixed, text_or_empty
 
 LABELLED = 6_000  # labelled documents that are looked at, at most
 POOL = 4_500  # unlabelled documents that are looked at over all rounds, at most
@@ -226,6 +225,7 @@ def fit_quality(
     labelled sample is kept apart for calibration. Without labels of both kinds every document scores the
     share of good labels (a half if there are none).
     """
+    bounded_batches(docs.sparkSession)
     rows = _training_rows(docs, labels, labelled, pool, seed)
     counts = np.array([np.frombuffer(r["counts"], np.float32) for r in rows]).reshape(len(rows), 256 + _RUNS)
     n = np.array([r["n"] for r in rows], np.float32)
@@ -267,11 +267,14 @@ def fit_quality(
 def quality_columns(model: QualityModel):
     """A function of (text, source, lang, n_chars) columns: struct of text_score, meta_score, quality."""
 
-    @F.pandas_udf("text_score double, meta_score double, quality double")
-    def score(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        plain = [[None if pd.isna(v) else v for v in column] for column in (source, lang, n_chars)]
-        odds = model.odds(text.tolist(), *plain)
-        return pd.DataFrame(dict(zip(("text_score", "meta_score", "quality"), map(_logistic, odds), strict=True)))
+    @F.arrow_udf("text_score double, meta_score double, quality double")
+    def score(text: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, len(text), 200):
+            some = [c.slice(at, 200).to_pylist() for c in (text, source, lang, n_chars)]
+            parts.append(np.array([_logistic(odds) for odds in model.odds(*some)]))
+        scores = np.concatenate(parts, axis=1) if parts else np.empty((3, 0))
+        return pa.StructArray.from_arrays([pa.array(s) for s in scores], ["text_score", "meta_score", "quality"])
 
     return score
 
