@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import broadcast_within, fixed
+from quire.llm.common import bounded_batches, broadcast_within, fixed
 from quire.llm.url_filter import host_of
 
 BROADCAST_HOSTS = 200_000
@@ -108,6 +108,7 @@ class _Page:
                         for word in _WORDS.split(name)
                     )
         path = f"{parent[1]}/{tag}.{names}" if names else f"{parent[1]}/{tag}"
+        path = "" if tag == "html" else path  # it may be left out
         self._stack.append([tag, path, outside, len(self.blocks), 0.0])
 
     def _read(self, source: str) -> None:
@@ -205,6 +206,7 @@ def extract_main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS)
     decoded. Null or empty html, or a page without main text, gives an empty text. Pages without a host vote
     among themselves. Repeated rows are read alike; other columns are not looked at.
     """
+    bounded_batches(pages.sparkSession)
     winners = broadcast_within(fixed(host_paths(pages), "host-paths"), broadcast_hosts)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     rows = rows.join(winners, "host", "left").select("page_id", "url", "html", "path")
