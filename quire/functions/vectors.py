@@ -95,7 +95,7 @@ def top_k_batches(
         id_place = np.empty(batch.num_rows, dtype=np.int64)
         id_place[pc.sort_indices(batch.column("id")).to_numpy()] = np.arange(batch.num_rows)
         rows, numbers = [], []
-        for q in np.flatnonzero(distance.min(axis=0) <= limit):
+        for q in np.flatnonzero(np.fmin.reduce(distance, axis=0) <= limit):
             found = np.flatnonzero((distance[:, q] <= limit[q]) & np.isfinite(distance[:, q]))
             if len(found) > k:
                 found = found[np.lexsort((id_place[found], distance[found, q]))[:k]]

@@ -114,8 +114,8 @@ def explode_line_items(invoices: DataFrame, id_col: str = "doc_id") -> DataFrame
 
 
 def _money_sum(value: Column) -> Column:
-    """Sum in decimal, so that the cents do not depend on the order of rows."""
-    return F.coalesce(F.sum(value.cast("decimal(28,8)")), F.lit(0)).cast("double")
+    """Sum in decimal, so that the cents do not depend on the order of rows; numbers beyond 20 digits are left out."""
+    return F.coalesce(F.sum(value.try_cast("decimal(28,8)")), F.lit(0)).cast("double")
 
 
 def _with_tax(df: DataFrame, rate: float) -> DataFrame:
@@ -142,7 +142,7 @@ def verify_totals(
     item_sum = F.aggregate(
         "line_items",
         F.lit(0).cast("decimal(38,8)"),
-        lambda acc, item: (acc + F.coalesce(item["total"], F.lit(0.0)).cast("decimal(28,8)")).cast("decimal(38,8)"),
+        lambda acc, item: (acc + F.coalesce(item["total"].try_cast("decimal(28,8)"), F.lit(0))).cast("decimal(38,8)"),
     ).cast("double")
     stated = invoices.select(
         id_col,
@@ -191,7 +191,8 @@ ITEM_PATTERN = r"(?m)^.+?[ \t]+\d+[ \t]+[$€][\d,.]+[ \t]+[$€][\d,.]+[ \t]*$"
 
 
 def label_pattern(labels: str) -> str:
-    return rf"(?im)^[ \t]*(?:{labels})[ \t]*:[ \t]*([^\n]+)"
+    """A label at the start of a line or after two blanks; its value ends before two blanks or with the line."""
+    return rf"(?im)(?:^|[ \t][ \t])[ \t]*(?:{labels})[ \t]*:[ \t]*([^\n]+?)[ \t]*(?:[ \t][ \t]|$)"
 
 
 def amount_pattern(labels: str) -> str:

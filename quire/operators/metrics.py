@@ -26,7 +26,8 @@ def count_by(df: DataFrame, *labels: str) -> DataFrame:
 
 
 def bucket_counts(value: Column, bounds: list[float]) -> list[Column]:
-    """Aggregates of a cumulative histogram: values up to each bound, then their number and sum."""
+    """Aggregates of a cumulative histogram: values up to each bound, then their number and sum; NaN as null."""
+    value = F.when(~F.isnan(value), value)
     counts = [F.count_if(value <= F.lit(b)).alias(f"_le_{i}") for i, b in enumerate(bounds)]
     return [*counts, F.count(value).alias("_count"), F.coalesce(F.sum(value), F.lit(0.0)).alias("_sum")]
 

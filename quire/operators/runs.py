@@ -120,15 +120,19 @@ def check_drift(runs: DataFrame, document_type: str | None = None, window: int =
 def metrics_summary(runs: DataFrame) -> DataFrame:
     """One row: documents, mean confidence and time, documents by type, success rate.
 
-    Counts and sums combine by type first; only one row per type reaches the last step.
+    Counts and sums combine by type first; only one row per type reaches the last step. NaN counts as null.
     """
+
+    def known(column: str):
+        return F.when(~F.isnan(column), F.col(column))
+
     by_type = runs.groupBy(F.coalesce("document_type", F.lit("unknown")).alias("type")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("status") == "completed").alias("completed"),
-        F.sum("extraction_confidence").alias("confidence"),
-        F.count("extraction_confidence").alias("with_confidence"),
-        F.sum("processing_time_ms").alias("time"),
-        F.count("processing_time_ms").alias("with_time"),
+        F.sum(known("extraction_confidence")).alias("confidence"),
+        F.count(known("extraction_confidence")).alias("with_confidence"),
+        F.sum(known("processing_time_ms")).alias("time"),
+        F.count(known("processing_time_ms")).alias("with_time"),
     )
 
     def ratio(top: str, bottom: str):

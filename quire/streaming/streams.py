@@ -92,20 +92,23 @@ def stream_upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
 
     def store(batch: DataFrame, batch_id: int) -> None:
         newest = latest_per_id(batch.withColumn("_tie", F.xxhash64("text")), order=("seq", "_tie")).drop("_tie")
-        newest.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        # Spark names every checkpoint in its metadata: a renewed one starts at batch 0 in a folder of its own
+        run = batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        newest.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Current rows of a table kept by ``stream_upsert``: highest ``seq``, then latest batch."""
-    return latest_per_id(spark.read.parquet(path), order=("seq", "batch_id")).drop("batch_id")
+    """Current rows of a table kept by ``stream_upsert``: highest ``seq``, then latest batch, then run."""
+    rows = spark.read.parquet(path).withColumn("run", F.col("run").cast("string"))
+    return latest_per_id(rows, order=("seq", "batch_id", "run")).drop("batch_id", "run")
 
 
 def compact_documents(spark: SparkSession, path: str, new_path: str) -> None:
-    """Write the current rows as batch 0 of a new folder (never over the one being read)."""
-    read_documents(spark, path).write.parquet(f"{new_path}/batch_id=0")
+    """Write the current rows as the base of a new folder, which no stream writes over."""
+    read_documents(spark, path).write.parquet(f"{new_path}/run=base/batch_id=-1")
 
 
 def stream_drift(runs: DataFrame, path: str, checkpoint: str, window: int = DRIFT_WINDOW) -> StreamingQuery:

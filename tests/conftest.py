@@ -18,10 +18,9 @@ def spark(tmp_path_factory):
         "spark.driver.memory": "6g",
         "spark.ui.showConsoleProgress": "false",
         "spark.log.level": "ERROR",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("work")),
     }
     session = build_session("local[8]", "tests", **conf)
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("work")))
     yield session
     session.stop()
 
