@@ -101,6 +101,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], source, block_chars: int, schema)
         split = [rules.parts(word) for word in numbers]
         head = np.fromiter((units[h] for h, _ in split), np.int32, len(split))
         tail = np.fromiter((-1 if t is None else units[t] for _, t in split), np.int32, len(split))
+        # in order, so that what travels packs well
+        words = sorted(units)
+        place = np.empty(len(words) + 1, np.int32)
+        place[np.fromiter(map(units.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+        place[-1] = -1
+        head, tail = place[head], place[tail]
         steps = [np.diff(found, prepend=0) for _, _, found, _ in rows]  # small numbers pack well
         entries = np.concatenate([np.concatenate(steps), np.concatenate([freq for *_, freq in rows])])
         row = {
@@ -109,7 +115,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], source, block_chars: int, schema)
             "n_bytes": [[r[1] for r in rows]],
             "n_entries": [[len(r[2]) for r in rows]],
             "entries": [_pack(entries)],
-            "words": [list(units)],
+            "words": [words],
             "head": [_pack(head)],
             "tail": [_pack(tail)],
         }
