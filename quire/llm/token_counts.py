@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from quire.llm.common import fixed, per_process, task_number, text_or_empty
 
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 40_000_000
 MAX_TOKENS = 2048
 BLOCK_BITS = 14  # for the number of a block in its task
 PLACE_BITS = 26  # for the number of a pre-token in its block, which has no more characters than that
