@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.fixed_values import CLASSIFY_CHARS, CLASSIFY_PROMPT, FALLBACK_PROMPT, PROMPTS, TEXT_PLACEHOLDER
+from quire.fixed_values import CLASSIFY_PROMPT, FALLBACK_PROMPT, PROMPTS, TEXT_PLACEHOLDER
 from quire.functions.sizing import hinted, is_small
 
 
@@ -75,13 +75,20 @@ def render_prompts(
     return chosen.withColumn("prompt", filled).drop("_template")
 
 
-def render_classification(df: DataFrame, prompts: DataFrame, text_col: str = "raw_text") -> DataFrame:
-    """Add ``system`` and ``prompt`` that ask for the type; the question shows only the head of the text."""
+def render_classification(
+    df: DataFrame, prompts: DataFrame, text_col: str = "raw_text", chars: int | None = None
+) -> DataFrame:
+    """Add ``system`` and ``prompt`` that ask for the type.
+
+    The question shows the whole text, or its first ``chars`` characters (CLASSIFY_CHARS is the usual bound
+    of a model request).
+    """
     row = prompts.where(F.col("key") == CLASSIFY_PROMPT).first()  # one prompt for all rows: no join needed
     if row is None:
         raise ValueError(f"no prompt {CLASSIFY_PROMPT}")
-    head = F.substring(F.coalesce(text_col, F.lit("")), 1, CLASSIFY_CHARS)
-    prompt = F.replace(F.lit(row["template"]), F.lit(TEXT_PLACEHOLDER), head)
+    text = F.coalesce(text_col, F.lit(""))
+    shown = text if chars is None else F.substring(text, 1, chars)
+    prompt = F.replace(F.lit(row["template"]), F.lit(TEXT_PLACEHOLDER), shown)
     return df.withColumns({"prompt_key": F.lit(CLASSIFY_PROMPT), "system": F.lit(row["system"]), "prompt": prompt})
 
 

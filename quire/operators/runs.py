@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from quire.fixed_values import (
     ACCURACY_THRESHOLD,
-    COMPARE_LIMIT,
     DRIFT_ADVICE,
     DRIFT_LIMIT,
     DRIFT_WINDOW,
@@ -59,14 +58,18 @@ def _recent(runs: DataFrame, document_type: str | None, n: int) -> DataFrame:
     return latest_runs_per_type(chosen, n)
 
 
-def compare_prompts(runs: DataFrame, document_type: str | None = None, limit: int = COMPARE_LIMIT) -> DataFrame:
-    """Per type and prompt version, over the newest ``limit`` runs of the type: runs and rounded means.
+def compare_prompts(runs: DataFrame, document_type: str | None = None, limit: int | None = None) -> DataFrame:
+    """Per type and prompt version, over all runs or the newest ``limit`` of the type: runs and rounded means.
 
-    Runs without a version count towards the limit but form no group.
+    Runs without a version count towards the limit (COMPARE_LIMIT is the usual page) but form no group.
     """
     columns = ["document_type", "prompt_version", "start_time", "run_id"]
     metrics = ["extraction_confidence", "processing_time_ms", "field_completeness"]
-    recent = _recent(runs.select(*columns, *metrics), document_type, limit)
+    chosen = runs.select(*columns, *metrics)
+    if limit is not None:
+        recent = _recent(chosen, document_type, limit)
+    else:
+        recent = chosen if document_type is None else chosen.where(F.col("document_type") == document_type)
     return (
         recent.where(F.col("prompt_version").isNotNull())
         .groupBy("document_type", "prompt_version")

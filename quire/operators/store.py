@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.sizing import is_small
+from quire.functions.sizing import hinted, is_small
 from quire.functions.text import decimal_text
 
 
@@ -53,19 +53,20 @@ def latest_per_id(df: DataFrame, id_col: str = "id", order: tuple[str, ...] = ("
 def upsert_documents(current: DataFrame, updates: DataFrame) -> DataFrame:
     """One row per id, the highest ``seq`` wins; on equal ``seq`` an update replaces the current row.
 
-    ``current`` has one row per id; ``updates`` may have many. While the updated ids fit a broadcast, rows
-    of other ids pass through without a shuffle; beyond that bound all rows are ranked by id. Returns the
-    new table; write it to a new folder, never over the one being read.
+    ``current`` has one row per id; ``updates`` may have many. Null is an id like any other. Rows of ids
+    without an update pass through as they are: without a shuffle while the updated ids fit a broadcast, and
+    through a shuffle join beyond that, with the same result. Returns the new table; write it to a new folder,
+    never over the one being read.
     """
-    ids = updates.select("id").distinct()
-    untouched, touched = None, current
-    if is_small(ids):
-        untouched = current.join(F.broadcast(ids), "id", "left_anti")
-        touched = current.join(F.broadcast(ids), "id", "left_semi")
+    ids = updates.select(F.col("id").alias("_updated")).distinct()
+    ids = hinted(ids, is_small(ids))
+    same = F.col("id").eqNullSafe(F.col("_updated"))
+    untouched = current.join(ids, same, "left_anti")
+    touched = current.join(ids, same, "left_semi")
     rows = touched.withColumn("_update", F.lit(0)).unionByName(updates.withColumn("_update", F.lit(1)))
     tie = rows.withColumn("_tie", F.xxhash64("text"))
     newest = latest_per_id(tie, order=("seq", "_update", "_tie")).drop("_update", "_tie")
-    return newest if untouched is None else untouched.select(newest.columns).unionByName(newest)
+    return untouched.select(newest.columns).unionByName(newest)
 
 
 def collection_stats(docs: DataFrame) -> DataFrame:

@@ -289,8 +289,9 @@ recent AS (
     AS recency FROM runs WHERE {where}) WHERE recency <= {n})"""
 
 
-def comparison(n: int, where: str = "true") -> str:
-    return f"""WITH {RUNS}, {recent(n, where)}
+def comparison(n: int | None, where: str = "true") -> str:
+    chosen = recent(n, where) if n else f"recent AS (SELECT * FROM runs WHERE {where})"
+    return f"""WITH {RUNS}, {chosen}
 SELECT document_type, prompt_version, count(*) AS run_count,
   {rnd(mean('extraction_confidence'), 4)} AS avg_extraction_confidence,
   {rnd(mean('processing_time_ms'), 2)} AS avg_processing_time_ms,
@@ -528,7 +529,7 @@ FROM chosen JOIN registry ON prompt_key = key""",
 SELECT doc_id, '{{"chars":' || length(replace(template, '{{ocr_text}}', raw_text)) || '}}' AS raw
 FROM chosen JOIN registry ON prompt_key = key""",
     "classification_prompts_rendered": f"""WITH {TYPED}, {REGISTRY}
-SELECT doc_id, replace(template, '{{ocr_text}}', substr(raw_text, 1, 500)) AS prompt
+SELECT doc_id, replace(template, '{{ocr_text}}', raw_text) AS prompt
 FROM typed JOIN registry ON key = 'classify_v1'""",
     "answers_parsed": f"""WITH {ANSWERS}, {parsed('answers')}
 SELECT doc_id, parse_path, {field('invoice_number')} AS invoice_number, {field('vendor_name')} AS vendor_name,
@@ -621,7 +622,8 @@ WHERE document_type = 'invoice' ORDER BY start_time DESC, run_id DESC LIMIT 25""
 SELECT run_id, document_type, epoch_us(start_time) AS start_us, extraction_confidence, recency FROM recent""",
     "latest_runs_per_type_deep": f"""WITH {RUNS}, {recent(1500)}
 SELECT run_id, document_type, epoch_us(start_time) AS start_us, extraction_confidence, recency FROM recent""",
-    "prompts_compared": comparison(500),
+    "prompts_compared": comparison(None),
+    "prompts_compared_on_a_page": comparison(500),
     "invoice_prompts_compared": comparison(200, "document_type = 'invoice'"),
     "drift_checked": drift(50),
     "drift_checked_wide": drift(500),

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.fixed_values import CONFIDENCE_BOUNDS
+from quire.fixed_values import COMPARE_LIMIT, CONFIDENCE_BOUNDS
 from quire.functions.paths import work_dir
 from quire.functions.text import py_round
 from quire.operators import classify, evaluate, extract, ingest, metrics, ocr, prompts, runs, score, search, store
@@ -354,6 +354,11 @@ def prompts_compared(spark, sf_dir):
     return runs.compare_prompts(derived.runs(spark, sf_dir))
 
 
+@query
+def prompts_compared_on_a_page(spark, sf_dir):
+    return runs.compare_prompts(derived.runs(spark, sf_dir), limit=COMPARE_LIMIT)
+
+
 @query
 def invoice_prompts_compared(spark, sf_dir):
     return runs.compare_prompts(derived.runs(spark, sf_dir), "invoice", limit=200)
