@@ -13,8 +13,6 @@ A text that very many documents share is sent once per part and combined before
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
