@@ -18,6 +18,9 @@ BLOCKS = 10_000  # dealt out over the whole corpus, more when there are many sou
 BLOCKS_PER_SOURCE = 64
 SHARDS = 40
 PARTS = 1024  # parts of a source whose words are summed by separate tasks
+SEED = 11
+SIZE_BANDS = 4  # bands of document sizes for each doubling
+ONE = 1 << 24  # a whole document, in sums of fractions
 
 
 def word_count(text: str = "text") -> Column:
@@ -81,7 +84,7 @@ def mix_sources(
     carry: list[str] | None = None,
     blocks: int = BLOCKS,
     max_times: int = MAX_TIMES,
-    seed: int = 11,
+    seed: int = SEED,
     shards: int = SHARDS,
     parts: int = PARTS,
 ) -> DataFrame:
@@ -156,17 +159,50 @@ def mix_sources(
     return result.select("doc.*", *new)
 
 
+def _sampled_times(mixed: DataFrame, seed: int, parts: int) -> DataFrame:
+    """row, times: words taken as whole documents (columns row, draw, source, size, taken).
+
+    What is left after whole rounds is a fraction of a document. The fractions are added up source by source,
+    from short documents to long ones, and a document comes once more where the sum, from a seeded start,
+    passes a whole number: each comes with the chance of its fraction, whatever its length, and because like
+    sizes follow each other the words of a source stay within about one document of what is taken.
+    """
+    some = mixed.where("size > 0").withColumn("rounds", F.expr("taken div size"))
+    left = F.expr(f"((taken % size) * {ONE}) div size")
+    band = F.floor(F.log2("size") * SIZE_BANDS).cast("int")
+    some = fixed(some.select("row", "draw", "source", "size", "rounds", left.alias("left"), band.alias("band")), "mix-taken")
+    whole = some.where("left = 0").select("row", F.col("rounds").alias("times"))
+    partly = some.where("left > 0").withColumn("part", F.pmod("draw", F.lit(parts)).cast("int"))
+
+    # sums before each band of sizes and before each part of a band: sums of sums
+    by_part = partly.groupBy("source", "band", "part").agg(F.sum("left").alias("n"))
+    by_band = by_part.groupBy("source", "band").agg(F.sum("n").alias("n"))
+    before = Window.unboundedPreceding, -1
+    earlier = Window.partitionBy("source").orderBy("band").rowsBetween(*before)
+    first = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(ONE))
+    bands = by_band.select("source", "band", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + first).alias("band_start"))
+    earlier = Window.partitionBy("source", "band").orderBy("part").rowsBetween(*before)
+    starts = by_part.select("source", "band", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_start"))
+    starts = _of_source(starts, bands, "band")
+    in_part = Window.partitionBy("source", "band", "part").orderBy("size", "draw").rowsBetween(Window.unboundedPreceding, 0)
+    partly = _of_source(partly.withColumn("to", F.sum("left").over(in_part)), starts, "band", "part")
+    partly = partly.withColumn("to", F.col("to") + F.col("part_start") + F.col("band_start"))
+    again = F.expr(f"`to` div {ONE} - (`to` - `left`) div {ONE}")
+    return whole.unionByName(partly.select("row", (F.col("rounds") + again).alias("times")))
+
+
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """Documents as the mix takes them, with the columns of ``docs``: as often as their words, rounded.
+    """Documents as the mix takes them, with the columns of ``docs``: as often as their words, in whole documents.
 
-    Only the documents at the edges of blocks are taken in part; they come when at least half is taken. Each
-    document comes at most ``max_times``; documents without words do not come.
+    A document taken in part comes with the chance of that part, drawn so that the words of each source stay
+    near its target. Each document comes at most ``max_times``; documents without words do not come.
     """
-    whole = docs.select(F.struct("*").alias("record"), "doc_id", "source", "text")
+    seed, parts = parameters.get("seed", SEED), parameters.get("parts", PARTS)
+    draw = F.xxhash64(F.lit(seed), "doc_id", text_or_empty())
+    whole = docs.select(F.struct("*").alias("record"), "doc_id", "source", "text", draw.alias("draw"))
     whole = fixed(whole.withColumn("row", F.monotonically_increasing_id()), "mix-documents")
-    mixed = mix_sources(whole, carry=["row"], **parameters)
-    times = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    taken = mixed.select("row", times.alias("times")).where("times > 0")
+    mixed = mix_sources(whole, carry=["row", "draw", "source"], **parameters)
+    taken = _sampled_times(mixed, seed, parts).where("times > 0").withColumn("times", F.col("times").cast("int"))
     # texts move once, to meet the number of times they are taken
     both = whole.select("row", "record").join(taken, "row")
     return both.select("record", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("time")).select("record.*")

@@ -250,6 +250,23 @@ def test_mix_comes_near_its_targets_and_is_repeatable(spark):
     assert mixing.mix_sources(docs.limit(0), carry=["doc_id"]).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_mixed_stage_takes_long_documents_of_a_hot_source_in_proportion(spark):
+    # a: 40 long documents of 5 to 44 blocks and some short ones, a third of its words taken; b and c: short ones
+    sizes = [("a", 1000 * (5 + i)) for i in range(40)] + [("a", 50)] * 400 + [("b", 100)] * 300 + [("c", 100)] * 4000
+    docs = documents(spark, ["w " * n for _, n in sizes], [s for s, _ in sizes])
+    mixed = mixing.mix_sources(docs.drop("size"), carry=["doc_id", "source"], blocks=1430).collect()
+    targets = {r["source"]: r["target"] for r in mixed}
+    times = Counter(r["doc_id"] for r in mixing.mixed_documents(docs, blocks=1430).collect())
+    share = targets["a"] / sum(n for s, n in sizes if s == "a")
+    assert share < 0.45
+    for source in ("a", "b", "c"):
+        words = sum(times[i] * n for i, (s, n) in enumerate(sizes) if s == source)
+        assert abs(words - targets[source]) <= 0.05 * targets[source]
+    assert abs(sum(times[i] for i in range(40)) - 40 * share) <= 2
+    again = Counter(r["doc_id"] for r in mixing.mixed_documents(docs.repartition(7), blocks=1430).collect())
+    assert again == times
+
+
 @pytest.mark.parametrize("n", [0, 1, 39, 40, 333])
 def test_shards_are_even_and_gapless(spark, n):
     texts = [None if i % 9 == 0 else f"t{i % 5}" for i in range(n)]
