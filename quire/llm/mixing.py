@@ -1,6 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-The corpus is cut into blocks of equal numbers of words, source by source in a seeded order of documents.
+Each source is cut into blocks of equal numbers of words, in a seeded order of documents; sources with a small
+target have smaller blocks.
 Sainte-Laguë apportionment deals a fixed number of blocks out to the sources by highest quotients, which
 gives whole quotas for every source and shard; blocks are then picked by a seeded order, again and again
 where a quota is larger than its source.
@@ -16,6 +17,7 @@ from quire.llm.common import WORD, fixed, free_name, text_or_empty
 MAX_TIMES = 3
 BLOCKS = 10_000  # dealt out over the whole corpus, more when there are many sources
 BLOCKS_PER_SOURCE = 64
+BLOCKS_PER_TARGET = 128  # blocks in the target of any source, at least (or one word each)
 SHARDS = 40
 PARTS = 1024  # parts of a source whose words are summed by separate tasks
 SEED = 11
@@ -60,20 +62,35 @@ def source_targets(sources: DataFrame, max_times: int = MAX_TIMES) -> DataFrame:
     return ranked.withColumn("target", target).drop("_full", "_weights", "_words", "_level")
 
 
+def own_blocks(targets: DataFrame, block_words: int) -> DataFrame:
+    """Add ``block``, the words in a block of each source: ``block_words``, or less where its target is small.
+
+    The blocks of a source are as even as whole words allow.
+    """
+    fine = F.greatest(F.floor(F.col("target") / BLOCKS_PER_TARGET), F.lit(1))
+    has = F.greatest(F.ceil(F.col("source_size") / F.least(fine, F.lit(block_words))), F.lit(1))
+    return targets.withColumn("block", F.greatest(F.ceil(F.col("source_size") / has), F.lit(1)).cast("long"))
+
+
 def apportion(targets: DataFrame, block_words: int, blocks: int, max_times: int = MAX_TIMES, shards: int = SHARDS) -> DataFrame:
-    """Quota of each source and shard: source, shard, quota; quotas add up to ``blocks`` where sources allow.
+    """Quota of each source and shard: source, shard, quota, as many as ``blocks`` hold where sources allow.
 
-    Highest quotients target / (2s - 1), s = 1, 2, ...; equal quotients go to the first source by code
-    point. A source is not dealt more than ``max_times`` the blocks it has. The award of rank r goes to shard
-    (r - 1) mod ``shards``, so every shard gets its share of every source. Rows: about one per block.
+    A block has ``block_words``, or what a column ``block`` of ``targets`` says for its source. Highest
+    quotients target / block / (2s - 1), s = 1, 2, ..., until ``blocks`` times ``block_words`` are dealt; equal
+    quotients go to the first source by code point. A source is not dealt more than ``max_times`` the blocks it
+    has. The award of rank r goes to shard (r - 1) mod ``shards``, so every shard gets its share of every
+    source. Rows: about one per block.
     """
-    has = F.ceil(F.col("source_size") / F.lit(block_words))
+    if "block" not in targets.columns:
+        targets = targets.withColumn("block", F.lit(block_words))
+    has = F.ceil(F.col("source_size") / F.col("block"))
     # no more quotients than could win, with room for what capped sources leave
-    most = F.least(has * max_times, F.ceil(F.col("target") / F.lit(block_words)) * 2 + 2).cast("int")
-    seats = targets.where(F.col("target") > 0).select("source", "target", F.explode(F.sequence(F.lit(1), most)).alias("s"))
-    quotient = F.col("target") / (2 * F.col("s") - 1)
-    order = [quotient.desc(), F.col("source").asc_nulls_last(), F.col("s").asc()]
-    won = seats.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= blocks)
+    most = F.least(has * max_times, F.ceil(F.col("target") / F.col("block")) * 2 + 2).cast("int")
+    seats = targets.where(F.col("target") > 0).select("source", "target", "block", F.explode(F.sequence(F.lit(1), most)).alias("s"))
+    quotient = F.col("target") / F.col("block") / (2 * F.col("s") - 1)
+    order = Window.orderBy(quotient.desc(), F.col("source").asc_nulls_last(), F.col("s").asc())
+    dealt = F.sum("block").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    won = seats.withColumns({"rank": F.row_number().over(order), "dealt": dealt}).where(F.col("dealt") <= blocks * block_words)
     return won.groupBy("source", ((F.col("rank") - 1) % shards).cast("int").alias("shard")).agg(
         F.count(F.lit(1)).alias("quota")
     )
@@ -117,19 +134,20 @@ def mix_sources(
     sources = fixed(source_targets(sources, max_times), "mix-sources")
     totals = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("n")).first()
     block_words = max(1, -(-totals["words"] // max(blocks, BLOCKS_PER_SOURCE * totals["n"])))
+    sources = own_blocks(sources, block_words)
     quotas = apportion(sources, block_words, max(1, totals["words"] // block_words), max_times, shards)
     quotas = fixed(quotas, "mix-quotas")
 
     # which blocks are taken once more than the rest: the first in a seeded order
     dealt = _of_source(sources.where("source_size > 0"), quotas.groupBy("source").agg(F.sum("quota").alias("quota")))
-    has = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
-    dealt = dealt.withColumn("has", has).withColumn("rounds", F.expr("quota div has"))
+    has = F.ceil(F.col("source_size") / F.col("block")).cast("long")
+    dealt = dealt.withColumn("has", has).withColumnRenamed("block", "block_words").withColumn("rounds", F.expr("quota div has"))
     each = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("has") - 1)).alias("block"))
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("source"), F.col("block").cast("string")))
     in_source = Window.partitionBy("source")
     drawn = F.row_number().over(in_source.orderBy(draw, "block")) <= F.expr("quota % has")
     each = each.withColumn("once", drawn.cast("long"))
-    words = F.least(F.lit(block_words), F.col("source_size") - F.col("block") * block_words)
+    words = F.least(F.col("block_words"), F.col("source_size") - F.col("block") * F.col("block_words"))
     up_to = in_source.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("once") * words).over(up_to), F.lit(0))
     picked = fixed(each.select("source", "block", "rounds", F.struct(before.alias("before"), "once", "block").alias("at")), "mix-blocks")
@@ -140,19 +158,19 @@ def mix_sources(
     laid = _of_source(sized.withColumn("end", ends), starts, "part")
     laid = laid.select("doc", "source", "size", (F.col("start") + F.col("end")).alias("to"))
     laid = laid.withColumn("from", F.col("to") - F.col("size"))
-    known = sources.select("source", "source_size", "target")
-    nothing = _of_source(laid.where("size = 0"), known).withColumn("taken", F.lit(0).cast("long"))
+    laid = _of_source(laid, sources.select("source", "source_size", "target", F.col("block").alias("block_words")))
+    nothing = laid.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     some = laid.where("size > 0")
     for edge, last in (("from", "`from`"), ("to", "`to` - 1")):
         at = picked.withColumnRenamed("at", f"{edge}_at")
         at = at if edge == "from" else at.drop("rounds")
-        some = _of_source(some.withColumn("block", F.expr(f"({last}) div {block_words}")), at, "block", how="left").drop("block")
+        some = _of_source(some.withColumn("block", F.expr(f"({last}) div block_words")), at, "block", how="left").drop("block")
     reach = {
-        edge: F.col(f"{edge}_at.before") + F.col(f"{edge}_at.once") * (F.col(edge) - F.col(f"{edge}_at.block") * block_words)
+        edge: F.col(f"{edge}_at.before") + F.col(f"{edge}_at.once") * (F.col(edge) - F.col(f"{edge}_at.block") * F.col("block_words"))
         for edge in ("from", "to")
     }
     taken = F.col("rounds") * F.col("size") + reach["to"] - reach["from"]
-    some = _of_source(some.withColumn("taken", F.coalesce(taken, F.lit(0))), known)  # no block dealt: nothing
+    some = some.withColumn("taken", F.coalesce(taken, F.lit(0)))  # no block dealt: nothing
     result = some.unionByName(nothing, allowMissingColumns=True)
     carried = docs.select(*[F.col(f"`{c}`") for c in carry])
     new = [F.col(c).alias(free_name(carried, c)) for c in ("size", "source_size", "target", "taken")]

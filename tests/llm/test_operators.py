@@ -267,6 +267,18 @@ def test_mixed_stage_takes_long_documents_of_a_hot_source_in_proportion(spark):
     assert again == times
 
 
+def test_mix_brings_small_sources_to_their_targets(spark):
+    # one hot source; the others are 1/100,000 of the corpus, a block and a bit, and a few words
+    sizes = [("hot", 10_000)] * 300 + [("rare", 6)] * 5 + [("some", 13)] * 100 + [("tiny", 3), (None, 1)]
+    docs = documents(spark, ["w " * n for _, n in sizes], [s for s, _ in sizes])
+    rows = mixing.mix_sources(docs.drop("size"), carry=["doc_id", "source"], blocks=2500).collect()
+    assert len(rows) == len(sizes) and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    for source in ("hot", "rare", "some", "tiny", None):
+        own = [r for r in rows if r["source"] == source]
+        assert own[0]["target"] >= 3
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.02 * own[0]["target"]
+
+
 @pytest.mark.parametrize("n", [0, 1, 39, 40, 333])
 def test_shards_are_even_and_gapless(spark, n):
     texts = [None if i % 9 == 0 else f"t{i % 5}" for i in range(n)]
