@@ -99,6 +99,18 @@ def test_quality_learns_junk_and_survives_hostile_rows(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_quality_hands_over_labels_from_all_documents(spark):
+    rng = np.random.default_rng(1)
+    words = {0: ["$$$", "###", "9999", "BUY!"], 1: ["the", "river", "runs", "over", "stones"]}
+    kinds = rng.integers(0, 2, 9600)
+    docs = documents(spark, [" ".join(rng.choice(words[k], 20)) for k in kinds], [f"s{k}" for k in kinds])
+    labels = spark.createDataFrame([(i, int(kinds[i])) for i in range(600)], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels)
+    assert all(sum(given) > 8000 for given in zip(*model.rounds, strict=True))  # of 9,000, by each view
+    kept = {r["doc_id"]: r["kept"] for r in quality.score_quality(docs, model).collect()}
+    assert all(kept[i] == bool(k) for i, k in enumerate(kinds))
+
+
 def test_decontamination_finds_passages_with_replaced_words(spark):
     passage = [f"p{i}" for i in range(30)]
     changed = [w if i % 7 else "other" for i, w in enumerate(passage)]
