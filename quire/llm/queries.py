@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import fixed, table, text_or_empty
 from quire.llm.decontam import contaminated
+from quire.llm.divergence import audit_sources
 from quire.llm.exact_dedup import drop_copies
 from quire.llm.html_text import extract_main_text
 from quire.llm.mixing import mix_sources
@@ -80,6 +81,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_html_text": op9_html_text,
     "op10_sharding": op10_sharding,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLE: dict[str, str] = {
@@ -196,4 +202,36 @@ ORACLE: dict[str, str] = {
         select doc_id, coalesce(sizes.n, 0) as n_shingles, component_id, doc_id = component_id as kept
         from least left join sizes using (doc_id)
     """,
+    "op11_source_divergence": r"""
+        with d as (
+          select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+        ), words as (select r, lang, source, unnest(w) as term from d
+        ), kept as (select lang, term, count(*) as n from words group by lang, term having count(distinct r) >= 30
+        ), langs as (select lang, sum(n) as total, count(*) as v from kept group by lang
+        ), counts as (select lang, source, term, count(*) as n from words join kept using (lang, term) group by all
+        ), groups as (
+          select lang, source, coalesce(sum(n), 0) as total
+          from (select distinct lang, source from d) left join counts using (lang, source) group by all
+        ), shares as (  -- every group with every kept term of its language
+          select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+                 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v)::hugeint as p,
+                 1 + (1000000000::hugeint * (k.n + 5)) // (l.total + 5 * l.v)::hugeint as q
+          from groups g join langs l using (lang) join kept k using (lang) left join counts c using (lang, source, term)
+        ), sums as (
+          select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+          from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ), pair as (
+          select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+          from groups a join groups b on a.lang = b.lang and a.source <> b.source
+          left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+        ), term as (
+          select lang, source, 'term' as part, term as item, (p - q)::bigint as value from shares where n > 0 and p > q
+        ), ranked as (
+          select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+          from (select * from pair union all select * from term)
+        )
+        select * from ranked where part = 'pair' or rank <= 50
+    """,
 }
