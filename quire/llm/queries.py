@@ -20,6 +20,7 @@ from quire.llm.quality import fit_quality, score_quality
 from quire.llm.sharding import SHARDS, record_size, shuffle_into_shards
 from quire.llm.token_counts import count_tokens
 from quire.llm.token_files import read_token_shards, write_token_shards
+from quire.llm.trie import conversation_trie
 from quire.llm.url_filter import RULES, judge_urls, rule_table
 
 
@@ -85,6 +86,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_sharding": op10_sharding,
     "op11_source_divergence": op11_source_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -234,4 +240,40 @@ ORACLE: dict[str, str] = {
         )
         select * from ranked where part = 'pair' or rank <= 50
     """,
+    "op13_prefix_trie": r"""
+        with t as (
+          select conv_id, r, x, row_number() over (
+                   partition by conv_id order by turn nulls first, md5(length(r)::varchar || ':' || r || x)) as pos
+          from (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null)
+        ), n as (select conv_id, count(*) as n from t group by 1
+        ), c0 as (  -- CRC-32, bit by bit
+          select conv_id, n, conv_id - conv_id % 100 as base, xor(4294967295::bigint, list_reduce(
+                   list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
+                   lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+                                                 lambda v, i: xor(v >> 1, 3988292384::bigint * (v & 1))))) % 6 as h
+          from n
+        ), c as (select c0.*, least(h, coalesce(b.n, 0)) as taken from c0 left join n b on b.conv_id = c0.base
+        ), rebuilt as (
+          select conv_id, pos - h + taken as pos, r, x from t join c using (conv_id) where pos > h
+          union all
+          select c.conv_id, t.pos, r, x from c join t on t.conv_id = c.base and t.pos <= c.taken
+        ), s0 as (select conv_id, list({'r': r, 'x': x} order by pos) as s from rebuilt group by 1
+        ), s as (select conv_id, coalesce(s, []) as s from c left join s0 using (conv_id)
+        ), places as (select conv_id, s, unnest(range(len(s) + 1)) as depth from s
+        ), node as (
+          select list_slice(s, 1, depth) as path, depth, min(conv_id) as conv_id, count(*) as n_convs,
+                 sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (len(s) = depth), '')) as ends_sha256
+          from places group by 1, 2
+        ), kids as (select list_slice(path, 1, depth - 1) as path, count(*) as n_children from node where depth > 0 group by 1
+        ), full_node as (select node.*, coalesce(n_children, 0) as n_children from node left join kids using (path)
+        ), above as (select *, unnest(range(depth + 1)) as up from full_node
+        ), tree as (
+          select list_slice(path, 1, up) as path, count(*) filter (n_children = 0) as n_leaves,
+                 sum(case when depth > 0 then (n_convs - 1) * length(path[depth].x) else 0 end) as saved
+          from above group by 1
+        )
+        select f.conv_id, f.depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves,
+               saved::bigint as saved_tokens, f.ends_sha256
+        from full_node f join tree using (path) left join node p on p.depth = f.depth - 1 and p.path = list_slice(f.path, 1, f.depth - 1)
+    """,
 }
