@@ -17,6 +17,7 @@ from quire.llm.html_text import extract_main_text
 from quire.llm.mixing import mix_sources
 from quire.llm.near_dedup import near_duplicates
 from quire.llm.quality import fit_quality, score_quality
+from quire.llm.sanitise import BASE_KINDS, find_personal_data
 from quire.llm.sharding import SHARDS, record_size, shuffle_into_shards
 from quire.llm.token_counts import count_tokens
 from quire.llm.token_files import read_token_shards, write_token_shards
@@ -86,6 +87,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_sharding": op10_sharding,
     "op11_source_divergence": op11_source_divergence,
+    "op12_personal_data": op12_personal_data,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
