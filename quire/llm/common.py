@@ -30,7 +30,16 @@ def fixed(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``fixed`` wrote and that no later plan reads."""
+    for stored in tables:
+        path = stored.sparkSession._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+        path.getFileSystem(stored.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fixed
+from quire.llm.common import discard, fixed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = fixed(edges.distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = fixed(_small_star(_large_star(edges)), "edges")
+        edges, older = fixed(_small_star(_large_star(edges)), "edges"), edges
+        discard(older)
         state, last = _state(edges), state
         if state == last:
             break

@@ -7,9 +7,11 @@
    rarest values first, is enough).
 3. In each list every class is compared with one leader; the estimate from the union of both sketches sorts
    out most pairs, the full sets decide. This joins dense groups with few comparisons.
-4. Lists that still hold several components are gone through again, so that no link is lost: short lists
-   pair by pair; long ones through their members' full sets, joined on the rarest shingles under the size and
-   position bounds that every similar pair meets. Neither builds all pairs of a large group.
+4. Classes of lists that still hold several components are gone through again by their full sets, joined on the rarest
+   shingles under the size and place bounds that every similar pair meets: first with the most central classes of
+   each list, 1, then 4, then 16, contracting what they join, so that a dense group of any size becomes one component
+   with comparisons in proportion to its size; at last all pairs of components that are still apart. No link is lost,
+   and no round builds all pairs of a large group.
 5. Connected components of the confirmed links, with the smallest document id of each.
 """
 
@@ -23,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_batches, broadcast_within, fixed, text_or_empty
+from quire.functions.ranking import first_per_group
+from quire.llm.common import bounded_batches, broadcast_within, discard, fixed, text_or_empty
 from quire.llm.components import connected_components
 from quire.llm.shingles import shingle_set
 
 K = 64
 SPREAD = 0.3  # similar sets share at least the threshold less this part of a sketch (six standard deviations)
 SLACK = 0.28  # the estimate may be so much below the threshold (over five standard deviations)
-SHORT_LIST = 24  # lists up to this length are gone through pair by pair
+LEADERS = (1, 4, 16)  # leaders of a list in the rounds of comparison before the last, which takes all that is left
 BROADCAST_KEYS = 1_000_000
 
 _SKETCH = "n_shingles long, digest binary, sketch array<long>"
@@ -108,15 +111,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataF
     return both.where(F.col("shared") * 100 >= joined * percent).select("src", "dst")
 
 
-def _short_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components in lists that hold ``members`` (array of struct group, class)."""
-    one = members.select("members", F.explode("members").alias("a"))
-    two = one.select("a", F.explode("members").alias("b")).where("a.class < b.class and a.group <> b.group")
-    return two.select(F.col("a.class").alias("src"), F.col("b.class").alias("dst")).distinct()
+def _leader_pairs(lists: DataFrame) -> DataFrame:
+    """src, dst: every class of a list with the list's leader."""
+    leaders = lists.groupBy("value").agg(F.min(F.struct("own", "class")).alias("leader"))
+    stars = lists.join(leaders, "value").where(F.col("class") != F.col("leader.class"))
+    ends = F.least("leader.class", "class").alias("src"), F.greatest("leader.class", "class").alias("dst")
+    return stars.select(*ends).distinct()
+
+
+def _groups(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """class, group: the component of every class, itself where it has no link."""
+    found = connected_components(links).withColumnsRenamed({"node": "class", "component": "group"})
+    found = sets.select("class").join(found, "class", "left")
+    return fixed(found.select("class", F.coalesce("group", "class").alias("group")), "groups")
+
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """value, class, n_shingles, alone, place: the rarest shingles of each full set, as many as a similar set must meet.
 
-def _long_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that the full sets' rarest shingles cannot rule out.
+    alone: how many shingles of the set no other one has.
 
     For sets of sizes a <= b with enough in common: a is at least ``percent`` of b, they share at least
     percent * (a + b) / (100 + percent) shingles, and so the first shared one, in any fixed order of shingles,
@@ -131,19 +144,30 @@ def _long_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     alone = (n - F.size("shared")).cast("int")
     kept = F.slice(F.array_sort("shared"), F.lit(1), F.greatest(longest - alone, F.lit(0)).cast("int"))
     entries = common.select("class", "n_shingles", alone.alias("alone"), F.posexplode(kept).alias("i", "entry"))
-    entries = entries.select("class", "n_shingles", (F.col("alone") + F.col("i")).alias("place"), F.col("entry.value").alias("value"))
-    entries = fixed(entries.join(groups, "class"), "prefixes")
-    a = entries.select("value", *[F.col(c).alias(f"{c}_a") for c in ("class", "n_shingles", "place", "group")])
-    b = entries.select("value", *[F.col(c).alias(f"{c}_b") for c in ("class", "n_shingles", "place", "group")])
-    # the smaller set's places are bounded more tightly: equal sizes are the least it can meet
-    a = a.where(F.col("place_a") <= F.col("n_shingles_a") - _ceil_div(2 * percent * F.col("n_shingles_a"), 100 + percent))
+    return entries.select("entry.value", "class", "n_shingles", "alone", (F.col("alone") + F.col("i")).alias("place"))
+
+
+def _open_pairs(prefixes: DataFrame, leaders: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+    """src, dst: classes and leaders of different components that meet in a prefix and can be similar by sizes and places."""
+    entries = prefixes.join(group, "class")
+    several = entries.groupBy("value").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+    entries = entries.join(several.select("value"), "value")
+    if leaders is not None:
+        leaders = leaders.join(group, "class")
+    a, b = (
+        side.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n_shingles", "place", "group")])
+        for side, x in ((entries, "a"), (entries if leaders is None else leaders, "b"))
+    )
     needed = _ceil_div(percent * (F.col("n_shingles_a") + F.col("n_shingles_b")), 100 + percent)
     rest = F.least(F.col("n_shingles_a") - F.col("place_a"), F.col("n_shingles_b") - F.col("place_b"))
-    order = (F.col("n_shingles_a") < F.col("n_shingles_b")) | (
-        (F.col("n_shingles_a") == F.col("n_shingles_b")) & (F.col("class_a") < F.col("class_b"))
-    )
-    fits = (F.col("n_shingles_a") * 100 >= F.col("n_shingles_b") * percent) & (rest >= needed) & order
-    met = a.join(b, "value").where(fits & (F.col("group_a") != F.col("group_b")))
+    small, large = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
+    fits = (small * 100 >= large * percent) & (rest >= needed) & (F.col("group_a") != F.col("group_b"))
+    if leaders is None:  # each pair from one side only
+        order = F.struct("n_shingles_a", "class_a") < F.struct("n_shingles_b", "class_b")
+        # the smaller set's places are bounded more tightly: equal sizes are the least it can meet
+        a = a.where(F.col("place_a") <= F.col("n_shingles_a") - _ceil_div(2 * percent * F.col("n_shingles_a"), 100 + percent))
+        fits = fits & order
+    met = a.join(b, "value").where(fits)
     ends = F.least("class_a", "class_b").alias("src"), F.greatest("class_a", "class_b").alias("dst")
     return met.select(*ends).distinct()
 
@@ -173,33 +197,37 @@ def similar_classes(docs: DataFrame, carry: list[str], width: int, percent: int,
     found = found.groupBy("mark").agg(F.first("text").alias("text")).join(wanted.select("mark", "class"), "mark")
     sets = found.select("class", "text").mapInArrow(lambda b: _sets(b, width), "class long, shingles array<long>")
     sets = fixed(sets.join(wanted.select("class", "n_shingles", "sketch"), "class"), "sets")
+    discard(wanted)
 
     # every class of a list with the list's leader, the class that adds least of its own
-    leaders = lists.groupBy("value").agg(F.min(F.struct("own", "class")).alias("leader"))
-    stars = lists.join(leaders, "value").where(F.col("class") != F.col("leader.class"))
-    ends = F.least("leader.class", "class").alias("src"), F.greatest("leader.class", "class").alias("dst")
-    stars = stars.select(*ends).distinct()
-    links = fixed(_confirmed(stars, sets, percent, k), "links")
-
-    # what is left between components
-    group = connected_components(links).withColumnRenamed("node", "class").withColumnRenamed("component", "group")
-    group = fixed(sets.select("class").join(group, "class", "left").select("class", F.coalesce("group", "class").alias("group")), "groups")
-    grouped = lists.join(group, "class")
-    open_lists = grouped.groupBy("value").agg(
-        F.count(F.lit(1)).alias("length"), F.min("group").alias("low"), F.max("group").alias("high")
-    )
-    open_lists = fixed(open_lists.where("low <> high").select("value", "length"), "open-lists")
-    left = grouped.join(open_lists, "value")
-    short = left.where(F.col("length") <= SHORT_LIST).groupBy("value")
-    short = _short_pairs(short.agg(F.collect_list(F.struct("group", "class")).alias("members")))
-    members = fixed(left.where(F.col("length") > SHORT_LIST).select("class").distinct(), "long-lists")
-    long = _long_pairs(sets.join(members, "class", "left_semi"), group, percent)
-    more = short.unionByName(long).distinct().join(stars, ["src", "dst"], "left_anti")
-    links = links.unionByName(fixed(_confirmed(more, sets, percent, k), "more-links"))
+    tried = fixed(_leader_pairs(lists), "leader-pairs")
+    links = fixed(_confirmed(tried, sets, percent, k), "links")
+    group = _groups(sets, links)
+
+    # what is left between components, by prefixes of the full sets: first every class with the most central ones of its
+    # lists, those that have fewest shingles alone; what they join needs no further pairs. Then all pairs of components
+    # that are still apart.
+    open_lists = lists.join(group, "class").groupBy("value").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    members = lists.join(open_lists.where("low <> high"), "value").select("class").distinct()
+    prefixes = fixed(_prefixes(sets.join(members, "class", "left_semi"), percent), "all-prefixes")
+    order = [F.col("alone"), F.col("class")]
+    central = fixed(first_per_group(prefixes, ["value"], order, LEADERS[-1], spread_by="class", rank="rank"), "central")
+    tests = [tried]
+    for low, high in zip((0, *LEADERS), (*LEADERS, None)):
+        leaders = None if high is None else central.where(F.col("rank").between(low + 1, high))
+        pairs = fixed(_open_pairs(prefixes, leaders, group, percent).join(tried, ["src", "dst"], "left_anti"), "open-pairs")
+        tests.append(pairs)
+        tried = tried.unionByName(pairs)
+        found = fixed(_confirmed(pairs, sets, percent, k), "more-links")
+        if found.head(1):
+            links = links.unionByName(found)
+            group = _groups(sets, links)
 
     named = rows.select(*carry, "n_shingles", "digest")
     keys = classes.select("digest", "n_shingles", "class")
-    return named.join(keys, ["digest", "n_shingles"], "left").select(*carry, "n_shingles", "class"), links
+    named = fixed(named.join(keys, ["digest", "n_shingles"], "left").select(*carry, "n_shingles", "class"), "classed")
+    discard(rows, classes, lists, sets, prefixes, central, *tests)
+    return named, links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -218,12 +246,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
 def _judged(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Adds component_id and kept to rows (doc_id, row, n_shingles, class)."""
-    rows = fixed(rows, "classed")
     groups = connected_components(links).withColumnRenamed("node", "class")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     firsts = rows.where("class is not null").groupBy("class").agg(first.alias("first"))
     firsts = firsts.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = firsts.groupBy("component").agg(F.min("first").alias("least"))
+    least = broadcast_within(least, BROADCAST_KEYS)
     known = firsts.select("class", "component").join(least, "component").select(
         "class", F.col("least.doc_id").alias("least_id"), F.col("least.row").alias("least_row")
     )
@@ -236,8 +264,8 @@ def _judged(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any other columns) that are kept: one per group, unchanged."""
-    whole = docs.select(F.struct("*").alias("record"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    whole = fixed(whole.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    rows, links = similar_classes(whole, ["doc_id", "row"], width, percent, k)
+    whole = fixed(docs.select(F.struct("*").alias("record"), F.monotonically_increasing_id().alias("row")), "numbered")
+    texts = whole.select(F.col("record.doc_id").cast("long").alias("doc_id"), "row", "record.text")
+    rows, links = similar_classes(texts, ["doc_id", "row"], width, percent, k)
     dropped = fixed(_judged(rows, links).where(~F.col("kept")).select("row"), "dropped")
     return whole.join(broadcast_within(dropped, BROADCAST_KEYS), "row", "left_anti").select("record.*")

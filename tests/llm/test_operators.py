@@ -207,7 +207,7 @@ def brute_components(texts, width, percent):
 
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, percent):
-    monkeypatch.setattr(near_dedup, "SHORT_LIST", 4)  # the long lists' way, too
+    monkeypatch.setattr(near_dedup, "LEADERS", (1,))  # more is left for the last round
     rng = np.random.default_rng(5)
     texts = ["", None, " \n", "one", "ONE", "two words", "two\twords", " ".join(BASE), " ".join(BASE)]
     for _ in range(90):  # copies with a few words replaced, chains among them
@@ -221,6 +221,26 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("n", [250, 500, 1000])
+def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch, n):
+    """One group of near copies, each with some words replaced; some are linked only through others."""
+    rng = np.random.default_rng(n)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(n):
+        copy = list(words)
+        for place in rng.integers(0, 200, int(rng.integers(0, 9))):
+            copy[place] = f"v{rng.integers(10**6)}"
+        texts.append(" ".join(copy))
+    tested = []
+    confirmed = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *rest: tested.append(pairs.count()) or confirmed(pairs, *rest))
+    got = near_dedup.near_duplicates(documents(spark, texts)).collect()
+    assert sum(tested) < 5 * n, tested
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(texts, 5, 80)
+    assert len({r["component_id"] for r in got}) < n / 2
+
+
 def test_near_duplicate_stage_keeps_rows_as_they_are(spark):
     docs = documents(spark, [" ".join(BASE), " ".join(BASE[:-1]), None, "", "x y z"])
     docs = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
