@@ -217,9 +217,10 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """
     seed, parts = parameters.get("seed", SEED), parameters.get("parts", PARTS)
     draw = F.xxhash64(F.lit(seed), "doc_id", text_or_empty())
-    whole = docs.select(F.struct("*").alias("record"), "doc_id", "source", "text", draw.alias("draw"))
-    whole = fixed(whole.withColumn("row", F.monotonically_increasing_id()), "mix-documents")
-    mixed = mix_sources(whole, carry=["row", "draw", "source"], **parameters)
+    whole = docs.select(F.struct("*").alias("record"), draw.alias("draw"), F.monotonically_increasing_id().alias("row"))
+    whole = fixed(whole, "mix-documents")
+    texts = whole.select("row", "draw", "record.doc_id", "record.source", "record.text")
+    mixed = mix_sources(texts, carry=["row", "draw", "source"], **parameters)
     taken = _sampled_times(mixed, seed, parts).where("times > 0").withColumn("times", F.col("times").cast("int"))
     # texts move once, to meet the number of times they are taken
     both = whole.select("row", "record").join(taken, "row")
