@@ -27,7 +27,7 @@ def test_newest_rows_are_cut_before_the_shuffle(log, spark, sf_dir):
     for df in (
         runs.check_drift(log),
         runs.check_drift(log, window=500),
-        runs.compare_prompts(log),
+        runs.compare_prompts(log, limit=500),
         runs.latest_runs_per_type(log, 1000),
         store.upsert_documents(derived.stored_documents(spark, sf_dir), derived.document_updates(spark, sf_dir)),
         search.search_similar(derived.index_documents(spark, sf_dir), derived.label_queries(spark, sf_dir)),
@@ -36,6 +36,11 @@ def test_newest_rows_are_cut_before_the_shuffle(log, spark, sf_dir):
         assert "WindowGroupLimit" in text and "Partial" in text
 
 
+def test_comparison_of_all_runs_combines_before_its_shuffle(log):
+    text = plan(runs.compare_prompts(log))
+    assert "partial_count" in text and "Window" not in text and text.count("Exchange hashpartitioning") == 1
+
+
 def test_drift_shuffles_only_cut_rows(log):
     text = plan(runs.check_drift(log))
     assert text.count("Exchange hashpartitioning") == 2 and text.count("Partial") == 2
