@@ -1,6 +1,6 @@
-"""Scoring of Arrow batches against a bounded block of query vectors."""
+"""Scoring of Arrow batches of vectors against queries, and the arithmetic of vector cells."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 # distances closer than this are treated as equal, so that copies rank by id on every machine
 DISTANCE_DIGITS = 9
 _PENDING_ROWS = 50_000
+_SCORED_ROWS = 4096
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -22,98 +23,122 @@ def matrix_of(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def hyperplanes(width: int, bits: int, seed: int) -> np.ndarray:
-    """Random hyperplanes that cut the space into 2**bits cells."""
-    return np.random.default_rng(seed).standard_normal((width, bits))
+class TopK:
+    """The k nearest rows (cosine distance, then id) of each query, over batches of rows.
 
+    Memory: one distance matrix of some thousand rows and the kept rows; pairs that cannot enter the k best
+    are never built.
+    """
 
-def cells_of(matrix: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """Cell number of each row: one bit per hyperplane side."""
-    sides = (matrix @ planes) >= 0
-    return sides.astype(np.int64) @ (1 << np.arange(planes.shape[1], dtype=np.int64))
-
-
-def nearest_cells(matrix: np.ndarray, planes: np.ndarray, count: int) -> np.ndarray:
-    """For each row the ``count`` cells whose crossing costs the least distance to the hyperplanes."""
-    bits = planes.shape[1]
-    margins = matrix @ planes
-    all_cells = np.arange(1 << bits, dtype=np.int64)
-    cell_sides = ((all_cells[:, None] >> np.arange(bits)) & 1).astype(bool)
-    crossed = (margins >= 0)[:, None, :] != cell_sides[None, :, :]
-    cost = (np.abs(margins)[:, None, :] * crossed).sum(axis=2)
-    return np.argsort(cost, axis=1, kind="stable")[:, :count]
-
+    def __init__(self, queries: np.ndarray, k: int):
+        self.units, self.k = unit_rows(queries), k
+        self.limit = np.full(len(queries), np.inf)  # distance a row must not exceed to matter
+        self.kept: pa.Table | None = None
+        self.pending: list[pa.Table] = []
+        self.waiting = 0
+
+    def add(self, vectors: np.ndarray, rows: pa.Table) -> None:
+        """``rows`` are carried along, one for each of ``vectors``; they have a column ``id``."""
+        for at in range(0, len(vectors), _SCORED_ROWS):
+            self._add(vectors[at : at + _SCORED_ROWS], rows.slice(at, _SCORED_ROWS))
+
+    def _add(self, vectors: np.ndarray, rows: pa.Table) -> None:
+        distance = np.round(1.0 - unit_rows(vectors) @ self.units.T, DISTANCE_DIGITS) + 0.0  # no negative zero
+        id_place = np.empty(len(vectors), dtype=np.int64)
+        id_place[pc.sort_indices(rows.column("id")).to_numpy()] = np.arange(len(vectors))
+        places, numbers = [], []
+        for q in np.flatnonzero(distance.min(axis=0) <= self.limit):
+            found = np.flatnonzero(distance[:, q] <= self.limit[q])
+            if len(found) > self.k:
+                found = found[np.lexsort((id_place[found], distance[found, q]))[: self.k]]
+            places.append(found)
+            numbers.append(np.full(len(found), q, dtype=np.int64))
+        if not places:
+            return
+        place, query = np.concatenate(places), np.concatenate(numbers)
+        hits = rows.take(pa.array(place)).append_column("query_no", pa.array(query))
+        self.pending.append(hits.append_column("distance", pa.array(distance[place, query])))
+        self.waiting += len(place)
+        if self.kept is None or self.waiting >= _PENDING_ROWS or not np.isfinite(self.limit).all():
+            self._settle()
+
+    def _settle(self) -> None:
+        rows = pa.concat_tables(([self.kept] if self.kept is not None else []) + self.pending)
+        rows = rows.sort_by([("query_no", "ascending"), ("distance", "ascending"), ("id", "ascending")])
+        query = rows.column("query_no").to_numpy()
+        starts = np.r_[0, np.flatnonzero(np.diff(query)) + 1] if len(query) else np.array([], dtype=int)
+        place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+        self.kept = rows.filter(pa.array(place < self.k))
+        self.pending, self.waiting = [], 0
+        query, distance = self.kept.column("query_no").to_numpy(), self.kept.column("distance").to_numpy()
+        full = np.bincount(query, minlength=len(self.units)) >= self.k
+        worst = np.full(len(self.units), -np.inf)
+        np.maximum.at(worst, query, distance)
+        self.limit[full] = worst[full]
 
-def _keep_best(rows: pa.Table, k: int) -> pa.Table:
-    """At most k rows per query, by distance and then id."""
-    rows = rows.sort_by([("query_no", "ascending"), ("distance", "ascending"), ("id", "ascending")])
-    query = rows.column("query_no").to_numpy()
-    starts = np.r_[0, np.flatnonzero(np.diff(query)) + 1] if len(query) else np.array([], dtype=int)
-    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
-    return rows.filter(pa.array(place < k))
+    def best(self) -> pa.Table | None:
+        """The kept rows with query_no and distance; None without any row."""
+        if self.pending:
+            self._settle()
+        return self.kept
 
 
-def top_k_batches(
-    batches: Iterator[pa.RecordBatch], queries: np.ndarray, k: int, probes: np.ndarray | None = None, cell_count: int = 0
-) -> Iterator[pa.RecordBatch]:
-    """The k nearest rows of one task for each query (cosine distance).
+def top_k_slots(width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows sorted by slot and, in a slot, queries before documents: each slot's k nearest rows per query.
 
-    Batches have ``embedding`` first; other columns are carried along. With ``probes`` (query x cell
-    numbers) a query sees only rows whose ``cell`` it probes. Memory: one distance matrix per batch and
-    the kept rows; pairs that cannot enter the k best are never built.
+    Columns: slot, asked (a query's vector, else null), query_id, embedding (a document's vector, else null), and the
+    columns carried for documents. A slot's queries are held, its documents pass by batch after batch.
     """
-    width = queries.shape[1]
-    units = unit_rows(queries)
-    limit = np.full(len(queries), np.inf)  # distance a row must not exceed to matter
-    probed = None
-    if probes is not None:
-        probed = np.zeros((len(queries), cell_count), dtype=bool)
-        probed[np.arange(len(queries))[:, None], probes] = True
-    kept: pa.Table | None = None
-    pending: list[pa.Table] = []
-    waiting = 0
-
-    def settle() -> pa.Table:
-        nonlocal pending, waiting
-        best = _keep_best(pa.concat_tables(([kept] if kept is not None else []) + pending), k)
-        pending, waiting = [], 0
-        query = best.column("query_no").to_numpy()
-        distance = best.column("distance").to_numpy()
-        full = np.bincount(query, minlength=len(queries)) >= k
-        worst = np.full(len(queries), -np.inf)
-        np.maximum.at(worst, query, distance)
-        limit[full] = worst[full]
-        return best
-
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        docs = unit_rows(matrix_of(batch.column("embedding"), width))
-        distance = np.round(1.0 - docs @ units.T, DISTANCE_DIGITS) + 0.0  # no negative zero
-        if probes is not None:
-            distance[~probed[:, batch.column("cell").to_numpy()].T] = np.inf
-        id_place = np.empty(batch.num_rows, dtype=np.int64)
-        id_place[pc.sort_indices(batch.column("id")).to_numpy()] = np.arange(batch.num_rows)
-        rows, numbers = [], []
-        for q in np.flatnonzero(np.fmin.reduce(distance, axis=0) <= limit):
-            found = np.flatnonzero((distance[:, q] <= limit[q]) & np.isfinite(distance[:, q]))
-            if len(found) > k:
-                found = found[np.lexsort((id_place[found], distance[found, q]))[:k]]
-            rows.append(found)
-            numbers.append(np.full(len(found), q, dtype=np.int64))
-        row = np.concatenate(rows) if rows else np.array([], dtype=np.int64)
-        if len(row) == 0:
-            continue
-        query = np.concatenate(numbers)
-        payload = batch.drop_columns(["embedding"] + (["cell"] if probes is not None else []))
-        hits = pa.Table.from_batches([payload]).take(pa.array(row))
-        hits = hits.append_column("query_no", pa.array(query))
-        hits = hits.append_column("distance", pa.array(distance[row, query]))
-        pending.append(hits)
-        waiting += len(row)
-        if kept is None or waiting >= _PENDING_ROWS or not np.isfinite(limit).all():
-            kept = settle()
-    if pending:
-        kept = settle()
-    if kept is not None:
-        yield from kept.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, scorer = None, None
+        vectors: list[np.ndarray] = []
+        ids: list[pa.Array] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            best = scorer.best() if scorer else None
+            if best is not None:
+                named = pa.concat_arrays(ids).take(best.column("query_no").combine_chunks())
+                best = best.drop_columns(["query_no"]).append_column("query_id", named)
+                yield from best.combine_chunks().to_batches()
+
+        for batch in batches:
+            numbers = batch.column("slot").to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(numbers)) + 1, len(numbers)] if len(numbers) else [0]
+            for begin, end in zip(edges[:-1], edges[1:]):
+                if numbers[begin] != slot:
+                    yield from close()
+                    slot, scorer, vectors, ids = numbers[begin], None, [], []
+                part = batch.slice(begin, end - begin)
+                n = len(part) - part.column("asked").null_count  # queries come first
+                if n:
+                    vectors.append(matrix_of(part.column("asked").slice(0, n), width))
+                    ids.append(part.column("query_id").slice(0, n))
+                if n < len(part) and vectors:
+                    scorer = scorer or TopK(np.concatenate(vectors), k)
+                    docs = part.slice(n)
+                    rows = pa.Table.from_batches([docs]).drop_columns(["slot", "asked", "query_id", "embedding"])
+                    scorer.add(matrix_of(docs.column("embedding"), width), rows)
+        yield from close()
+
+    return run
+
+
+def euclidean(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distance of every row to every centre."""
+    squared = (rows**2).sum(axis=1)[:, None] - 2 * rows @ centres.T + (centres**2).sum(axis=1)[None, :]
+    return np.sqrt(np.maximum(squared, 0))
+
+
+def centres_of(rows: np.ndarray, count: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """Centres of at most ``count`` cells by Lloyd's rounds over a bounded sample, from seeded distinct rows."""
+    distinct = np.unique(rows, axis=0)
+    rng = np.random.default_rng(seed)
+    centres = distinct[rng.permutation(len(distinct))[:count]]
+    for _ in range(rounds):
+        nearest = np.concatenate([euclidean(rows[at : at + _SCORED_ROWS], centres).argmin(axis=1) for at in range(0, len(rows), _SCORED_ROWS)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, rows)
+        held = np.bincount(nearest, minlength=len(centres))
+        centres = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], centres)
+    return centres

@@ -291,22 +291,46 @@ def _found(hits: DataFrame) -> DataFrame:
     )
 
 
+def _index_and_queries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All indexed documents, and every one whose id is divisible by 50 as a query."""
+    docs = derived.index_documents(spark, sf_dir)
+    return docs, docs.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+
+
 @query
 def similar_documents(spark, sf_dir):
-    return _found(search.search_similar(derived.index_documents(spark, sf_dir), derived.label_queries(spark, sf_dir)))
+    return _found(search.search_similar(*_index_and_queries(spark, sf_dir)))
 
 
 @query
 def similar_invoices(spark, sf_dir):
-    docs, queries = derived.index_documents(spark, sf_dir), derived.label_queries(spark, sf_dir)
-    return _found(search.search_similar(docs, queries, k=20, document_type="invoice"))
+    """Of one type, with several blocks of queries."""
+    return _found(search.search_similar(*_index_and_queries(spark, sf_dir), k=20, document_type="invoice", block=4))
+
+
+def _written_index(spark, docs) -> str:
+    path = work_dir(spark, "index")
+    search.write_search_index(docs, path)
+    return path
 
 
 @query
 def similar_documents_approximate(spark, sf_dir):
-    path = work_dir(spark, "index")
-    search.write_search_index(derived.index_documents(spark, sf_dir), path, width=64)
-    return _found(search.search_approx(spark, path, derived.label_queries(spark, sf_dir), n_probe=16))
+    docs, queries = _index_and_queries(spark, sf_dir)
+    return _found(search.search_index(spark, _written_index(spark, docs), queries))
+
+
+@query
+def similar_documents_indexed(spark, sf_dir):
+    """Through the index, looking on until no other cell can hold a nearer document."""
+    docs, queries = _index_and_queries(spark, sf_dir)
+    return _found(search.search_index(spark, _written_index(spark, docs), queries, probes=2, exact=True))
+
+
+@query
+def similar_invoices_indexed(spark, sf_dir):
+    docs, queries = _index_and_queries(spark, sf_dir)
+    return _found(search.search_index(spark, _written_index(spark, docs), queries, k=20, document_type="invoice"))
 
 
 @query

@@ -326,15 +326,6 @@ def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query vector per label: the mean of all its embeddings."""
-    spread = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("at", "value"))
-    means = spread.groupBy("label", "at").agg(F.avg(F.col("value").cast("double")).alias("value"))
-    return means.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
-        F.array_sort(F.collect_list(F.struct("at", "value")))["value"].alias("embedding")
-    )
-
-
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current index rows, one per document."""
     return table(spark, sf_dir, "documents").selectExpr(

@@ -18,6 +18,11 @@ def exchanges(df):
     return plan(df).count("Exchange hashpartitioning")
 
 
+def index_and_queries(spark, sf_dir):
+    docs = derived.index_documents(spark, sf_dir)
+    return docs, docs.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+
+
 @pytest.fixture(scope="module")
 def log(spark, sf_dir):
     return derived.runs(spark, sf_dir)
@@ -30,7 +35,6 @@ def test_newest_rows_are_cut_before_the_shuffle(log, spark, sf_dir):
         runs.compare_prompts(log, limit=500),
         runs.latest_runs_per_type(log, 1000),
         store.upsert_documents(derived.stored_documents(spark, sf_dir), derived.document_updates(spark, sf_dir)),
-        search.search_similar(derived.index_documents(spark, sf_dir), derived.label_queries(spark, sf_dir)),
     ):
         text = plan(df)
         assert "WindowGroupLimit" in text and "Partial" in text
@@ -63,9 +67,19 @@ def test_page_and_line_texts_share_a_shuffle(spark, sf_dir):
     assert exchanges(ocr.assemble_text(derived.words(spark, sf_dir))) == 2
 
 
-def test_search_builds_no_pairs(spark, sf_dir):
-    text = plan(search.search_similar(derived.index_documents(spark, sf_dir), derived.label_queries(spark, sf_dir)))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+def test_search_builds_no_pairs(spark, sf_dir, monkeypatch):
+    docs, queries = index_and_queries(spark, sf_dir)
+    copies = docs.withColumn("id", F.explode(F.array([F.col("id") * 10 + i for i in range(5)])))
+    stored = []
+    monkeypatch.setattr(search, "_stored", lambda df, purpose: stored.append(plan(df)) or df)
+    whole = plan(search.search_similar(copies, queries, block=3))
+    (text,) = stored
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in text and node not in whole
+    # several blocks of queries, one scan of the vectors for them and one for the documents; each slot's best are cut again
+    # before their shuffle, and no text or metadata goes with them
+    assert text.count("MapInArrow") == 1 and text.count("FileScan parquet [vec_id") == 2
+    assert text.count("WindowGroupLimit") == 4 and text.count("Partial") == 2
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"model_applied", "uploads_scanned"}))
