@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quire.fixed_values import INVOICE_NUMBER_WORDS, TAX_RATE
 from quire.functions.json import is_object_text, strict_parse
 from quire.functions.text import py_float, py_round, py_strip
+from quire.operators.layout import amount, cell_block, cell_value, colon_lines, item_rows, label_cell, party, text_lines
 from quire.schemas import LINE_ITEM
 
 _FENCE = "```"
@@ -57,12 +58,20 @@ def parse_model_json(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     )
 
 
+def _numbered_items(items: Column) -> Column:
+    """Line items whose numbers are read as Python reads them: text counts, a unit or currency sign does not."""
+    numbers = ("quantity", "unit_price", "total")
+    return F.transform(items, lambda item: F.struct(item["description"].alias("description"), *[py_float(item[n]).alias(n) for n in numbers]))
+
+
 def _typed(data: Column, fields: dict[str, str]) -> list[Column]:
     """Columns of an object VARIANT; a missing or unfit list is an empty list."""
     columns = []
     for name, kind in fields.items():
         if kind == "double":
             value = py_float(F.try_variant_get(data, f"$.{name}", "string"))
+        elif name == "line_items":
+            value = _numbered_items(F.try_variant_get(data, f"$.{name}", kind.replace("double", "string")))
         else:
             value = F.try_variant_get(data, f"$.{name}", kind)
         if kind.startswith("array"):
@@ -113,9 +122,9 @@ def explode_line_items(invoices: DataFrame, id_col: str = "doc_id") -> DataFrame
     )
 
 
-def _money_sum(value: Column) -> Column:
-    """Sum in decimal, so that the cents do not depend on the order of rows; numbers beyond 20 digits are left out."""
-    return F.coalesce(F.sum(value.try_cast("decimal(28,8)")), F.lit(0)).cast("double")
+def _cents(value: Column) -> Column:
+    """In decimal, so that sums do not depend on the order of rows; null beyond 20 digits before the point."""
+    return value.try_cast("decimal(28,8)")
 
 
 def _with_tax(df: DataFrame, rate: float) -> DataFrame:
@@ -125,10 +134,13 @@ def _with_tax(df: DataFrame, rate: float) -> DataFrame:
 
 
 def invoice_totals(items: DataFrame, rate: float = TAX_RATE, id_col: str = "doc_id") -> DataFrame:
-    """Subtotal, tax and total per invoice from its items (sums combine before the shuffle)."""
-    sums = items.groupBy(id_col).agg(
-        _money_sum(F.col("total")).alias("subtotal"), F.count("item_no").alias("item_count")
-    )
+    """Subtotal, tax and total per invoice from its items (sums combine before the shuffle).
+
+    All three are null where the total of any item is missing or unreadable; without items they are 0.
+    """
+    known = F.count(_cents(F.col("total"))) == F.count("item_no")
+    total = F.coalesce(F.sum(_cents(F.col("total"))), F.lit(0)).cast("double")
+    sums = items.groupBy(id_col).agg(F.when(known, total).alias("subtotal"), F.count("item_no").alias("item_count"))
     return _with_tax(sums, rate)
 
 
@@ -137,12 +149,13 @@ def verify_totals(
 ) -> DataFrame:
     """Compare stated subtotal, tax and total with those of the items, within ``tol``; no shuffle.
 
-    ``tol`` must allow one cent: tax rounding may differ by that much on exact halves.
+    ``tol`` must allow one cent: tax rounding may differ by that much on exact halves. The checks are null where an
+    item's total is missing or unreadable, false where a stated amount is.
     """
     item_sum = F.aggregate(
         "line_items",
         F.lit(0).cast("decimal(38,8)"),
-        lambda acc, item: (acc + F.coalesce(item["total"].try_cast("decimal(28,8)"), F.lit(0))).cast("decimal(38,8)"),
+        lambda acc, item: (acc + _cents(item["total"])).cast("decimal(38,8)"),
     ).cast("double")
     stated = invoices.select(
         id_col,
@@ -156,7 +169,7 @@ def verify_totals(
     def agrees(stated_col: str, computed_col: str) -> Column:
         # rounded first: a difference of exactly tol counts as close
         gap = py_round(F.abs(F.col(stated_col) - F.col(computed_col)), 6)
-        return F.coalesce(gap <= tol, F.lit(False))
+        return F.when(F.col(computed_col).isNotNull(), F.coalesce(gap <= tol, F.lit(False)))
 
     return computed.withColumns(
         {
@@ -177,44 +190,39 @@ def invoice_number(df: DataFrame, text_col: str = "raw_text", out: str = "invoic
     return df.withColumn(out, F.nullif(py_strip(F.substring_index(first, ":", -1)), F.lit("")))
 
 
-# Line patterns of the rule-based reader: a label at the start of a line, then its value.
-NUMBER_PATTERN = r"(?im)^[ \t]*invoice[ \t]*(?:number[ \t]*:|#)[ \t]*(\S+)"
+# labels of the rule-based reader, and what may stand for an invoice number without a colon
 LABELS = {
     "invoice_date": "invoice date|date",
-    "due_date": "payment due|due",
-    "vendor_name": "from|seller",
-    "customer_name": "to|buyer",
+    "due_date": "payment due|due date|due",
     "payment_terms": "payment terms|terms",
 }
-AMOUNT_LABELS = {"subtotal": "subtotal|net total", "tax": "tax|vat", "total_amount": "grand total|total"}
-ITEM_PATTERN = r"(?m)^.+?[ \t]+\d+[ \t]+[$€][\d,.]+[ \t]+[$€][\d,.]+[ \t]*$"
-
-
-def label_pattern(labels: str) -> str:
-    """A label at the start of a line or after two blanks; its value ends before two blanks or with the line."""
-    return rf"(?im)(?:^|[ \t][ \t])[ \t]*(?:{labels})[ \t]*:[ \t]*([^\n]+?)[ \t]*(?:[ \t][ \t]|$)"
-
-
-def amount_pattern(labels: str) -> str:
-    return rf"(?im)^[ \t]*(?:{labels})[^:\n]*:[ \t]*[$€]?([\d,.]+)"
+PARTIES = {"vendor": "from|seller|vendor|bill from", "customer": "to|buyer|customer|bill to|billed to|sold to"}
+AMOUNT_LABELS = {"subtotal": "subtotal|net total", "tax": "tax|vat", "total_amount": "grand total|total due|amount due|total"}
+NUMBER_LABELS = r"invoice number|invoice no\.?|inv no\.?"
+NUMBER_PATTERN = r"(?im)^[ \t]*+invoice[ \t]*+#[ \t]*+([^\s:]\S*+)"
 
 
 def extract_invoice_fields(df: DataFrame, text_col: str = "raw_text", id_col: str = "doc_id") -> DataFrame:
-    """Invoice fields read from text by line patterns; a field without a match is null.
+    """Invoice fields read off the page by labels and places; a field without a value is null.
 
-    Names end at the first comma (an address may follow).
+    A label owns the text beside it or, failing that, the cells of the column below it (see ``layout``), so that two
+    parties side by side, and labels above their values, are read. A party's name ends at the first comma; the rest of
+    it and the lines below are its address. ``line_items`` are the lines that end in a count and two amounts.
     """
-    text = F.coalesce(text_col, F.lit(""))
-
-    def found(pattern: str) -> Column:
-        return F.nullif(py_strip(F.regexp_extract(text, pattern, 1)), F.lit(""))
-
-    columns = {"invoice_number": found(NUMBER_PATTERN)}
-    for name, labels in LABELS.items():
-        value = found(label_pattern(labels))
-        columns[name] = py_strip(F.substring_index(value, ",", 1)) if name.endswith("_name") else value
-    for name, labels in AMOUNT_LABELS.items():
-        columns[name] = F.replace(found(amount_pattern(labels)), F.lit(","), F.lit("")).try_cast("double")
-    columns["currency"] = F.when(text.contains("€"), "EUR").when(text.contains("$"), "USD")
-    columns["line_items_count"] = F.regexp_count(text, F.lit(ITEM_PATTERN)).cast("bigint")
-    return df.select(id_col, *[c.alias(n) for n, c in columns.items()])
+    # texts, lines and label cells are columns of their own, so that each is found once
+    names = LABELS | PARTIES | AMOUNT_LABELS | {"number": NUMBER_LABELS}
+    cut = df.withColumn("_text", F.coalesce(text_col, F.lit(""))).withColumn("_lines", text_lines(F.col("_text")))
+    cut = cut.withColumn("_labels", colon_lines(F.col("_lines")))
+    cut = cut.withColumns({f"_{name}": label_cell(F.col("_lines"), F.col("_labels"), labels) for name, labels in names.items()})
+    cut = cut.withColumns({f"_{name}": cell_block(F.col("_lines"), F.col(f"_{name}")) for name in PARTIES})
+    number = F.nullif(F.regexp_extract("_text", NUMBER_PATTERN, 1), F.lit(""))
+    labelled = F.nullif(F.regexp_extract(cell_value(F.col("_number")), r"^(\S+)", 1), F.lit(""))
+    columns = {"invoice_number": F.coalesce(number, labelled)}
+    columns |= {name: cell_value(F.col(f"_{name}")) for name in LABELS}
+    for name in PARTIES:
+        columns[f"{name}_name"], columns[f"{name}_address"] = party(F.col(f"_{name}"))
+    columns |= {name: amount(cell_value(F.col(f"_{name}"))) for name in AMOUNT_LABELS}
+    columns["currency"] = F.when(F.col("_text").contains("€"), "EUR").when(F.col("_text").contains("$"), "USD")
+    columns["line_items"] = item_rows(F.col("_lines"))
+    read = cut.select(id_col, *[c.alias(n) for n, c in columns.items()])
+    return read.withColumn("line_items_count", F.size("line_items").cast("bigint"))

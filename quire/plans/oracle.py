@@ -9,7 +9,6 @@ from quire.fixed_values import (
     PYTHON_WHITESPACE,
     STABLE_ADVICE,
 )
-from quire.operators.extract import AMOUNT_LABELS, ITEM_PATTERN, LABELS, NUMBER_PATTERN, amount_pattern, label_pattern
 from quire.operators.metrics import HISTOGRAMS
 
 
@@ -164,7 +163,10 @@ plain_answers AS (
   SELECT *, '{{"invoice_number":"INV-' || doc_id || '","invoice_date":"' || issued || '","vendor_name":'
     || CASE WHEN doc_id % 8 = 7 THEN 'null' ELSE '"' || vendor || '"' END
     || ',"customer_name":"' || CASE WHEN doc_id % 19 = 3 THEN lower(customer) ELSE customer END || '","line_items":'
-    || CASE WHEN doc_id % 19 = 5 THEN 'null' ELSE '[' || items_json || ']' END
+    || CASE WHEN doc_id % 19 = 5 THEN 'null' ELSE '[' || CASE doc_id % 23
+      WHEN 9 THEN replace(replace(items_json, '"total":', '"total":"'), '}}', '"}}')
+      WHEN 11 THEN replace(replace(items_json, '"total":', '"total":"'), '}}', 'd"}}')
+      WHEN 13 THEN replace(replace(items_json, '"total":', '"total":"$'), '}}', '"}}') ELSE items_json END || ']' END
     || CASE WHEN doc_id % 19 = 4 THEN '' ELSE ',"subtotal":' || CAST(subtotal AS VARCHAR) END
     || ',"tax":' || CASE WHEN doc_id % 19 = 7 THEN '""' ELSE CAST(tax AS VARCHAR) END || ',"total_amount":'
     || CASE doc_id % 19 WHEN 0 THEN CAST(CAST(stated_total + 0.005 AS DECIMAL(18,3)) AS VARCHAR)
@@ -550,25 +552,22 @@ numbered AS (SELECT doc_id, data, CAST(unnest(range(CAST(n AS BIGINT))) AS BIGIN
 items AS (
   SELECT doc_id, item_no, json_extract_string(data, '$.line_items[' || item_no || '].description') AS description,
     {', '.join(
-        f"CAST(json_extract_string(data, '$.line_items[' || item_no || '].{n}') AS DOUBLE) AS {n}"
+        f"TRY_CAST(json_extract_string(data, '$.line_items[' || item_no || '].{n}') AS DOUBLE) AS {n}"
         for n in ('quantity', 'unit_price', 'total'))} FROM numbered
   UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL FROM counted WHERE n = 0)"""
 
 _TOTALS = f"""{_ITEMS},
 sums AS (
-  SELECT doc_id, CAST(coalesce(sum(CAST(total AS DECIMAL(28,8))), 0) AS DOUBLE) AS subtotal, count(item_no) AS item_count
+  SELECT doc_id, CASE WHEN count(total) = count(item_no) THEN
+      CAST(coalesce(sum(CAST(total AS DECIMAL(28,8))), 0) AS DOUBLE) END AS subtotal, count(item_no) AS item_count
   FROM items GROUP BY doc_id),
 taxed AS (SELECT *, {exact('subtotal * 0.085::DOUBLE', 2)} AS tax FROM sums),
 totals AS (SELECT *, {exact('subtotal + tax', 2)} AS total FROM taxed)"""
 
 
 def _close(stated: str, computed: str) -> str:
-    return f"coalesce({exact(f'abs(TRY_CAST({field(stated)} AS DOUBLE) - {computed})', 6)} <= 0.01::DOUBLE, false)"
-
-
-def _found(pattern: str, strip_to_comma: bool = False) -> str:
-    value = f"nullif({strip(f'regexp_extract(raw_text, {text(pattern)}, 1)')}, '')"
-    return strip(f"string_split({value}, ',')[1]") if strip_to_comma else value
+    gap = exact(f"abs(TRY_CAST({field(stated)} AS DOUBLE) - {computed})", 6)
+    return f"CASE WHEN {computed} IS NOT NULL THEN coalesce({gap} <= 0.01::DOUBLE, false) END"
 
 
 ORACLE |= {
@@ -582,13 +581,18 @@ FROM totals t JOIN parsed p ON t.doc_id = p.doc_id""",
   SELECT doc_id, list_filter(string_split({strip('raw_text')}, chr(10)), lambda x: contains(x, ':')
     AND regexp_matches(lower(x), 'invoice|inv#|inv-|number'))[1] AS line FROM invoice_texts)
 SELECT doc_id, nullif({strip("string_split(line, ':')[-1]")}, '') AS invoice_number FROM first_lines""",
-    "invoice_fields": f"""WITH {INVOICE_TEXTS}
-SELECT doc_id, {_found(NUMBER_PATTERN)} AS invoice_number,
-  {', '.join(f"{_found(label_pattern(v), n.endswith('_name'))} AS {n}" for n, v in LABELS.items())},
-  {', '.join(
-        f"TRY_CAST(replace({_found(amount_pattern(v))}, ',', '') AS DOUBLE) AS {n}" for n, v in AMOUNT_LABELS.items())},
-  CASE WHEN contains(raw_text, '€') THEN 'EUR' WHEN contains(raw_text, '$') THEN 'USD' END AS currency,
-  CAST(len(regexp_extract_all(raw_text, {text(ITEM_PATTERN)})) AS BIGINT) AS line_items_count FROM invoice_texts""",
+    # what was printed on each page, whatever its layout
+    "invoice_fields": f"""WITH {BASE}
+SELECT doc_id, 'INV-' || doc_id AS invoice_number, issued AS invoice_date, issued AS due_date, 'Net 30' AS payment_terms,
+  vendor AS vendor_name, 'Dock ' || n_items AS vendor_address, customer AS customer_name, segment AS customer_address,
+  CAST(subtotal AS DOUBLE) AS subtotal, CAST(tax AS DOUBLE) AS tax, CAST(stated_total AS DOUBLE) AS total_amount,
+  CASE WHEN doc_id % 4 = 2 THEN 'EUR' ELSE 'USD' END AS currency, n_items AS line_items_count FROM base""",
+    "invoice_lines_read": f"""
+SELECT o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_orderkey {_ORDER}) - 1 AS item_no, p_name AS description,
+  CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS quantity, CAST({_money('p_retailprice')} AS DOUBLE) AS unit_price,
+  CAST({_money('l_extendedprice')} AS DOUBLE) AS total
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey""",
     "confidence_scored": f"WITH {SCORED_SOURCE} SELECT doc_id, document_type, {SCORE} AS confidence_score FROM parsed",
     "fields_counted": f"""WITH {SCORED_SOURCE}
 SELECT doc_id, document_type, CAST({NON_NULL_KEYS} AS BIGINT) AS fields_extracted,

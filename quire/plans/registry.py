@@ -227,7 +227,15 @@ def invoice_numbers(spark, sf_dir):
 
 @query
 def invoice_fields(spark, sf_dir):
-    return extract.extract_invoice_fields(derived.invoice_texts(spark, sf_dir))
+    return extract.extract_invoice_fields(derived.invoice_layouts(spark, sf_dir)).drop("line_items")
+
+
+@query
+def invoice_lines_read(spark, sf_dir):
+    """The items that the layout reader finds on the page, one row each."""
+    read = extract.extract_invoice_fields(derived.invoice_layouts(spark, sf_dir))
+    items = extract.explode_line_items(read)
+    return items.withColumn("item_no", _long("item_no"))
 
 
 def _scored(spark, sf_dir) -> DataFrame:

@@ -193,7 +193,7 @@ def invoice_answers_of(base: DataFrame) -> DataFrame:
         "concat('{\"invoice_number\":\"INV-', doc_id, '\",\"invoice_date\":\"', issued, '\",\"vendor_name\":',"
         " CASE WHEN doc_id % 8 = 7 THEN 'null' ELSE concat('\"', vendor, '\"') END,"
         " ',\"customer_name\":\"', CASE WHEN doc_id % 19 = 3 THEN lower(customer) ELSE customer END, '\",\"line_items\":',"
-        " CASE WHEN doc_id % 19 = 5 THEN 'null' ELSE concat('[', items_json, ']') END,"
+        " CASE WHEN doc_id % 19 = 5 THEN 'null' ELSE concat('[', answered_items, ']') END,"
         " CASE WHEN doc_id % 19 = 4 THEN '' ELSE concat(',\"subtotal\":', subtotal) END,"
         " ',\"tax\":', CASE WHEN doc_id % 19 = 7 THEN '\"\"' ELSE CAST(tax AS STRING) END, ',\"total_amount\":',"
         " CASE doc_id % 19 WHEN 0 THEN CAST(CAST(stated_total + 0.005 AS DECIMAL(18,3)) AS STRING)"
@@ -201,7 +201,13 @@ def invoice_answers_of(base: DataFrame) -> DataFrame:
         " WHEN 2 THEN concat('\"', stated_total, '\"') WHEN 6 THEN '\"12.5d\"' ELSE CAST(stated_total AS STRING) END,"
         " ',\"currency\":', CASE WHEN doc_id % 8 = 7 THEN '\"\"' ELSE '\"USD\"' END, '}')"
     )
-    return base.withColumn("answer", F.expr(answer)).selectExpr(
+    # totals of items as text: a number, one with a letter after it, one with its currency
+    quoted = "replace(replace(items_json, '\"total\":', '\"total\":\"{}'), '}}', '{}\"}}')"
+    items = (
+        f"CASE doc_id % 23 WHEN 9 THEN {quoted.format('', '')} WHEN 11 THEN {quoted.format('', 'd')}"
+        f" WHEN 13 THEN {quoted.format('$', '')} ELSE items_json END"
+    )
+    return base.withColumn("answered_items", F.expr(items)).withColumn("answer", F.expr(answer)).selectExpr(
         "doc_id",
         "CASE doc_id % 8 WHEN 3 THEN concat('```json\n', answer, '\n```') WHEN 4 THEN concat('Here it is:\n', answer)"
         " WHEN 5 THEN concat(answer, ' x {\"b\":2}') WHEN 6 THEN CASE doc_id % 3 WHEN 0 THEN 'not json'"
@@ -235,23 +241,56 @@ def contract_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PLAIN_TEXT = (
+    "concat(CASE doc_id % 5 WHEN 0 THEN concat('Invoice Number: INV-', doc_id, '   Date: ', issued)"
+    " WHEN 1 THEN concat('INVOICE #INV-', doc_id, '\nDate: ', issued)"
+    " ELSE concat('Invoice Number: INV-', doc_id, '\nDate: ', issued) END,"
+    " '\nDue: ', issued, '\nFROM: ', vendor, ', Dock ', n_items, '\nTO: ', customer, ', ', segment,"
+    " '\n\nItem  Qty  Unit Price  Total\n', items_text, '\n\nSubtotal: $', subtotal, '\nTax (8.5%): $', tax,"
+    " '\nTOTAL: $', stated_total, '\nPayment Terms: Net 30')"
+)
+
+
 def invoice_texts_of(base: DataFrame) -> DataFrame:
     """Invoices as plain text in three layouts."""
-    return base.selectExpr(
-        "doc_id",
-        "concat(CASE doc_id % 5 WHEN 0 THEN concat('Invoice Number: INV-', doc_id, '   Date: ', issued)"
-        " WHEN 1 THEN concat('INVOICE #INV-', doc_id, '\nDate: ', issued)"
-        " ELSE concat('Invoice Number: INV-', doc_id, '\nDate: ', issued) END,"
-        " '\nDue: ', issued, '\nFROM: ', vendor, ', Dock ', n_items, '\nTO: ', customer, ', ', segment,"
-        " '\n\nItem  Qty  Unit Price  Total\n', items_text, '\n\nSubtotal: $', subtotal, '\nTax (8.5%): $', tax,"
-        " '\nTOTAL: $', stated_total, '\nPayment Terms: Net 30') AS raw_text",
-    )
+    return base.selectExpr("doc_id", f"{_PLAIN_TEXT} AS raw_text")
 
 
 def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invoice_texts_of(invoice_base(spark, sf_dir))
 
 
+def invoice_layouts_of(base: DataFrame) -> DataFrame:
+    """Invoices in more layouts: as above, parties side by side, below their labels, and all labels above their values."""
+    gap = "rpad('', 44, ' ')"
+    columns = (
+        "concat(rpad('MILL SERVICES', 55, ' '), 'INVOICE\n\n', rpad(concat('Invoice Number: INV-', doc_id), 44, ' '), 'Date: ',"
+        f" issued, '\n', {gap}, 'Due:  ', issued, '\n\n', rpad('FROM:', 44, ' '), 'BILL TO:\n', rpad(vendor, 44, ' '), customer,"
+        " '\n', rpad(concat('Dock ', n_items), 44, ' '), segment, '\n\nDescription    Qty    Unit Price    Total\n-----\n',"
+        f" items_text, '\n\n', {gap}, 'Subtotal:   $', subtotal, '\n', {gap}, 'Tax (8.5%):   $', tax, '\n', {gap},"
+        " 'TOTAL DUE:  $', stated_total, '\n\nPayment Terms: Net 30\n')"
+    )
+    below = (
+        "concat('Invoice Number: INV-', doc_id, '\nInvoice Date: ', issued, '\nPayment Due: ', issued, '\n\nSeller: ', vendor,"
+        " '\nDock ', n_items, '\n\nBuyer: ', customer, '\n', segment, '\n\nDescription   Qty   Price   Amount\n',"
+        " replace(items_text, '$', '€'), '\n\nNet Total: €', subtotal, '\nVAT (8.5%): €', tax, '\nGrand Total: €', stated_total,"
+        " '\nTerms: Net 30')"
+    )
+    above = (
+        "concat(rpad('INVOICE NO:', 20, ' '), rpad('DATE:', 16, ' '), 'DUE DATE:\n', rpad(concat('INV-', doc_id), 20, ' '),"
+        " rpad(issued, 16, ' '), issued, '\n\n', rpad('SELLER:', 30, ' '), 'BUYER:\n', rpad(vendor, 30, ' '), customer, '\n',"
+        " rpad(concat('Dock ', n_items), 30, ' '), segment, '\n\n', items_text, '\n\n', rpad('Subtotal:', 20, ' '),"
+        " rpad('Tax (8.5%):', 20, ' '), 'Grand Total:\n', rpad(concat('$', subtotal), 20, ' '), rpad(concat('$', tax), 20, ' '), '$',"
+        " stated_total, '\n\nTerms: Net 30')"
+    )
+    text = f"CASE doc_id % 4 WHEN 1 THEN {columns} WHEN 2 THEN {below} WHEN 3 THEN {above} ELSE {_PLAIN_TEXT} END AS raw_text"
+    return base.selectExpr("doc_id", text)
+
+
+def invoice_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invoice_layouts_of(invoice_base(spark, sf_dir))
+
+
 def invoice_truth_of(base: DataFrame) -> DataFrame:
     """Expected fields of every invoice, one row per field."""
     number = "CAST({} AS DOUBLE)"

@@ -282,3 +282,22 @@ def test_fields_beside_each_other_on_one_line(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, raw_text string")
     row = extract.extract_invoice_fields(df).first()
     assert (row["invoice_date"], row["vendor_name"], row["customer_name"], row["total_amount"]) == ("2024-02-03", "Mill", "House", 5.0)
+
+
+def test_item_numbers_are_read_as_text(spark):
+    def answer(*totals):
+        items = [{"description": "x", "quantity": "2", "unit_price": 1e3, "total": t} for t in totals]
+        return json.dumps({"line_items": items, "subtotal": 16.0, "tax": 1.36, "total_amount": 17.36})
+
+    answers = [answer(10, "6.0"), answer("3.5d", 12.5), answer("$12.50", 3.5), answer(16, None), answer(), json.dumps({"line_items": [{"total": 16}]})]
+    invoices = extract.as_invoices(parsed(spark, answers))
+    items = {r["doc_id"]: r["line_items"] for r in invoices.collect()}
+    assert [i["total"] for i in items[0]] == [10.0, 6.0] and items[0][0]["quantity"] == 2.0 and items[0][0]["unit_price"] == 1000.0
+    assert [i["total"] for i in items[1]] == [None, 12.5] and [i["total"] for i in items[2]] == [None, 3.5]
+    rows = {r["doc_id"]: r for r in extract.verify_totals(invoices).collect()}
+    assert (rows[0]["subtotal"], rows[0]["subtotal_ok"], rows[0]["total_ok"]) == (16.0, True, True)
+    for unknown in (1, 2, 3):
+        assert [rows[unknown][c] for c in ("subtotal", "tax", "total", "subtotal_ok", "tax_ok", "total_ok")] == [None] * 6
+    assert (rows[4]["subtotal"], rows[4]["subtotal_ok"]) == (0.0, False) and rows[5]["subtotal_ok"] is False
+    totals = {r["doc_id"]: r["total"] for r in extract.invoice_totals(extract.explode_line_items(invoices)).collect()}
+    assert totals == {0: 17.36, 1: None, 2: None, 3: None, 4: 0.0, 5: 17.36}
