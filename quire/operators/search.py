@@ -8,10 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline as Stages
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -320,25 +316,3 @@ def search_index(
         more = looked_into(limits.mapInArrow(_probed(cells, centres, radii, probes or about["probes"], True), schema))
         hits = hits if more is None else _nearest(hits.drop("rank").unionByName(more.drop("rank")), k)
     return _with_payload(hits, chosen)
-
-
-def fit_embedder(docs: DataFrame, text_col: str = "text", size: int = 256) -> PipelineModel:
-    """Learn token weights for ``embed_text`` (one distributed pass for document frequencies)."""
-    return Stages(
-        stages=[
-            RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+"),
-            HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=size),
-            IDF(inputCol="_counts", outputCol="_weights"),
-            Normalizer(inputCol="_weights", outputCol="_unit"),
-        ]
-    ).fit(docs.where(F.col(text_col).isNotNull()))
-
-
-def embed_text(df: DataFrame, model: PipelineModel, text_col: str = "text", out: str = "embedding") -> DataFrame:
-    """Add a unit-length vector of hashed, weighted words of the whole text."""
-    known = df.withColumn(text_col, F.coalesce(text_col, F.lit("")))
-    return (
-        model.transform(known)
-        .withColumn(out, vector_to_array("_unit", "float32"))
-        .drop("_tokens", "_counts", "_weights", "_unit")
-    )

@@ -570,6 +570,39 @@ def _close(stated: str, computed: str) -> str:
     return f"CASE WHEN {computed} IS NOT NULL THEN coalesce({gap} <= 0.01::DOUBLE, false) END"
 
 
+# tokens at the place their MD5 names, weighed by how few documents have the place
+_TEXTS_SEARCHED = f"""WITH updates AS (
+  SELECT doc_id AS id, unnest(range(CAST(quality AS BIGINT) + 1)) AS seq, text, lang, toxic FROM labels JOIN documents USING (doc_id)),
+store AS (
+  SELECT doc_id AS id, coalesce(text, '') AS text, lang AS document_type FROM documents WHERE doc_id NOT IN (SELECT id FROM updates)
+  UNION ALL SELECT id, arg_max(text || ' (' || seq || ')', seq), any_value(lang || '-' || toxic) FROM updates GROUP BY id),
+fitted AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents),
+questions AS (SELECT item_id AS id, text FROM benchmark),
+token AS (
+  SELECT kind, id, CAST('0x' || substr(md5(token), 1, 7) AS INTEGER) % 256 AS place FROM (
+    SELECT 'fit' AS kind, id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM fitted
+    UNION ALL SELECT 'doc', id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) FROM store
+    UNION ALL SELECT 'ask', id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) FROM questions)),
+weights AS (
+  SELECT place, ln(((SELECT count(*) FROM fitted) + 1)::DOUBLE / (n + 1)) + 1 AS weight FROM (
+    SELECT range AS place, (SELECT count(DISTINCT id) FROM token t WHERE kind = 'fit' AND t.place = r.range) AS n FROM range(256) r)),
+weighed AS (SELECT kind, id, place, count(*) * any_value(weight) AS x FROM token JOIN weights USING (place) GROUP BY ALL),
+lengths AS (SELECT kind, id, sqrt(sum(x * x)) AS length FROM weighed GROUP BY ALL),
+units AS (SELECT kind, id, place, CAST(CAST(x / length AS FLOAT) AS DOUBLE) AS x FROM weighed JOIN lengths USING (kind, id)),
+norms AS (SELECT kind, id, sqrt(sum(x * x)) AS norm FROM units GROUP BY ALL),
+dots AS (
+  SELECT a.id AS query_id, d.id, sum(a.x * d.x) AS dot FROM units a JOIN units d ON a.kind = 'ask' AND d.kind = 'doc' AND a.place = d.place
+  GROUP BY ALL),
+scored AS (
+  SELECT q.id AS query_id, s.id, s.text, document_type, round(1 - coalesce(dot / (qn.norm * sn.norm), 0), 9) + 0.0 AS distance
+  FROM questions q CROSS JOIN store s LEFT JOIN dots ON dots.query_id = q.id AND dots.id = s.id
+  LEFT JOIN norms qn ON qn.kind = 'ask' AND qn.id = q.id LEFT JOIN norms sn ON sn.kind = 'doc' AND sn.id = s.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM scored)
+SELECT query_id, rank, id, substr(text, 1, 200) || '...' AS text_preview, document_type,
+  {exact('distance', 6)} AS distance FROM ranked WHERE rank <= 5"""
+
+ORACLE |= {n: _TEXTS_SEARCHED for n in ("similar_texts", "similar_texts_of_a_newer_model", "stream_similar_texts")}
+
 ORACLE |= {
     "line_items_exploded": f"WITH {_ITEMS} SELECT * FROM items",
     "invoices_totalled": f"WITH {_TOTALS} SELECT doc_id, subtotal, item_count, tax, total FROM totals",

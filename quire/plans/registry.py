@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from quire.fixed_values import COMPARE_LIMIT, CONFIDENCE_BOUNDS
 from quire.functions.paths import work_dir
 from quire.functions.text import py_round
-from quire.operators import classify, evaluate, extract, ingest, metrics, ocr, prompts, runs, score, search, store
+from quire.operators import classify, embed, evaluate, extract, ingest, metrics, ocr, prompts, runs, score, search, store
 from quire.plans import documents
 from quire.session import configure
 from quire.sources import derived
 from quire.sources.uploads import scan_uploads
-from quire.streaming import streams
+from quire.streaming import snapshots, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -341,15 +341,31 @@ def similar_invoices_indexed(spark, sf_dir):
     return _found(search.search_index(spark, _written_index(spark, docs), queries, k=20, document_type="invoice"))
 
 
+def _stored_texts(spark, sf_dir) -> tuple[embed.EmbeddingModel, DataFrame, DataFrame, DataFrame]:
+    """A model of all texts, the index rows, their updates, and the benchmark passages as questions."""
+    current, updates = derived.stored_documents(spark, sf_dir), derived.document_updates(spark, sf_dir)
+    asked = derived.table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text")
+    return embed.fit_model(current), current, updates, asked
+
+
 @query
 def similar_texts(spark, sf_dir):
-    """Benchmark passages as questions to an index of all documents, embedded by their words."""
-    texts = derived.table(spark, sf_dir, "documents").selectExpr(
-        "doc_id AS id", "text", "map('document_type', lang) AS metadata"
-    )
-    model = search.fit_embedder(texts)
-    asked = derived.table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text")
-    return _found(search.search_similar(search.embed_text(texts, model), search.embed_text(asked, model)))
+    """Texts in, text questions out: a store that embeds what it is given, updated once."""
+    model, current, updates, asked = _stored_texts(spark, sf_dir)
+    path = work_dir(spark, "texts")
+    embed.store_texts(embed.embed_text(current, model), updates, model).write.parquet(path)
+    return _found(embed.search_texts(spark.read.parquet(path), asked, model))
+
+
+@query
+def similar_texts_of_a_newer_model(spark, sf_dir):
+    """Half of the store was embedded by an older model of other weights; the search embeds it anew."""
+    model, current, updates, asked = _stored_texts(spark, sf_dir)
+    old = embed.EmbeddingModel(0, tuple(1.0 for _ in model.weights))
+    known = embed.embed_text(current.where("id % 2 = 0"), model).unionByName(embed.embed_text(current.where("id % 2 <> 0"), old))
+    path = work_dir(spark, "texts")
+    embed.store_texts(known, updates, model).write.parquet(path)
+    return _found(embed.search_texts(spark.read.parquet(path), asked, model))
 
 
 @query
@@ -636,6 +652,21 @@ def stream_upserted(spark, sf_dir):
     return _index_columns(streams.read_documents(spark, path))
 
 
+@query
+def stream_similar_texts(spark, sf_dir):
+    """As ``similar_texts``, with all rows and updates through a stream, embedded in its batches, compacted after."""
+    model, current, updates, asked = _stored_texts(spark, sf_dir)
+    arriving = work_dir(spark, "arriving-texts")
+    current.write.parquet(arriving)
+    # the second file brings the updates; they count as later than rows of the same seq
+    updates.withColumn("seq", F.col("seq") + 1).repartition(1).write.mode("append").parquet(arriving)
+    path, checkpoint = work_dir(spark, "texts"), work_dir(spark, "texts-checkpoint")
+    texts = streams.read_stream(spark, arriving, current.schema, files_per_batch=1)
+    streams.stream_upsert(texts, path, checkpoint, model).awaitTermination()
+    snapshots.compact(spark, path)
+    return _found(embed.search_texts(streams.read_documents(spark, path), asked, model))
+
+
 @query
 def stream_drift(spark, sf_dir):
     path, checkpoint = work_dir(spark, "drift"), work_dir(spark, "drift-checkpoint")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.fixed_values import DRIFT_WINDOW, SCRAPE_WINDOW
+from quire.operators.embed import EmbeddingModel, embed_text
 from quire.operators.metrics import bucket_counts, bucket_rows
 from quire.operators.runs import check_drift, latest_runs_per_type
 from quire.operators.store import latest_per_id
 from quire.plans.documents import process_documents
+from quire.streaming import snapshots
 
 
 def read_stream(
@@ -83,32 +85,32 @@ def stream_dedup(
     return stream.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(id_cols)
 
 
-def stream_upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a document table up to date from a stream of index rows (id, seq, ...).
+def stream_upsert(stream: DataFrame, path: str, checkpoint: str, model: EmbeddingModel | None = None) -> StreamingQuery:
+    """Keep a document table up to date from a stream of index rows (id, seq, text, ...).
 
-    Each batch writes its own folder, reduced to one row per id, so the cost follows the batch and not
-    the table; a repeated batch overwrites its own folder. ``read_documents`` gives the current rows.
+    Each batch writes its own folder, reduced to one row per id, and commits it as a new snapshot, so the cost follows
+    the batch and not the table; a batch that was committed before is not written again. With ``model`` the texts are
+    embedded on the way. ``read_documents`` gives the current rows.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # Spark names every checkpoint in its metadata: a renewed one starts at batch 0 in folders of its own
+        run = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        if snapshots.read_snapshot(spark, path).committed.get(run, -1) >= batch_id:
+            return
         newest = latest_per_id(batch.withColumn("_tie", F.xxhash64("text")), order=("seq", "_tie")).drop("_tie")
-        # Spark names every checkpoint in its metadata: a renewed one starts at batch 0 in a folder of its own
-        run = batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
-        newest.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
+        newest = newest if model is None else embed_text(newest, model)
+        newest.write.mode("overwrite").parquet(snapshots.folder(path, run, batch_id))
+        snapshots.append(spark, path, run, batch_id)
 
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Current rows of a table kept by ``stream_upsert``: highest ``seq``, then latest batch, then run."""
-    rows = spark.read.parquet(path).withColumn("run", F.col("run").cast("string"))
-    return latest_per_id(rows, order=("seq", "batch_id", "run")).drop("batch_id", "run")
-
-
-def compact_documents(spark: SparkSession, path: str, new_path: str) -> None:
-    """Write the current rows as the base of a new folder, which no stream writes over."""
-    read_documents(spark, path).write.parquet(f"{new_path}/run=base/batch_id=-1")
+def read_documents(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Current rows of a table kept by ``stream_upsert``, or those of a snapshot: highest ``seq``, then latest commit."""
+    return snapshots.read_rows(spark, path, snapshots.read_snapshot(spark, path, version))
 
 
 def stream_drift(runs: DataFrame, path: str, checkpoint: str, window: int = DRIFT_WINDOW) -> StreamingQuery:

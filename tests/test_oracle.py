@@ -33,7 +33,7 @@ def plain(rows):
 
 def test_every_twin_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"uploads_scanned", "similar_documents_approximate", "similar_texts"}
+    assert set(QUERIES) - set(ORACLE) == {"uploads_scanned", "similar_documents_approximate"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -172,17 +172,3 @@ def test_approximate_search_recalls_nine_of_ten(spark, folder, scale):
     found = [len({n for _, n in near[q]} & {n for _, n in exact[q]}) / len(exact[q]) for q in exact]
     print(scale, "cells", cells, "probes", probes, "recall", np.mean(found))
     assert np.mean(found) >= 0.9 and cells > 10
-
-
-def test_embedding_finds_the_same_text(spark):
-    texts = ["alpha beta gamma", "beta delta", "alpha beta gamma", "Über große Straßen", "", "epsilon zeta eta theta"]
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("metadata", F.create_map())
-    df = df.withColumn("metadata", F.expr("map('document_type', 'report')"))
-    model = search.fit_embedder(df)
-    docs = search.embed_text(df, model)
-    lengths = {r["id"]: float(np.linalg.norm(r["embedding"])) for r in docs.collect()}
-    assert all(v == pytest.approx(1.0, abs=1e-5) for i, v in lengths.items() if i != 4) and lengths[4] == 0.0
-    asked = spark.createDataFrame([("a", "GAMMA alpha, beta"), ("b", "über STRASSEN große straßen")], "query_id string, text string")
-    best = listed(search.search_similar(docs, search.embed_text(asked, model), 2))
-    assert [n for _, n in best["a"]] == [0, 2] and best["a"][0][0] == pytest.approx(0.0, abs=1e-6)
-    assert best["b"][0][1] == 3

@@ -11,7 +11,7 @@ from quire.operators.prompts import prompt_registry
 from quire.plans import documents
 from quire.sources import derived
 from quire.sources.uploads import scan_uploads
-from quire.streaming import streams
+from quire.streaming import snapshots, streams
 
 
 def write_by_day(log, path, days):
@@ -103,14 +103,69 @@ def test_upserts_over_batches_restarts_and_repeats(spark, folder):
     want = {r["id"]: r["text"] for r in store.upsert_documents(everything.limit(0), everything).collect()}
     assert want == {1: "a1", 2: "b2", 3: "c1"}
     assert {r["id"]: r["text"] for r in streams.read_documents(spark, table).collect()} == want
-    streams.compact_documents(spark, table, folder + "/compact")
-    assert {r["id"]: r["text"] for r in streams.read_documents(spark, folder + "/compact").collect()} == want
-    # the same input once more from the start overwrites the same folders
+    # the same input once more from the start: a new checkpoint writes folders of its own, with the same rows
     again = streams.stream_upsert(files(spark, folder + "/in", df.schema), table, folder + "/other")
     again.awaitTermination()
     assert {r["id"]: r["text"] for r in streams.read_documents(spark, table).collect()} == want
 
 
+def texts_of(df):
+    return {r["id"]: r["text"] for r in df.collect()}
+
+
+def test_snapshots_with_concurrent_compaction_and_restart(spark, folder, monkeypatch):
+    kind = "id long, seq long, text string, metadata map<string,string>"
+    table, checkpoint = folder + "/table", folder + "/checkpoint"
+
+    def arrive(*part):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(folder + "/in")
+        stream = files(spark, folder + "/in", spark.createDataFrame([], kind).schema)
+        streams.stream_upsert(stream, table, checkpoint).awaitTermination()
+
+    assert snapshots.read_snapshot(spark, table).version == 0
+    with pytest.raises(ValueError, match="nothing was committed"):
+        streams.read_documents(spark, table)
+    arrive((1, 0, "a", {}), (2, 0, "b", {}))
+    arrive((1, 1, "a1", {}))
+    assert snapshots.read_snapshot(spark, table).version == 2
+    pinned = streams.read_documents(spark, table, version=1)
+
+    # a batch commits between what the compaction reads and what it publishes; so does another writer's manifest
+    publish = snapshots._published
+    calls = []
+
+    def interrupted(spark_, path, snapshot):
+        calls.append(snapshot)
+        if len(calls) == 1:
+            monkeypatch.setattr(snapshots, "_published", publish)
+            arrive((2, 1, "b1", {}), (3, 0, "c", {}))
+        return publish(spark_, path, snapshot)
+
+    monkeypatch.setattr(snapshots, "_published", interrupted)
+    done = snapshots.compact(spark, table)
+    assert done.version == 4 and done.base and len(done.folders) == 2
+    want = {1: "a1", 2: "b1", 3: "c"}
+    assert texts_of(streams.read_documents(spark, table)) == want
+    assert texts_of(pinned) == {1: "a", 2: "b"}
+
+    # restart: nothing new arrives, and a batch that is tried again is not committed twice
+    arrive()
+    run = next(iter(done.committed))
+    assert snapshots.append(spark, table, run, 0).version == snapshots.read_snapshot(spark, table).version
+    assert texts_of(streams.read_documents(spark, table)) == want
+
+    # two compactions of the same snapshot: the second finds it gone and leaves the table alone
+    snapshots.compact(spark, table)
+    newest = snapshots.read_snapshot(spark, table)
+    assert newest.base and len(newest.folders) == 1 and texts_of(streams.read_documents(spark, table)) == want
+    old = snapshots.expire(spark, table, keep=1)
+    assert old == list(range(1, newest.version)) and texts_of(streams.read_documents(spark, table)) == want
+    with pytest.raises(ValueError, match="no snapshot 1"):
+        streams.read_documents(spark, table, version=1)
+    arrive((1, 1, "a2 of the same seq", {}), (4, 0, "d", {}))
+    assert texts_of(streams.read_documents(spark, table)) == want | {1: "a2 of the same seq", 4: "d"}
+
+
 @pytest.mark.parametrize("order", [[0, 1, 2, 3, 4], [1, 2, 4, 3, 0]])
 def test_drift_equals_batch_at_the_end(spark, log, folder, order):
     seen = None
