@@ -32,7 +32,7 @@ OPEN_BITS = 1.0  # a term that leaves fewer bits of an entity open discloses it
 CONTEXTS = 3  # different contexts in which a term must stand near the entity
 NEAR_TERMS, NEAR_CHARS = 10, 400  # terms on each side of a mention, within so many characters
 BITMAP_BITS = 1 << 24
-HELD = 200_000
+HELD = 50_000
 BROADCAST_ROWS = 200_000
 
 BASE_KINDS = ("email", "ip", "card", "phone")
