@@ -62,3 +62,13 @@ def exact_mean(value: Column) -> Column:
     """Mean through a decimal sum: the same whatever order rows arrive in. For small bounded groups."""
     clean = F.when(~F.isnan(value), value)
     return F.sum(clean.cast("decimal(28,10)")).cast("double") / F.count(clean)
+
+
+def content_id(*columns: str) -> Column:
+    """An id in the form of a UUID from the SHA-256 of the columns' texts, each with its length before it; null is "-"."""
+    parts = []
+    for name in columns:
+        text = F.col(name).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    digest = F.sha2(F.concat_ws(";", *parts), 256)
+    return F.concat_ws("-", *[F.substring(digest, start, n) for start, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])

@@ -35,6 +35,9 @@ def classify_from_response(df: DataFrame, answer_col: str = "answer", out: str =
 def resolve_type(
     df: DataFrame, requested: str = "requested_type", classified: str = "classified_type", out: str = "document_type"
 ) -> DataFrame:
-    """Add the caller's type, or the classifier's where the caller left it ``unknown``."""
+    """Add the caller's type, or the classifier's where the caller left it ``unknown``; null for an undeclared type.
+
+    ``route_uploads`` refuses rows with an undeclared type.
+    """
     asked = F.coalesce(requested, F.lit("unknown"))
-    return df.withColumn(out, F.when(asked == "unknown", F.col(classified)).otherwise(asked))
+    return df.withColumn(out, F.when(asked == "unknown", F.col(classified)).when(asked.isin(DOCUMENT_TYPES), asked))

@@ -72,14 +72,16 @@ def overall_accuracy(matches: DataFrame, document_type: str | None = None) -> Da
 
     For a given type there is always one row; without ground truth it carries an ``error``.
     """
+    samples = F.count_distinct("sample_id").alias("total_samples")
     if document_type is None:
-        totals = matches.groupBy("document_type").agg(*_accuracy())
+        totals = matches.groupBy("document_type").agg(*_accuracy(), samples)
     else:
         chosen = matches.where(F.col("document_type") == document_type)
-        totals = chosen.agg(*_accuracy()).withColumn("document_type", F.lit(document_type))
+        totals = chosen.agg(*_accuracy(), samples).withColumn("document_type", F.lit(document_type))
     missing = F.concat(F.lit("No ground truth for type: "), F.col("document_type"))
     return totals.select(
         "document_type",
+        "total_samples",
         "correct",
         "total",
         F.when(F.col("total") > 0, F.col("accuracy")).alias("accuracy"),

@@ -10,6 +10,8 @@ from quire.fixed_values import (
     OCR_MILLISECONDS_BOUNDS,
 )
 
+SPAN_BUCKETS = 1440  # buckets of the grid that one task fills
+
 # name -> (value, bounds, labels) of the histograms kept over the run log
 HISTOGRAMS: dict[str, tuple[Column | str, list[float], list[str]]] = {
     "request_duration_seconds": ("processing_time_ms / 1000", DURATION_SECONDS_BOUNDS, ["document_type"]),
@@ -108,12 +110,42 @@ def in_flight(runs: DataFrame) -> DataFrame:
 
 
 def peak_in_flight(runs: DataFrame, bucket: str = "1 minute") -> DataFrame:
-    """Highest number in flight per time bucket with a change, counting those already running at its start."""
+    """Highest number in flight in every time bucket from the first change to the last, with those running at its start.
+
+    A bucket without a change has the number that the bucket before it left. The grid of buckets is made in spans of
+    1,440, each by its own task; what a span leaves to the next is carried over one row per span.
+    """
+    spark = runs.sparkSession
+    begin, end = spark.range(1).select(F.window(F.timestamp_micros(F.lit(0)), bucket).alias("w")).select("w.start", "w.end").first()
+    width = round((end - begin).total_seconds() * 1_000_000)
     grouped = in_flight(runs).groupBy(F.window("at", bucket).alias("w"))
     peaks = grouped.agg(
         F.max("in_flight").alias("highest"),
         F.min_by(F.col("in_flight") - F.col("net"), F.col("at")).alias("opening"),
+        F.max_by("in_flight", "at").alias("left"),
+    )
+    number = F.expr(f"unix_micros(w.start) div {width}L")
+    offset = F.expr(f"pmod(unix_micros(w.start), {width}L)")
+    peaks = peaks.select(number.alias("number"), offset.alias("offset"), "highest", "opening", "left")
+    peaks = peaks.withColumn("span", F.floor(F.col("number") / SPAN_BUCKETS))
+
+    ends = peaks.agg(F.min("number").alias("low"), F.max("number").alias("high"), F.max("offset").alias("offset"))
+    spans = ends.where("low IS NOT NULL").select(
+        "low", "high", "offset", F.explode(F.sequence(F.floor(F.col("low") / SPAN_BUCKETS), F.floor(F.col("high") / SPAN_BUCKETS))).alias("span")
     )
-    return peaks.select(
-        F.col("w.start").alias("bucket_start"), "opening", F.greatest("highest", "opening").alias("peak")
+    first = F.greatest("low", F.col("span") * SPAN_BUCKETS)
+    last = F.least("high", (F.col("span") + 1) * SPAN_BUCKETS - 1)
+    # what the spans before leave: of the last one with a change
+    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    leaves = peaks.groupBy("span").agg(F.max_by("left", "number").alias("span_left"))
+    spans = spans.join(leaves, "span", "left").withColumn("carried", F.last("span_left", ignorenulls=True).over(before))
+    grid = spans.select("span", "carried", F.col("offset").alias("grid_offset"), F.explode(F.sequence(first, last)).alias("number"))
+    filled = grid.join(peaks.drop("span", "offset"), "number", "left")
+    in_span = Window.partitionBy("span").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    quiet = F.coalesce(F.last("left", ignorenulls=True).over(in_span), F.col("carried"))
+    filled = filled.withColumn("opening", F.coalesce("opening", quiet))
+    return filled.select(
+        F.timestamp_micros(F.col("number") * width + F.col("grid_offset")).alias("bucket_start"),
+        "opening",
+        F.greatest("highest", "opening").alias("peak"),
     )

@@ -75,12 +75,19 @@ def choose_engine(primary: str, alternate: str, threshold: float = OCR_CONFIDENC
         "confidence": py_round(F.coalesce(chosen["confidence"], F.lit(0.0)), 4),
         "engine_used": F.coalesce(F.when(chosen["raw_text"].isNotNull(), chosen["engine"]), F.lit("none")),
         "page_count": F.coalesce(p["page_count"], a["page_count"], F.lit(0).cast("bigint")),
+        "ocr_time_ms": F.when(chosen["raw_text"].isNotNull(), chosen["time_ms"]),
     }
 
 
+def result_struct(df: DataFrame) -> Column:
+    """An engine's result as one column; its ``time_ms`` is null if not measured."""
+    time = (F.col("time_ms") if "time_ms" in df.columns else F.lit(None)).cast("double").alias("time_ms")
+    return F.struct("engine", "raw_text", "confidence", "page_count", time)
+
+
 def engine_result(df: DataFrame, name: str) -> DataFrame:
     """``doc_id`` plus one struct column ``name`` with an engine's result."""
-    return df.select("doc_id", F.struct("engine", "raw_text", "confidence", "page_count").alias(name))
+    return df.select("doc_id", result_struct(df).alias(name))
 
 
 def reconcile_ocr(

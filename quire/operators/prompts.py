@@ -97,16 +97,18 @@ def apply_model(
 ) -> DataFrame:
     """Call ``fn`` once per Arrow batch of (id, system, prompt); it returns one answer per row.
 
-    If a batch fails its rows are tried one by one, so a failing request gives null only for itself.
+    If a batch fails its rows are tried one by one, so a failing request gives null only for itself, and ``error`` says
+    what was raised: the class and its message.
     """
     id_field = df.schema[id_col]
-    schema = T.StructType([id_field, T.StructField(out, T.StringType())])
+    schema = T.StructType([id_field, T.StructField(out, T.StringType()), T.StructField("error", T.StringType())])
 
-    def one(row: pd.DataFrame):
+    def one(row: pd.DataFrame) -> tuple[str | None, str | None]:
         try:
-            return list(fn(row))[0]
-        except Exception:
-            return None
+            (answer,) = fn(row)
+            return answer, None
+        except Exception as error:
+            return None, f"{type(error).__name__}: {error}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -114,8 +116,10 @@ def apply_model(
                 answers = list(fn(batch))
                 if len(answers) != len(batch):
                     raise ValueError("one answer per request expected")
-            except Exception:
-                answers = [one(batch.iloc[i : i + 1]) for i in range(len(batch))]
-            yield pd.DataFrame({id_col: batch[id_col].to_numpy(), out: pd.array(answers, dtype=object)})
+                both = [(answer, None) for answer in answers]
+            except Exception:  # told apart row by row
+                both = [one(batch.iloc[i : i + 1]) for i in range(len(batch))]
+            columns = {name: pd.array([b[i] for b in both], dtype=object) for i, name in enumerate((out, "error"))}
+            yield pd.DataFrame({id_col: batch[id_col].to_numpy(), **columns})
 
     return df.select(id_col, "system", "prompt").mapInPandas(run, schema)

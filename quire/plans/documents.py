@@ -15,15 +15,16 @@ from quire.operators.store import build_index_rows
 
 
 def gather(uploads: DataFrame, primary: DataFrame, alternate: DataFrame, responses: DataFrame) -> DataFrame:
-    """One row per upload with both engines' results and the model's answer.
+    """One row per upload with both engines' results, the model's answer, and the class of its error if it failed.
 
     All sides have one row per ``doc_id`` and join on it, so each is shuffled once (not at all when the
     tables are bucketed by it).
     """
+    failed = F.col("error") if "error" in responses.columns else F.lit(None)
     return (
         uploads.join(engine_result(primary, "primary"), "doc_id", "left")
         .join(engine_result(alternate, "alternate"), "doc_id", "left")
-        .join(responses.select("doc_id", "raw"), "doc_id", "left")
+        .join(responses.select("doc_id", "raw", failed.cast("string").alias("error_type")), "doc_id", "left")
     )
 
 
@@ -70,6 +71,8 @@ def process_documents(
             "raw_text",
             "engine_used",
             "page_count",
+            "ocr_time_ms",
+            "error_type",
             "data",
             "parse_path",
             "confidence_score",
@@ -126,8 +129,9 @@ def run_rows(results: DataFrame, model: str, start_time: str = "created_at") ->
             F.col("engine_used").alias("ocr_engine"),
             F.lit(model).alias("llm_model"),
             "status",
-            F.lit(None).cast("string").alias("error_type"),
+            "error_type",
             "ocr_confidence",
+            "ocr_time_ms",
             F.col("confidence_score").alias("extraction_confidence"),
             "fields_extracted",
             "total_fields",

@@ -379,7 +379,7 @@ uploads AS (
       ELSE 'inv' || b.doc_id || '.pdf' END AS filename,
     CASE WHEN b.doc_id % 29 = 0 THEN 52428801 ELSE 1000 END AS size,
     CASE priority WHEN '1-URGENT' THEN 'contract' WHEN '2-HIGH' THEN 'report' WHEN '3-MEDIUM' THEN 'invoice'
-      ELSE 'unknown' END AS requested_type,
+      ELSE CASE WHEN b.doc_id % 37 = 0 THEN 'memo' ELSE 'unknown' END END AS requested_type,
     CASE b.doc_id % 4 WHEN 0 THEN 'v1' WHEN 1 THEN 'v9' END AS prompt_version,
     CASE WHEN b.doc_id % 31 = 0 THEN ' ' || chr(10) || ' ' WHEN b.doc_id % 13 <> 0 THEN raw_text END AS p_text,
     CAST(b.doc_id % 101 AS DOUBLE) / 100 AS p_conf,
@@ -391,13 +391,15 @@ read AS (
 picked AS (
   SELECT *, {strip("coalesce(CASE WHEN alternate THEN a_text ELSE p_text END, '')")} AS raw_text,
     {exact('coalesce(CASE WHEN alternate THEN a_conf ELSE p_conf END, 0)', 4)} AS ocr_confidence,
-    CASE WHEN NOT alternate THEN 'tesseract' WHEN a_text IS NOT NULL THEN 'doctr' ELSE 'none' END AS engine_used
+    CASE WHEN NOT alternate THEN 'tesseract' WHEN a_text IS NOT NULL THEN 'doctr' ELSE 'none' END AS engine_used,
+    CASE WHEN NOT alternate THEN CAST(doc_id % 300 AS DOUBLE) WHEN a_text IS NOT NULL THEN doc_id % 500 + 0.5::DOUBLE END AS ocr_time_ms
   FROM read),
 coded AS (
-  SELECT *, CASE WHEN filename = '' OR NOT ends_with(filename, '.pdf') THEN 400 WHEN size > 52428800 THEN 413
+  SELECT *, CASE WHEN requested_type = 'memo' THEN 422 WHEN filename = '' OR NOT ends_with(filename, '.pdf') THEN 400 WHEN size > 52428800 THEN 413
       WHEN raw_text = '' THEN 422 ELSE 200 END AS status_code,
-    CASE WHEN filename = '' THEN 'No filename provided.' WHEN NOT ends_with(filename, '.pdf')
-      THEN 'Unsupported file type: docx' WHEN size > 52428800 THEN 'File too large. Max size: 50MB'
+    CASE WHEN requested_type = 'memo' THEN 'Unknown document type. Declared: invoice, contract, report, receipt, unknown'
+      WHEN filename = '' THEN 'No filename provided.' WHEN NOT ends_with(filename, '.pdf')
+      THEN 'Unsupported file type: .docx. Allowed: {{''.bmp'', ''.jpeg'', ''.jpg'', ''.pdf'', ''.png'', ''.tiff'', ''.webp''}}' WHEN size > 52428800 THEN 'File too large. Max size: 50MB'
       WHEN raw_text = '' THEN {text(BLANK_TEXT)} END AS reason FROM picked),
 typed_uploads AS (
   SELECT *, CASE WHEN requested_type = 'unknown' THEN {keyword_case('raw_text')} ELSE requested_type END
@@ -405,11 +407,11 @@ typed_uploads AS (
 {REGISTRY},
 {chosen('typed_uploads')},
 answered AS (
-  SELECT c.*, r.version AS version_used, a.raw FROM chosen c JOIN registry r ON c.prompt_key = r.key
+  SELECT c.*, r.version AS version_used, CASE WHEN c.doc_id % 41 <> 0 THEN a.raw END AS raw FROM chosen c JOIN registry r ON c.prompt_key = r.key
     LEFT JOIN answers a ON c.doc_id = a.doc_id),
 {parsed('answered')},
 results AS (
-  SELECT doc_id, filename, CASE WHEN status_code = 200 THEN 'completed' ELSE 'failed' END AS status, status_code, reason,
+  SELECT doc_id, filename, ocr_time_ms, CASE WHEN status_code = 200 THEN 'completed' ELSE 'failed' END AS status, status_code, reason,
     CASE WHEN status_code = 200 THEN document_type END AS document_type,
     CASE WHEN status_code = 200 THEN engine_used END AS engine_used,
     CASE WHEN status_code = 200 THEN ocr_confidence END AS ocr_confidence,
@@ -471,7 +473,8 @@ judged AS (
   SELECT *, extension NOT IN ('pdf', 'png', 'jpg', 'jpeg', 'tiff', 'bmp', 'webp') AS bad FROM cut)
 SELECT doc_id, extension, CAST(CASE WHEN name = '' OR bad THEN 400 WHEN size > 52428800 THEN 413 ELSE 200 END AS BIGINT)
     AS status_code,
-  CASE WHEN name = '' THEN 'No filename provided.' WHEN bad THEN 'Unsupported file type: ' || extension
+  CASE WHEN name = '' THEN 'No filename provided.' WHEN bad THEN 'Unsupported file type: '
+      || CASE WHEN contains(name, '.') THEN '.' ELSE '' END || extension || '. Allowed: {''.bmp'', ''.jpeg'', ''.jpg'', ''.pdf'', ''.png'', ''.tiff'', ''.webp''}'
     WHEN size > 52428800 THEN 'File too large. Max size: 50MB' END AS reason FROM judged""",
     "ocr_flagged": f"""WITH {ENGINES}, blanked AS (
   SELECT doc_id, confidence, CASE WHEN doc_id % 10 = 0 THEN ' ' || chr(10) || chr(9) || chr(160) ELSE raw_text END AS raw_text
@@ -512,7 +515,8 @@ FROM words GROUP BY doc_id""",
   FROM primary_engine p JOIN alternate_engine a ON p.doc_id = a.doc_id)
 SELECT doc_id, {strip('CASE WHEN alternate THEN a_text ELSE p_text END')} AS raw_text,
   {exact('CASE WHEN alternate THEN a_conf ELSE p_conf END', 4)} AS confidence,
-  CASE WHEN alternate THEN 'doctr' ELSE 'tesseract' END AS engine_used, page_count FROM both_engines""",
+  CASE WHEN alternate THEN 'doctr' ELSE 'tesseract' END AS engine_used, page_count, CAST(NULL AS DOUBLE) AS ocr_time_ms
+FROM both_engines""",
     "classified_by_keywords": f"WITH {TYPED} SELECT doc_id, {keyword_case('raw_text')} AS classified_type FROM typed",
     "classified_from_answers": f"""WITH {TYPED} SELECT doc_id, CASE {' '.join(
         f"WHEN contains(lower(answer), '{t}') THEN '{t}'" for t in DOCUMENT_TYPES
@@ -524,8 +528,9 @@ SELECT doc_id, prompt_key, version AS version_used FROM chosen JOIN registry ON
 SELECT doc_id, version AS version_used, system, replace(template, '{{ocr_text}}', raw_text) AS prompt
 FROM chosen JOIN registry ON prompt_key = key""",
     "model_applied": f"""WITH {RESOLVED}, {REGISTRY}, {chosen('resolved')}
-SELECT doc_id, '{{"chars":' || length(replace(template, '{{ocr_text}}', raw_text)) || '}}' AS raw
-FROM chosen JOIN registry ON prompt_key = key""",
+SELECT doc_id, CASE WHEN n % 7 <> 0 THEN '{{"chars":' || n || '}}' END AS raw,
+  CASE WHEN n % 7 = 0 THEN 'LookupError: refused' END AS error
+FROM (SELECT *, length(replace(template, '{{ocr_text}}', raw_text)) AS n FROM chosen JOIN registry ON prompt_key = key)""",
     "classification_prompts_rendered": f"""WITH {TYPED}, {REGISTRY}
 SELECT doc_id, replace(template, '{{ocr_text}}', raw_text) AS prompt
 FROM typed JOIN registry ON key = 'classify_v1'""",
@@ -678,13 +683,21 @@ SELECT strftime(start_time, '%Y-%m-%d') AS day, count(*) AS documents,
   CAST(sum(count(*)) OVER (ORDER BY strftime(start_time, '%Y-%m-%d')) AS BIGINT) AS total_documents
 FROM runs GROUP BY 1""",
     "documents_in_flight": f"WITH {FLIGHT} SELECT at_us, net, in_flight FROM flight",
-    "peak_in_flight": f"""WITH {FLIGHT}
-SELECT at_us // 60000000 * 60000000 AS bucket_us, arg_min(in_flight - net, at_us) AS opening,
-  greatest(max(in_flight), arg_min(in_flight - net, at_us)) AS peak FROM flight GROUP BY 1""",
+    "peak_in_flight": f"""WITH {FLIGHT},
+minutes AS (SELECT unnest(range(min(at_us) // 60000000, max(at_us) // 60000000 + 1)) AS minute FROM flight),
+changed AS (SELECT at_us // 60000000 AS minute, max(in_flight) AS highest FROM flight GROUP BY 1),
+opened AS (
+  SELECT minute, coalesce(in_flight, 0) AS opening FROM minutes ASOF LEFT JOIN (SELECT at_us, in_flight FROM flight) f
+    ON minute * 60000000 - 1 >= at_us)
+SELECT minute * 60000000 AS bucket_us, opening, greatest(highest, opening) AS peak FROM opened LEFT JOIN changed USING (minute)""",
+    "documents_identified": """WITH marked AS (
+  SELECT page_id, sha256(coalesce(length(url) || ':' || url, '-') || ';' || coalesce(length(html) || ':' || html, '-')) AS h FROM pages)
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS VARCHAR)
+  ELSE h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] END AS document_id FROM marked""",
     "fields_matched": f"WITH {MATCHES} SELECT sample_id, field, kind, match FROM matches",
     "sample_accuracy": f"WITH {MATCHES} SELECT sample_id, {ACCURACY} FROM matches GROUP BY sample_id",
     "overall_accuracy": f"""WITH {MATCHES}
-SELECT document_type, {ACCURACY}, CAST(NULL AS VARCHAR) AS error FROM matches GROUP BY document_type""",
+SELECT document_type, count(DISTINCT sample_id) AS total_samples, {ACCURACY}, CAST(NULL AS VARCHAR) AS error FROM matches GROUP BY document_type""",
     "field_accuracy": f"WITH {MATCHES} SELECT field, {ACCURACY} FROM matches GROUP BY field",
     "prompt_accuracy": f"WITH {MATCHES} SELECT prompt_version, {ACCURACY} FROM matches GROUP BY prompt_version",
     "constraints_checked": f"""WITH {RUNS}, checked AS (
@@ -699,7 +712,7 @@ UNION ALL SELECT 'status_known', e, n FROM checked""",
     "documents_extracted": RESULT_ROWS,
     "documents_extracted_to_runs": f"""WITH {RESULTS}
 SELECT doc_id AS run_id, CAST(doc_id AS VARCHAR) AS document_id, document_type, engine_used AS ocr_engine,
-  'model-a' AS llm_model, confidence_score AS extraction_confidence,
+  'model-a' AS llm_model, ocr_time_ms, CASE WHEN doc_id % 41 = 0 THEN 'TimeoutError: no answer' END AS error_type, confidence_score AS extraction_confidence,
   CAST(fields_extracted AS DOUBLE) / greatest(total_fields, 1) AS field_completeness,
   CASE WHEN warnings <> '' THEN 'true' END AS has_warnings FROM results WHERE status = 'completed'""",
     "documents_extracted_to_index": f"""WITH {RESULTS}
@@ -708,6 +721,7 @@ SELECT doc_id AS id, chars, document_type,
   CAST(fields_extracted AS VARCHAR) AS field_count, filename, CAST(confidence_score AS VARCHAR) AS confidence,
   prompt_version FROM results WHERE status = 'completed'""",
     "stream_extracted": RESULT_ROWS,
+    "stream_extracted_from_four": RESULT_ROWS,
     "stream_counts": f"""WITH {closed_windows(6, 6)}
 SELECT window_us, document_type, status, count(*) AS total FROM closed GROUP BY ALL""",
     "stream_counts_sliding": f"""WITH {closed_windows(6, 3)}
@@ -718,6 +732,7 @@ SELECT window_us, document_type, count(*) AS total FROM closed GROUP BY ALL""",
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
     ),
     "stream_drift": drift(50),
+    "stream_drift_keyed": drift(50),
     "stream_deduplicated": f"WITH {RUNS} SELECT run_id, document_type, extraction_confidence FROM runs",
 }
 

@@ -78,6 +78,13 @@ def uploads_routed(spark, sf_dir):
     return routed.select("doc_id", "extension", _long("status_code").alias("status_code"), "reason")
 
 
+@query
+def documents_identified(spark, sf_dir):
+    """Pages as uploads; two of three come without an id."""
+    pages = derived.table(spark, sf_dir, "pages").withColumn("document_id", F.expr("CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS STRING) END"))
+    return ingest.with_document_ids(pages, ["url", "html"]).select("page_id", "document_id")
+
+
 @query
 def ocr_flagged(spark, sf_dir):
     read = derived.engine_results(spark, sf_dir, alternate=False).withColumn(
@@ -156,6 +163,8 @@ def prompts_rendered(spark, sf_dir):
 
 
 def _answer_length(requests: pd.DataFrame) -> list[str]:
+    if any(len(text) % 7 == 0 for text in requests["prompt"]):
+        raise LookupError("refused")
     return ['{"chars":%d}' % len(text) for text in requests["prompt"]]
 
 
@@ -564,6 +573,8 @@ def documents_extracted_to_runs(spark, sf_dir):
         "document_type",
         "ocr_engine",
         "llm_model",
+        "ocr_time_ms",
+        "error_type",
         "extraction_confidence",
         "field_completeness",
         F.col("tags")["has_warnings"].alias("has_warnings"),
@@ -667,6 +678,33 @@ def stream_similar_texts(spark, sf_dir):
     return _found(embed.search_texts(streams.read_documents(spark, path), asked, model))
 
 
+@query
+def stream_extracted_from_four(spark, sf_dir):
+    """As ``stream_extracted``, from four streams that are joined as their rows come; a last row of each ends them."""
+    inputs = derived.document_run_inputs(spark, sf_dir)
+    minutes = {"uploads": 0, "primary": 5, "alternate": 10, "responses": 30}
+    streamed = {}
+    for name, table in inputs.items():
+        at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 1000 + 60 * minutes[name])
+        arriving = work_dir(spark, f"arriving-{name}")
+        rows = table.withColumn("event_time", at)
+        rows.write.parquet(arriving)
+        # an upload long after all others, of an id that is no document's, moves every watermark past them
+        closing = rows.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "event_time": F.timestamp_seconds(F.lit(1_800_000_000))})
+        closing.write.mode("append").parquet(arriving)
+        streamed[name] = streams.read_stream(spark, arriving, rows.schema)
+    gathered = streams.stream_gather(**streamed)
+    results = streams.stream_extract(gathered, prompts.prompt_registry(spark))
+    return _finished(spark, _result_columns(results), "extracted-from-four").where("doc_id >= 0")
+
+
+@query
+def stream_drift_keyed(spark, sf_dir):
+    path, checkpoint = work_dir(spark, "keyed-drift"), work_dir(spark, "keyed-drift-checkpoint")
+    streams.stream_drift_keyed(_event_runs(spark, sf_dir), path, checkpoint).awaitTermination()
+    return streams.latest_keyed_drift(spark, path).drop("idle")
+
+
 @query
 def stream_drift(spark, sf_dir):
     path, checkpoint = work_dir(spark, "drift"), work_dir(spark, "drift-checkpoint")

@@ -320,7 +320,7 @@ def document_run_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame
         " ELSE concat('inv', doc_id, '.pdf') END AS filename",
         "CASE WHEN doc_id % 29 = 0 THEN 52428801 ELSE CAST(1000 + n_items AS BIGINT) END AS size",
         "CASE priority WHEN '1-URGENT' THEN 'contract' WHEN '2-HIGH' THEN 'report' WHEN '3-MEDIUM' THEN 'invoice'"
-        " ELSE 'unknown' END AS requested_type",
+        " ELSE CASE WHEN doc_id % 37 = 0 THEN 'memo' ELSE 'unknown' END END AS requested_type",
         "CASE doc_id % 4 WHEN 0 THEN 'v1' WHEN 1 THEN 'v9' END AS prompt_version",
         "TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id) AS created_at",
         "CAST(doc_id % 700 AS DOUBLE) AS processing_time_ms",
@@ -332,6 +332,7 @@ def document_run_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame
         "CASE WHEN doc_id % 31 = 0 THEN ' \n ' WHEN doc_id % 13 <> 0 THEN raw_text END AS raw_text",
         "CAST(doc_id % 101 AS DOUBLE) / 100 AS confidence",
         "CAST(1 AS BIGINT) AS page_count",
+        "CAST(doc_id % 300 AS DOUBLE) AS time_ms",
     )
     alternate = texts.selectExpr(
         "doc_id",
@@ -339,12 +340,18 @@ def document_run_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame
         "CASE WHEN doc_id % 9 <> 0 THEN concat(raw_text, '\nContract') END AS raw_text",
         "CASE WHEN doc_id % 9 <> 0 THEN CAST(doc_id * 3 % 101 AS DOUBLE) / 100 END AS confidence",
         "CAST(2 AS BIGINT) AS page_count",
+        "doc_id % 500 + CAST(0.5 AS DOUBLE) AS time_ms",
+    )
+    responses = invoice_answers_of(base).selectExpr(
+        "doc_id",
+        "CASE WHEN doc_id % 41 <> 0 THEN raw END AS raw",
+        "CASE WHEN doc_id % 41 = 0 THEN 'TimeoutError: no answer' END AS error",
     )
     return {
         "uploads": uploads,
         "primary": primary,
         "alternate": alternate,
-        "responses": invoice_answers_of(base).select("doc_id", "raw"),
+        "responses": responses,
     }
 
 

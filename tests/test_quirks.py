@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions.text import decimal_text, np_round, py_float, py_round, py_strip, two_decimals
-from quire.operators import classify, extract, ingest, ocr, score, search, store
+from quire.operators import classify, extract, ingest, ocr, prompts, score, search, store
 from quire.operators.prompts import prompt_registry, render_prompts, select_prompt
 
 
@@ -301,3 +301,36 @@ def test_item_numbers_are_read_as_text(spark):
     assert (rows[4]["subtotal"], rows[4]["subtotal_ok"]) == (0.0, False) and rows[5]["subtotal_ok"] is False
     totals = {r["doc_id"]: r["total"] for r in extract.invoice_totals(extract.explode_line_items(invoices)).collect()}
     assert totals == {0: 17.36, 1: None, 2: None, 3: None, 4: 0.0, 5: 17.36}
+
+
+def test_undeclared_types_are_refused(spark):
+    df = spark.createDataFrame([("a.pdf", 1, t) for t in ("invoice", "foo", None, "unknown", "Invoice")], "filename string, size long, requested_type string")
+    routed = ingest.route_uploads(df).collect()
+    assert [r["status_code"] for r in routed] == [200, 422, 200, 200, 422]
+    assert routed[1]["reason"] == "Unknown document type. Declared: invoice, contract, report, receipt, unknown"
+    typed = classify.resolve_type(df.withColumn("classified_type", F.lit("report"))).collect()
+    assert [r["document_type"] for r in typed] == ["invoice", None, "report", "report", None]
+
+
+def test_reason_names_what_is_allowed(spark):
+    df = spark.createDataFrame([("a.EXE", 1), ("a", 1), ("a.", 1)], "filename string, size long")
+    allowed = "{'.bmp', '.jpeg', '.jpg', '.pdf', '.png', '.tiff', '.webp'}"
+    want = [f"Unsupported file type: {e}. Allowed: {allowed}" for e in (".exe", "", ".")]
+    assert [r["reason"] for r in ingest.route_uploads(df).collect()] == want
+
+
+def test_ids_from_content(spark):
+    rows = [(None, "a", "b"), (None, "a", "b"), (None, "ab", ""), (None, None, "ab"), ("x", "a", "b"), (None, "a;1:b", None)]
+    ids = [r["document_id"] for r in ingest.with_document_ids(spark.createDataFrame(rows, "document_id string, u string, v string"), ["u", "v"]).collect()]
+    assert ids[0] == ids[1] and len(set(ids)) == 5 and ids[4] == "x"
+    assert [len(p) for p in ids[0].split("-")] == [8, 4, 4, 4, 12]
+
+
+def test_model_errors_leave_a_trace(spark):
+    def model(batch):
+        if (batch["prompt"] == "bad").any():
+            raise KeyError("answer")
+        return batch["prompt"].str.upper()
+
+    df = spark.createDataFrame([(1, "s", "a"), (2, "s", "bad")], "doc_id long, system string, prompt string").coalesce(1)
+    assert sorted(map(tuple, prompts.apply_model(df, model).collect())) == [(1, "A", None), (2, None, "KeyError: 'answer'")]

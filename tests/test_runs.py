@@ -155,17 +155,46 @@ def test_in_flight_and_peaks(log):
         end = r[1] + dt.timedelta(microseconds=int(r[6] * 1000))
         changes[r[1]] = changes.get(r[1], 0) + 1
         changes[end] = changes.get(end, 0) - 1
-    level, want, peaks = 0, [], {}
+    level, want, peaks, left = 0, [], {}, {}
     for at in sorted(changes):
         before, level = level, level + changes[at]
         want.append((at, changes[at], level))
         bucket = at.replace(second=0, microsecond=0)
         peaks[bucket] = max(peaks.get(bucket, before), level)
+        left[bucket] = level
+    minute, carried = min(peaks), 0
+    while minute <= max(peaks):  # quiet minutes go on with what the last one left
+        peaks.setdefault(minute, carried)
+        carried = left.get(minute, carried)
+        minute += dt.timedelta(minutes=1)
     got = metrics.in_flight(df).orderBy("at").collect()
     assert [tuple(r) for r in got] == want and want[-1][2] == 0
     assert {r["bucket_start"]: r["peak"] for r in metrics.peak_in_flight(df).collect()} == peaks
 
 
+def test_quiet_buckets_over_several_spans(log, monkeypatch):
+    rows, df = log
+    far = df.limit(1).withColumn("start_time", F.expr("start_time + INTERVAL 3 DAYS")).withColumn("processing_time_ms", F.lit(9e7))
+    both = df.unionByName(far)
+    for bucket, width in (("7 minutes", 420), ("90 seconds", 90)):
+        changes = metrics.in_flight(both).orderBy("at").collect()
+        want = {}
+        first, last = (int(changes[i]["at"].timestamp()) // width for i in (0, -1))
+        at, level = 0, 0
+        for n in range(first, last + 1):
+            opening = peak = level
+            while at < len(changes) and int(changes[at]["at"].timestamp()) // width == n:
+                level = changes[at]["in_flight"]
+                peak = max(peak, level)
+                at += 1
+            want[n * width] = (opening, peak)
+        for span in (1440, 100):
+            monkeypatch.setattr(metrics, "SPAN_BUCKETS", span)
+            got = metrics.peak_in_flight(both, bucket).collect()
+            assert {int(r["bucket_start"].timestamp()): (r["opening"], r["peak"]) for r in got} == want
+    assert metrics.peak_in_flight(df.limit(0)).count() == 0
+
+
 def test_running_total(log):
     rows, df = log
     spread = df.withColumn("start_time", F.expr("start_time + make_dt_interval(cast(run_id % 3 as int))"))

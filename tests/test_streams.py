@@ -1,6 +1,7 @@
 """Streams equal their batch forms; late rows, repeated batches and restarts."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,87 @@ def test_stream_of_documents_equals_batch(spark, sf_dir, folder):
     assert rows(got) == rows(batch)
 
 
+def test_four_streams_equal_batch_with_an_answer_that_never_comes(spark, sf_dir, folder):
+    inputs = {name: df.where("doc_id <= 300") for name, df in derived.document_run_inputs(spark, sf_dir).items()}
+    inputs["responses"] = inputs["responses"].where("doc_id % 10 <> 1")  # never come
+    minutes = {"uploads": 0, "primary": 5, "alternate": 10, "responses": 30}
+    streamed = {}
+    for name, df in inputs.items():
+        late = (F.col("doc_id") % 10 == 2) & F.lit(name == "responses")  # come after the hour is over
+        at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") + 60 * minutes[name] + F.when(late, 7200).otherwise(0))
+        rows_ = df.withColumn("event_time", at)
+        parts = [rows_.where("doc_id <= 150"), rows_.where("doc_id > 150")]
+        parts.append(rows_.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "event_time": F.timestamp_seconds(F.lit(1_800_000_000))}))
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        streamed[name] = files(spark, f"{folder}/{name}", rows_.schema)
+    registry = prompt_registry(spark)
+    columns = ["doc_id", "status_code", "document_type", "parse_path", "confidence_score", "ocr_time_ms", "error_type"]
+    # restarted after every file of each stream
+    make = lambda: streams.stream_extract(streams.stream_gather(**streamed), registry).select(columns)
+    _, got = run(spark, make(), folder)
+    kept = inputs | {"responses": inputs["responses"].where("doc_id % 10 <> 2")}
+    want = documents.extract_documents(**kept, prompts=registry).select(columns)
+    assert rows(got.where("doc_id >= 0")) == rows(want)
+    _, again = run(spark, make(), folder)  # nothing new, nothing twice
+    assert rows(again.where("doc_id >= 0")) == rows(want)
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4], [1, 2, 4, 3, 0]])
+def test_keyed_drift_equals_batch_after_restarts_with_a_hot_type(spark, log, folder, order):
+    hot = log.withColumn("document_type", F.when(F.col("run_id") % 10 < 8, "invoice").otherwise(F.col("document_type")))
+    seen = None
+    for i in order:
+        part = hot.where(F.dayofmonth("start_time").between(*DAYS[i]))
+        if i == 3:
+            part = part.where("document_type = 'invoice'")  # the other types are not touched by this batch
+        part.coalesce(1).write.mode("append").parquet(folder + "/in")
+        seen = part if seen is None else seen.unionByName(part)
+        stream = files(spark, folder + "/in", log.schema)
+        streams.stream_drift_keyed(stream, folder + "/drift", folder + "/checkpoint", window=20).awaitTermination()
+        got = streams.latest_keyed_drift(spark, folder + "/drift", window=20)
+        assert rows(got.drop("idle")) == rows(runs.check_drift(seen, window=20))
+        assert [r["idle"] for r in got.collect()] == [False] * got.count()
+    held = spark.read.parquet(folder + "/drift/parts").agg(F.max(F.size("runs"))).first()[0]
+    assert held == 40  # however many runs the hot type has
+
+
+def test_idle_types_are_marked(spark, log, folder):
+    log.where("dayofmonth(start_time) = 1").coalesce(1).write.parquet(folder + "/in")
+    later = log.where("dayofmonth(start_time) >= 20 AND document_type = 'invoice'")
+    for part in (later, later.limit(1).withColumn("run_id", F.lit(10**9).cast("long"))):  # the second moves the watermark
+        part.coalesce(1).write.mode("append").parquet(folder + "/in")
+        stream = files(spark, folder + "/in", log.schema)
+        query = streams.stream_drift_keyed(stream, folder + "/drift", folder + "/checkpoint", 10, idle_after_ms=3_600_000, watermark="1 hour")
+        assert query.awaitTermination(60)
+    got = {r["document_type"]: r["idle"] for r in streams.latest_keyed_drift(spark, folder + "/drift", window=10).collect()}
+    assert len(got) > 1 and got.pop("invoice") is False and all(got.values())
+
+
+def test_late_rows_are_kept_as_data(spark, log, folder):
+    make = lambda df: streams.stream_counts(df, ["document_type"], "1 day", "1 hour")
+    listener = streams.LateRows(spark, folder + "/late")
+    spark.streams.addListener(listener)
+    try:
+        log.where("dayofmonth(start_time) > 1").coalesce(1).write.parquet(folder + "/in")
+        run(spark, make(files(spark, folder + "/in", log.schema)), folder)
+        late = log.where("dayofmonth(start_time) = 1")
+        late.coalesce(1).write.mode("append").parquet(folder + "/in")
+        query, _ = run(spark, make(files(spark, folder + "/in", log.schema)), folder)
+        dropped = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+        for _ in range(50):  # the listener is told after the query has ended
+            try:
+                table = spark.read.parquet(folder + "/late")
+                if table.count():
+                    break
+            except Exception:
+                time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert table.agg(F.sum("rows_dropped")).first()[0] == dropped > 0
+    assert {r["query_id"] for r in table.collect()} == {str(query.id)}
+
+
 def test_scan_uploads_batch_and_stream(spark, folder, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "a.PDF").write_bytes(b"12345")
