@@ -122,7 +122,7 @@ ORACLE: dict[str, str] = {
         ), i0 as (
           select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') as w from benchmark
         ), items as (
-          select min(item_id) as item_id, w from i0 where len(w) > 0 group by w
+          select distinct item_id, w from i0 where len(w) > 0
         ), at_doc as (
           select doc_id, w, unnest(range(len(w))) as place from d0
         ), at_item as (
@@ -130,22 +130,31 @@ ORACLE: dict[str, str] = {
         ), in_doc as (
           select doc_id, w, place, m, list_transform(tail, lambda i: w[place + i]) as seed
           from at_doc, masks where place + 11 <= len(w)
-        ), in_item as (
-          select min(item_id) as item_id, list_slice(w, greatest(place - 5, 0) + 1, least(place + 16, len(w))) as context,
+        ), in_item as (  -- items that repeat a passage hold it once
+          select distinct item_id, list_slice(w, greatest(place - 5, 0) + 1, least(place + 16, len(w))) as context,
                  place - greatest(place - 5, 0) as off, m, list_transform(tail, lambda i: w[place + i]) as seed
-          from at_item, masks group by context, off, m, seed
-        ), long_hits as (
-          select doc_id, item_id, place, len(context) as n_context,
-                 len(list_filter(range(len(context)), lambda i: place - off + i >= 0 and coalesce(d.w[place - off + i + 1] = context[i + 1], false))) as n_equal
+          from at_item, masks
+        ), laid as (
+          select doc_id, item_id, place, m, off, list_transform(range(len(context)), lambda i:
+                   (place - off + i >= 0 and coalesce(d.w[place - off + i + 1] = context[i + 1], false))::int) as same
           from in_doc d join in_item using (m, seed)
+        ), lefts as (select *, unnest(range(off + 1)) as l from laid
+        ), runs as (select *, unnest(range(len(same) - 11 - off + 1)) as r from lefts
+        ), sized as (
+          select *, 11 + l + r as n_context, list_sum(list_slice(same, off - l + 1, off + 11 + r)) as n_equal from runs
+        ), long_hits as (  -- of runs of 13 tokens or all that there are: the greatest share, then the longest
+          select doc_id, item_id, place, max({s: n_equal / n_context, c: n_context, e: n_equal}).c as n_context,
+                 max({s: n_equal / n_context, c: n_context, e: n_equal}).e as n_equal
+          from sized where n_context >= least(13, len(same)) and (len(same) < 13 or (same[off - l + 1] = 1 and same[off + 11 + r] = 1))
+          group by doc_id, item_id, place, m, off, same
         ), short_hits as (
           select doc_id, item_id, place, len(i.w) as n_context, len(i.w) as n_equal
           from at_doc d join items i on len(i.w) < 11 and list_slice(d.w, place + 1, place + len(i.w)) = i.w
         ), hits as (
           select * from (select * from long_hits union all select * from short_hits) where n_equal * 100 >= n_context * 80
         )
-        select doc_id, item_id, count(*) as n_hits, max({s: n_equal / n_context, c: n_context, e: n_equal}).e as n_equal,
-               max({s: n_equal / n_context, c: n_context, e: n_equal}).c as n_context, min(place) as first_place
+        select doc_id, item_id, count(*) as n_hits, max({s: n_equal / n_context, c: n_context, e: n_equal}).e::int as n_equal,
+               max({s: n_equal / n_context, c: n_context, e: n_equal}).c::int as n_context, min(place)::int as first_place
         from hits group by all
     """,
     "op5_url_filter": r"""

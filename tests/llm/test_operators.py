@@ -123,13 +123,43 @@ def test_decontamination_finds_passages_with_replaced_words(spark):
     bench = spark.createDataFrame([(7, " ".join(passage)), (9, " ".join(passage)), (8, "s1 s2 s3"), (1, None), (2, "")], "item_id long, text string")
     docs = documents(spark, texts)
     pairs = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()}
-    assert pairs == {(0, 7), (1, 7), (9, 7), (7, 8)}
+    assert pairs == {(0, 7), (1, 7), (9, 7), (0, 9), (1, 9), (9, 9), (7, 8)}  # equal items are both named
     clean = decontam.without_contaminated(docs, bench)
     assert sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 4, 5, 6, 8] and clean.columns == docs.columns
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
-    blocks = decontam.leaked_passages(docs, bench, ["doc_id"], block_seeds=10)
-    assert blocks.count() == decontam.leaked_passages(docs, bench, ["doc_id"]).count()
+    seeds = decontam.benchmark_seeds(bench)[0]
+    blocks = decontam.leaked_passages(seeds, docs, ["doc_id"], block_seeds=10)
+    assert blocks.count() == decontam.leaked_passages(seeds, docs, ["doc_id"]).count()
+
+
+def test_decontamination_finds_excerpts_from_inside_items(spark):
+    shared = [f"s{i}" for i in range(20)]
+    items = {1: [f"a{i}" for i in range(40)] + shared, 2: shared + [f"b{i}" for i in range(40)], 3: [f"c{i}" for i in range(15)] + shared, 4: [f"d{i}" for i in range(12)]}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] * 2, "item_id long, text string")  # repeated rows
+    filler = [f"f{i}" for i in range(300)]
+    texts, want = [], set()
+    for start in (0, 7, 14, 27):
+        for n in (11, 12, 13, 14, 16, 17, 25):
+            cut = items[1][start : min(start + n, 40)]
+            if n >= 13 and len(cut) >= 13:
+                want.add((len(texts), 1))
+            texts.append(" ".join(filler[:100] + cut + filler[100:]))
+    for n in (13, 20):  # a passage that three items share
+        want |= {(len(texts), i) for i in (1, 2, 3)}
+        texts.append(" ".join(filler + shared[:n] + filler))
+    for at, found in ((2, True), (6, False)):  # replaced words in an 18-token excerpt, every 8th or every third
+        cut = [w if i % (8 if found else 3) != at % 3 else "x" for i, w in enumerate(items[1][10:28])]
+        want |= {(len(texts), 1)} if found else set()
+        texts.append(" ".join(filler + cut))
+    want |= {(len(texts), 4), (len(texts) + 1, 4)}  # a short item counts where 80 per cent of it are there
+    texts += [" ".join(items[4]), " ".join(items[4][:11]), " ".join(filler), None, "", " ".join(filler * 200 + items[2][25:38])]
+    want.add((len(texts) - 1, 2))
+    got = decontam.contaminated(documents(spark, texts + texts[:1]), bench).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in got}
+    want.add((len(texts), 1)) if (0, 1) in want else None
+    assert pairs == want
+    assert all(r["n_context"] >= 12 and r["n_equal"] * 100 >= r["n_context"] * 80 for r in got)
 
 
 def test_components_of_chains_and_stars(spark):
