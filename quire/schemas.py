@@ -1,34 +1,7 @@
-"""Declared table schemas, as DDL text."""
+"""Declared schemas, as DDL text."""
 
 LINE_ITEM = "struct<description:string,quantity:double,unit_price:double,total:double>"
 
-UPLOADS = "doc_id bigint, filename string, size bigint, requested_type string, prompt_version string"
-OCR_WORDS = (
-    "doc_id bigint, engine string, page bigint, block bigint, line bigint, word bigint, value string, conf double"
-)
-OCR_PAGES = "doc_id bigint, engine string, page bigint, page_text string"
-OCR_RESULTS = (
-    "doc_id bigint, engine_used string, raw_text string, confidence double, page_count bigint, processing_time_ms double"
-)
-PROMPTS = "key string, version string, system string, template string"
-MODEL_RESPONSES = "doc_id bigint, raw string"
-INVOICES = (
-    "doc_id bigint, invoice_number string, invoice_date string, due_date string, vendor_name string, "
-    "vendor_address string, customer_name string, customer_address string, "
-    f"line_items array<{LINE_ITEM}>, subtotal double, tax double, total_amount double, currency string, "
-    "payment_terms string"
-)
-CONTRACTS = (
-    "doc_id bigint, contract_title string, parties array<string>, effective_date string, expiration_date string, "
-    "contract_value double, key_terms array<string>, governing_law string, termination_clause string"
-)
-RUNS = (
-    "run_id bigint, start_time timestamp, document_id string, document_type string, prompt_version string, "
-    "ocr_engine string, llm_model string, status string, error_type string, ocr_confidence double, "
-    "ocr_time_ms double, extraction_confidence double, fields_extracted bigint, total_fields bigint, "
-    "field_completeness double, processing_time_ms double, warnings array<string>, tags map<string,string>"
-)
-DOCUMENTS_INDEX = "id bigint, seq bigint, text string, embedding array<float>, metadata map<string,string>"
 GROUND_TRUTH = (
     "sample_id bigint, document_type string, field string, kind string, expected_text string, expected_number double"
 )
