@@ -40,16 +40,24 @@ def build_index_rows(
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.create_map(*flat).alias("metadata"))
 
 
-def latest_per_id(df: DataFrame, id_col: str = "id", order: tuple[str, ...] = ("seq",)) -> DataFrame:
+def latest_per_id(
+    df: DataFrame, id_col: str = "id", order: tuple[str, ...] = ("seq",), within: tuple[str, ...] = ()
+) -> DataFrame:
     """The row of each id that comes last in ``order``.
 
     The rank filter is applied before the shuffle as well, so an id written very often sends one row per
-    task.
+    task. Rows already partitioned by ``within``, which the id decides, are not shuffled again.
     """
-    newest = Window.partitionBy(id_col).orderBy(*[F.col(c).desc() for c in order])
+    newest = Window.partitionBy(*within, id_col).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 
+def newest_of(rows: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """One row per id: the highest ``seq``; of equal ones an update (``_update`` = 1), then the text's hash decides."""
+    tie = rows.withColumn("_tie", F.xxhash64("text"))
+    return latest_per_id(tie, order=("seq", "_update", "_tie"), within=within).drop("_update", "_tie")
+
+
 def upsert_documents(current: DataFrame, updates: DataFrame) -> DataFrame:
     """One row per id, the highest ``seq`` wins; on equal ``seq`` an update replaces the current row.
 
@@ -64,8 +72,7 @@ def upsert_documents(current: DataFrame, updates: DataFrame) -> DataFrame:
     untouched = current.join(ids, same, "left_anti")
     touched = current.join(ids, same, "left_semi")
     rows = touched.withColumn("_update", F.lit(0)).unionByName(updates.withColumn("_update", F.lit(1)))
-    tie = rows.withColumn("_tie", F.xxhash64("text"))
-    newest = latest_per_id(tie, order=("seq", "_update", "_tie")).drop("_update", "_tie")
+    newest = newest_of(rows)
     return untouched.select(newest.columns).unionByName(newest)
 
 

@@ -736,6 +736,10 @@ SELECT window_us, document_type, count(*) AS total FROM closed GROUP BY ALL""",
     "stream_deduplicated": f"WITH {RUNS} SELECT run_id, document_type, extraction_confidence FROM runs",
 }
 
+ORACLE["documents_upserted_in_buckets"] = ORACLE["documents_upserted"]
+ORACLE["latest_runs_per_type_from_files"] = ORACLE["latest_runs_per_type"]
+ORACLE["drift_checked_from_files"] = ORACLE["drift_checked"]
+
 for _name, (_value, _bounds, _labels) in HISTOGRAMS.items():
     ORACLE[f"histogram_{_name}"] = histogram_parts(_value, _bounds, _labels, RUNS)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.fixed_values import COMPARE_LIMIT, CONFIDENCE_BOUNDS
 from quire.functions.paths import work_dir
 from quire.functions.text import py_round
-from quire.operators import classify, embed, evaluate, extract, ingest, metrics, ocr, prompts, runs, score, search, store
+from quire.operators import buckets, classify, embed, evaluate, extract, ingest, metrics, ocr, prompts, run_files, runs, score, search, store
 from quire.plans import documents
 from quire.session import configure
 from quire.sources import derived
@@ -69,6 +69,17 @@ def documents_upserted(spark, sf_dir):
     return _index_columns(store.upsert_documents(current, derived.document_updates(spark, sf_dir)))
 
 
+@query
+def documents_upserted_in_buckets(spark, sf_dir):
+    """The same upsert in a stored table, the re-sent documents in two steps."""
+    path = work_dir(spark, "document-buckets")
+    updates = derived.document_updates(spark, sf_dir)
+    buckets.upsert_buckets(derived.stored_documents(spark, sf_dir), path, buckets=64)
+    buckets.upsert_buckets(updates.where("seq = 0"), path)
+    buckets.upsert_buckets(updates.where("seq > 0"), path)
+    return _index_columns(buckets.read_buckets(spark, path))
+
+
 # --- routing and recognised text ---
 
 
@@ -436,6 +447,26 @@ def invoice_drift_checked(spark, sf_dir):
     return runs.check_drift(derived.runs(spark, sf_dir), "invoice", window=150)
 
 
+def _clustered_runs(spark, sf_dir) -> str:
+    """The log in three appends, as its rows come in."""
+    path, log = work_dir(spark, "run-log"), derived.runs(spark, sf_dir)
+    third = F.floor((F.dayofmonth("start_time") - 1) / 11)
+    for part in range(3):
+        run_files.append_clustered(log.where(third == part), path, rows_per_file=100_000)
+    return path
+
+
+@query
+def latest_runs_per_type_from_files(spark, sf_dir):
+    newest = run_files.read_newest(spark, _clustered_runs(spark, sf_dir), 100)
+    return _run_columns(runs.latest_runs_per_type(newest, 100), _long("recency").alias("recency"))
+
+
+@query
+def drift_checked_from_files(spark, sf_dir):
+    return runs.check_drift(run_files.read_newest(spark, _clustered_runs(spark, sf_dir), 100), window=50)
+
+
 @query
 def runs_summarised(spark, sf_dir):
     summary = runs.metrics_summary(derived.runs(spark, sf_dir))
