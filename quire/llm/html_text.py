@@ -3,12 +3,16 @@
 Each page scores its containers by the running text their blocks hold, and votes for the generalised path
 (tags and classes, digits replaced) of the best. Spark counts the votes per host. Every page is then read
 again with its host's winning path; a page without such a container falls back on its own best.
+
+A page is read in one pass whose time and memory grow with its length, whatever its tags are like.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,78 +24,121 @@ from quire.llm.url_filter import host_of
 
 BROADCAST_HOSTS = 200_000
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|textarea|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+)>"""
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
+_TAG = re.compile(
+    r"""<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>"""
 )
+_PLAIN_TAG = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)>")  # looks at no quotes
+_RAW = {
+    tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in ("script", "style", "noscript", "template", "svg", "textarea", "iframe")
+}
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HIDDEN = re.compile(r"""\btype\s*=\s*["']?hidden\b""", re.I)
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[^a-z0-9]+")
+_ZEROS = re.compile(r"&#0+(?=[0-9])")
+_BEYOND = re.compile(r"&#[0-9]{8,};?")  # no character has such a number
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var".split()
 )
+_PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6".split())  # their holder gets their text's score
 _CLOSED_BY_SAME = frozenset("li dt dd tr td th option".split())
+_FIELDS = frozenset("input textarea select button".split())
 _OUTSIDE = frozenset(  # elements that never hold main text
-    "head title nav header footer aside form button select menu dialog object canvas".split()
+    "head title nav header footer aside button select menu dialog object canvas".split()
 )
-_OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog".split())
+_OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog".split())
 _OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense adslot banner sponsor sponsored promo "
     "promotion sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar cookie "
     "cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social "
-    "related recommended comment comments disqus replies reply search widget pagination pager toolbar".split()
+    "related recommended comment comments commentlist disqus replies reply search widget pagination pager toolbar".split()
 )
+_AFTER_WORDS = frozenset("responses respond feedback discussion discussions guestbook".split())  # only after the article
 _NEUTRAL_STARTS = ("no-", "has-", "with-", "without-", "is-", "not-")
 _TRUSTED = frozenset(["html", "body", "main"])  # never left out for their class
+_WHOLE_NAMES = _PARAGRAPHS | {"article", "li", "dt", "dd"}  # left out for a whole name only, not for a part of one
+
+FORM_TEXT = 200  # a form with this much running text for each field is a wrapper around the page
+AFTER_TEXT = 40  # running text (a sentence) after which an article counts as begun
+_BROKEN_TAGS = 16  # tags without an end that are looked for up to the page's end
+
+
+def _decoded(piece: str) -> str:
+    if "&#" in piece:
+        piece = _BEYOND.sub("�", _ZEROS.sub("&#", piece))
+    return html.unescape(piece)
 
 
 class _Page:
-    """Blocks of a page's text and its containers, from one pass over the tags."""
+    """Blocks of a page's text and its containers, from one pass over the tags.
+
+    Paths are nodes of a tree, kept as (parent, step); open elements are rows of parallel arrays, each with the place of
+    the nearest block and of the nearest holder of paragraphs at or above it. So nothing is searched for.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[list[str]] = []  # pieces of text; a new list at every block boundary
-        self.kept: list[bool] = []  # whether a block is outside menus, adverts and the like
-        self.containers: list[tuple[str, int, int]] = []  # path, first block, block after the last
-        self.scores: dict[str, float] = {}  # best score of any container with this path
-        self._stack: list[list] = []  # tag, path, outside, first block, score
+        self.pieces: list[str] = []
+        self.starts = array("q")  # first piece of every block
+        self.kept = bytearray()  # whether a block is outside menus, adverts and the like
+        self._dropped: list[tuple[int, int]] = []  # forms: first block, block after the last
+        self._h1: list[tuple[int, int, int]] = []  # parent element, first block, block after the last
+        self._steps: dict[str, int] = {}
+        self._names: list[str] = []
+        self._children: dict[int, int] = {}  # parent node and step in one number: node
+        self._parents, self._step_of = array("q", [-1]), array("q", [-1])  # node 0 is the root
+        # containers with text: node, first block, block after the last, score, parent element
+        self._containers = array("q"), array("q"), array("q"), array("d"), array("q")
+        # open elements
+        self._tags: list[str] = []
+        self._nodes, self._first, self._block, self._holder, self._ids = (array("q") for _ in range(5))
+        self._outside, self._scores = bytearray(), array("d")
+        self._open_tags: Counter[str] = Counter()
+        self._forms: list[tuple[int, int, int, int]] = []  # of open forms: fields, text, articles, containers before
+        self._elements = self._field_count = self._articles = self._articles_ended = 0
+        self._text_length = 0  # running text outside links
         self._fresh = True
         self._read(source)
+        while self._tags:
+            self._close()
+        for first, end in self._dropped:
+            self.kept[first:end] = bytes(end - first)
 
     def _text(self, piece: str) -> None:
-        outside = bool(self._stack) and self._stack[-1][2]
+        outside = bool(self._tags) and self._outside[-1]
         if self._fresh:
-            self.blocks.append([])
+            self.starts.append(len(self.pieces))
             self.kept.append(not outside)
             self._fresh = False
-        self.blocks[-1].append(html.unescape(piece) if "&" in piece else piece)
-        if outside or any(e[0] == "a" for e in self._stack):
+        self.pieces.append(_decoded(piece) if "&" in piece else piece)
+        if outside or self._open_tags["a"]:
             return
         length = len(piece) - piece.count(" ")
-        depth = 0
-        for element in reversed(self._stack):  # the paragraph's holder counts it fully, the next one by half
-            if element[0] in _INLINE or element[0] in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"):
-                continue
-            element[4] += length / (1 << depth)
-            depth += 1
-            if depth == 2:
-                break
+        self._text_length += length
+        holder = self._holder[-1] if self._tags else -1
+        if holder >= 0:  # the paragraph's holder counts it fully, the next one by half
+            self._scores[holder] += length
+            above = self._holder[holder - 1] if holder else -1
+            if above >= 0:
+                self._scores[above] += length / 2
 
-    def _close(self) -> None:
-        tag, path, outside, first, score = self._stack.pop()
-        if not outside and tag not in _INLINE and score > 0:
-            self.containers.append((path, first, len(self.blocks)))
-            self.scores[path] = max(score, self.scores.get(path, 0.0))
+    def _node(self, parent: int, step: str) -> int:
+        number = self._steps.setdefault(step, len(self._steps))
+        if number == len(self._names):
+            self._names.append(step)
+        key = parent << 32 | number
+        node = self._children.get(key)
+        if node is None:
+            node = self._children[key] = len(self._parents)
+            self._parents.append(parent)
+            self._step_of.append(number)
+        return node
 
     def _open(self, tag: str, rest: str) -> None:
-        parent = self._stack[-1] if self._stack else ["", "", False, 0, 0.0]
-        outside = parent[2] or tag in _OUTSIDE
+        top = len(self._tags) - 1
+        outside = (top >= 0 and self._outside[top]) or tag in _OUTSIDE
         names = ""
         if rest:
             for kind, *values in _NAME.findall(rest):
@@ -101,76 +148,186 @@ class _Page:
                 if kind.lower() == "role":
                     outside = outside or value in _OUTSIDE_ROLES
                 elif tag not in _TRUSTED and not outside:
-                    outside = any(
-                        word in _OUTSIDE_WORDS
-                        for name in value.split()
-                        if not name.startswith(_NEUTRAL_STARTS)
-                        for word in _WORDS.split(name)
-                    )
-        path = f"{parent[1]}/{tag}.{names}" if names else f"{parent[1]}/{tag}"
-        path = "" if tag == "html" else path  # it may be left out
-        self._stack.append([tag, path, outside, len(self.blocks), 0.0])
+                    outside = self._named_outside(tag, value)
+        if tag == "html":  # it may be left out
+            node = 0
+        else:
+            node = self._node(self._nodes[top] if top >= 0 else 0, f"{tag}.{names}" if names else tag)
+        place, inline = top + 1, tag in _INLINE
+        if tag == "form":
+            self._forms.append((self._field_count, self._text_length, self._articles, len(self._containers[0])))
+        self._articles += tag in ("article", "main", "h1")
+        self._tags.append(tag)
+        self._open_tags[tag] += 1
+        self._nodes.append(node)
+        self._outside.append(outside)
+        self._first.append(len(self.starts))
+        self._scores.append(0.0)
+        self._block.append((self._block[top] if top >= 0 else -1) if inline else place)
+        self._holder.append((self._holder[top] if top >= 0 else -1) if inline or tag in _PARAGRAPHS else place)
+        self._ids.append(self._elements)
+        self._elements += 1
+
+    def _named_outside(self, tag: str, value: str) -> bool:
+        begun = self._text_length >= AFTER_TEXT or self._articles_ended
+        for name in value.split():
+            if name.startswith(_NEUTRAL_STARTS):
+                continue
+            for word in [name] if tag in _WHOLE_NAMES else _WORDS.split(name):
+                if word in _OUTSIDE_WORDS or (begun and word in _AFTER_WORDS):
+                    return True
+        return False
+
+    def _close(self) -> None:
+        tag, node, outside = self._tags.pop(), self._nodes.pop(), self._outside.pop()
+        first, score = self._first.pop(), self._scores.pop()
+        self._block.pop(), self._holder.pop(), self._ids.pop()
+        self._open_tags[tag] -= 1
+        if tag == "form" and self._is_form(*self._forms.pop()):
+            self._dropped.append((first, len(self.starts)))
+        elif not outside and tag not in _INLINE and score > 0:
+            parent = self._ids[-1] if self._ids else -1
+            for column, value in zip(self._containers, (node, first, len(self.starts), score, parent), strict=True):
+                column.append(value)
+        if tag == "h1" and not outside and len(self.starts) > first:
+            self._h1.append((self._ids[-1] if self._ids else -1, first, len(self.starts)))
+        self._articles_ended += tag == "article" and not outside
+
+    def _is_form(self, fields: int, text: int, articles: int, containers: int) -> bool:
+        """Whether the form that ends holds fields rather than the page; its containers go with it."""
+        if self._articles > articles:
+            return False
+        if self._text_length - text >= FORM_TEXT * max(1, self._field_count - fields):
+            return False
+        for column in self._containers:
+            del column[containers:]
+        return True
+
+    def _close_to(self, place: int) -> None:
+        while len(self._tags) > place:
+            self._close()
+
+    def _tag(self, tag: str, end: bool, rest: str) -> None:
+        if tag == "br":
+            self._text(" ")
+            return
+        inline = tag in _INLINE
+        self._fresh = self._fresh or not inline
+        if end:
+            if self._open_tags[tag]:
+                while self._tags[-1] != tag:
+                    self._close()
+                self._close()
+            return
+        if tag in _FIELDS and not (tag == "input" and _HIDDEN.search(rest)):
+            self._field_count += 1
+        if tag in _VOID or tag in _RAW:
+            return
+        if not inline and self._tags and self._block[-1] >= 0:
+            # a block ends an open paragraph, a list item or cell the one before it
+            held = self._tags[self._block[-1]]
+            if held == "p" or (held == tag and tag in _CLOSED_BY_SAME):
+                self._close_to(self._block[-1])
+        self._open(tag, rest)
 
     def _read(self, source: str) -> None:
-        at = 0
-        for token in _TOKEN.finditer(source):
-            if token.start() > at:
-                self._text(source[at : token.start()])
-            at = token.end()
-            tag = (token["tag"] or token["tag2"] or "").lower()
-            if not tag:
+        last, broken, text, at = source.rfind(">"), 0, 0, 0
+
+        def emit(until: int) -> None:
+            if until > text:
+                self._text(source[text:until])
+
+        while (at := source.find("<", at)) >= 0:
+            if source.startswith("<!--", at):
+                emit(at)
+                found = source.find("-->", at + 4)
+                text = at = found + 3 if found >= 0 else len(source)
                 continue
-            if tag == "br":
-                self._text(" ")
+            if at > last:  # nothing ends any more but a comment
+                at = source.find("<!--", at)
+                if at < 0:
+                    break
                 continue
-            inline = tag in _INLINE
-            self._fresh = self._fresh or not inline
-            if token["end"] or token["end2"]:
-                if any(e[0] == tag for e in self._stack):
-                    while self._stack[-1][0] != tag:
-                        self._close()
-                    self._close()
+            if source[at + 1] in "!?":
+                emit(at)
+                text = at = source.index(">", at) + 1
                 continue
-            if tag in _VOID:
+            found = _TAG.match(source, at) if broken < _BROKEN_TAGS else None
+            if found is None:
+                found = _PLAIN_TAG.match(source, at)
+                broken += found is not None
+            if found is None:
+                at += 1
                 continue
-            if not inline:
-                self._end_implied(tag)
-            self._open(tag, token["rest"] or token["rest2"] or "")
-        if at < len(source):
-            self._text(source[at:])
-        while self._stack:
-            self._close()
+            emit(at)
+            tag, end = found["tag"].lower(), found["end"] != ""
+            text = at = found.end()
+            if tag in _RAW and not end:
+                closing = _RAW[tag].search(source, source.index(">", found.start()))
+                text = at = closing.end() if closing else len(source)
+            self._tag(tag, end, found["rest"])
+        if text < len(source):
+            self._text(source[text:])
 
-    def _end_implied(self, tag: str) -> None:
-        """A block ends an open paragraph, a list item or cell the one before it."""
-        for i in range(len(self._stack) - 1, -1, -1):
-            held = self._stack[i][0]
-            if held == "p" or (held == tag and tag in _CLOSED_BY_SAME):
-                while len(self._stack) > i:
-                    self._close()
-                return
-            if held not in _INLINE:
-                return
+    def _path(self, node: int) -> str:
+        steps = []
+        while node:
+            steps.append(self._names[self._step_of[node]])
+            node = self._parents[node]
+        return " ".join(reversed(steps))  # no step holds a blank
 
-    def best_path(self) -> str | None:
-        return max(self.scores, key=lambda path: (self.scores[path], path)) if self.scores else None
+    def _found(self, path: str) -> int | None:
+        """The node of a path, None if the page has none."""
+        node = 0
+        for step in path.split():
+            node = self._children.get(node << 32 | self._steps.get(step, 0xFFFFFFFF))
+            if node is None:
+                return None
+        return node
+
+    def _best(self) -> tuple[int, float] | None:
+        """Node and score of the best container, the first of equals."""
+        nodes, scores = self._containers[0], self._containers[3]
+        best = max(range(len(nodes)), key=lambda i: (scores[i], -nodes[i]), default=None)
+        return None if best is None else (nodes[best], scores[best])
+
+    def vote(self) -> tuple[str | None, float]:
+        """Path and score of the best container."""
+        best = self._best()
+        return (None, 0.0) if best is None else (self._path(best[0]), best[1])
 
     def text(self, path: str | None) -> str:
-        """Text of all containers with ``path``; of the best one's path, or the whole page, if there is none."""
-        ranges = [(a, b) for p, a, b in self.containers if p == path]
-        if not ranges:
-            own = self.best_path()
-            ranges = [(a, b) for p, a, b in self.containers if p == own] or [(0, len(self.blocks))]
-        chosen = sorted({i for a, b in ranges for i in range(a, b) if self.kept[i]})
-        lines = (" ".join("".join(self.blocks[i]).split()) for i in chosen)
-        return "\n".join(line for line in lines if line)
+        """Text of all containers with ``path``; of the best one's path, or the whole page, if there is none.
+
+        Without an h1 between its start and end, the last one before it that has the same parent element belongs to it.
+        """
+        nodes, firsts, ends, _, parents = self._containers
+        wanted = None if path is None else self._found(path)
+        chosen = [i for i, node in enumerate(nodes) if node == wanted]
+        if not chosen and (best := self._best()):
+            chosen = [i for i, node in enumerate(nodes) if node == best[0]]
+        ranges = sorted((firsts[i], ends[i]) for i in chosen)
+        if ranges:
+            start, end, above = ranges[0][0], max(end for _, end in ranges), {parents[i] for i in chosen}
+            if not any(start <= first < end for _, first, _ in self._h1):
+                before = [(first, last) for parent, first, last in self._h1 if parent in above and last <= start]
+                ranges = sorted(before)[-1:] + ranges
+        lines, done = [], 0
+        for first, end in ranges or [(0, len(self.starts))]:
+            for block in range(max(first, done), end):
+                if self.kept[block]:
+                    stop = self.starts[block + 1] if block + 1 < len(self.starts) else len(self.pieces)
+                    line = " ".join("".join(self.pieces[self.starts[block] : stop]).split())
+                    if line:
+                        lines.append(line)
+            done = max(done, end)
+        return "\n".join(lines)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages = [_Page(source.as_py()) for source in batch.column(1)]
-        paths = [page.best_path() for page in pages]
-        scores = [page.scores.get(path, 0.0) for page, path in zip(pages, paths, strict=True)]
+        found = [_Page(source.as_py()).vote() for source in batch.column(1)]  # one page at a time in memory
+        paths, scores = [path for path, _ in found], [score for _, score in found]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"]
         )
@@ -204,7 +361,8 @@ def extract_main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS)
 
     Blocks are joined by line ends, white space inside a block is one blank, character references are
     decoded. Null or empty html, or a page without main text, gives an empty text. Pages without a host vote
-    among themselves. Repeated rows are read alike; other columns are not looked at.
+    among themselves. Repeated rows are read alike; other columns are not looked at. An empty table gives an empty one.
+    Very long pages, with tags that are never closed or nest without end, take time and memory by their length.
     """
     bounded_batches(pages.sparkSession)
     winners = broadcast_within(fixed(host_paths(pages), "host-paths"), broadcast_hosts)

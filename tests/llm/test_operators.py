@@ -1,10 +1,14 @@
 """The training-data operators on small hostile tables, against brute force."""
 
+import html
 import math
+import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -378,3 +382,64 @@ def test_main_text_by_consensus(spark):
     expected = [(i, main) for i in range(3)] + [(7, "short"), (8, "a much longer text beside it, not the main one"), (9, ""), (10, ""), (11, ""), (11, "plain & text")]
     assert got == [(i, t, len(t)) for i, t in expected]
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
+
+
+ARTICLE = "<article><h1>Head</h1><p>Some running text of an article, with enough words in it to be found as the main text of a page, and more words.</p>{}</article>"
+BODY = "Head\nSome running text of an article, with enough words in it to be found as the main text of a page, and more words."
+
+
+def read_page(source):
+    page = html_text._Page(source)
+    return page.text(page.vote()[0])
+
+
+@pytest.mark.parametrize("attribute", ['class="responses"', 'id="feedback"', 'class="commentlist"', 'id="comments"'])
+def test_reader_comments_go(attribute):
+    comments = f"<div {attribute}><p>First comment of a reader</p><p>second comment of a reader</p></div>"
+    assert read_page(f"<body>{ARTICLE.format(comments)}</body>") == BODY
+    assert read_page(f"<body>{ARTICLE.format('')}{comments}</body>") == BODY
+
+
+def test_paragraphs_of_the_article_stay():
+    more = '<p class="notice-period">The notice period is a month.</p><p class="menu-item">Soup</p><p class="advert">buy</p>'
+    assert read_page(ARTICLE.format(more)) == BODY + "\nThe notice period is a month.\nSoup"
+    assert read_page('<article class="post comment-open">' + ARTICLE.format("")[9:]) == BODY
+    assert read_page(f'<div id="feedback">{ARTICLE.format("")}</div>') == BODY
+
+
+def test_forms_around_the_page_stay_and_others_go():
+    wrapped = f'<body><form id="aspnetForm"><input type="hidden" name="v">{ARTICLE.format("")}<input name="q"><button>go</button></form></body>'
+    assert read_page(wrapped) == BODY
+    plain = "<form><div><p>" + "many words of running text " * 20 + "</p></div><input name=q></form>"
+    assert read_page(plain) == ("many words of running text " * 20).strip()
+    form = "<form><p>Write to us, we answer soon</p><input name=a><textarea>x</textarea><button>send</button></form>"
+    assert read_page(ARTICLE.format(form)) == BODY
+
+
+def test_heading_beside_the_container():
+    beside = ARTICLE.replace("<h1>Head</h1>", "")
+    assert read_page(f"<body><h1>Site</h1><p>x</p><h1></h1><h1>Head</h1>{beside.format('')}</body>") == BODY
+    assert read_page(f"<body><div><h1>Site</h1></div><h1>Site</h1>{ARTICLE.format('')}</body>") == BODY
+    assert read_page(f"<body><header><h1>Site</h1></header>{beside.format('')}</body>") == BODY[5:]
+
+
+def test_odd_pages_take_time_by_their_length():
+    pages = ["<div>x" * 50_000, '<div class="a b1">' * 20_000 + "y", "<a " * 100_000, "<script " * 50_000, '<a ">"' * 50_000]
+    pages += ["<b>x" * 50_000, "<b>" * 20_000 + "<p></p>" * 20_000, "<i>" * 20_000 + "</u>" * 50_000, "<html>x" * 30_000]
+    pages += ["<form>x" * 30_000, "<ul><li>x" * 30_000, "<!-" * 100_000, "<h1>x" * 30_000, "</script   " * 30_000, "&#" + "9" * 6000 + ";"]
+    begun = time.monotonic()
+    texts = [read_page(page) for page in pages]
+    assert time.monotonic() - begun < 60
+    assert texts[2] == ("<a " * 100_000).strip() and texts[-1] == "\ufffd"
+    assert texts[5] == "x" * 50_000 and texts[0] == "\n".join("x" * 50_000)
+    assert read_page("&#0000000065;&#x41;&#99999999999;1 <!-- a > b --> <3 <!-- open") == "AA\ufffd1 <3"
+
+
+def test_reader_equals_a_plain_reader_of_articles(sf_dir):
+    """The given pages hold their main text in one article element: taken from it by patterns alone."""
+    pages = pq.read_table(f"{sf_dir}/pages.parquet", columns=["html"])["html"].to_pylist()
+    for source in pages:
+        article = re.search(r"<article>(.*?)</article>", source or "", re.S)
+        blocks = re.split(r"</?(?:p|h1|article)>", re.sub(r"<br>", " ", article[1])) if article else []
+        lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)
+        assert read_page(source or "") == "\n".join(line for line in lines if line)
