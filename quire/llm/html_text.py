@@ -9,7 +9,6 @@ A page is read in one pass whose time and memory grow with its length, whatever
 
 from __future__ import annotations
 
-import html
 import re
 from array import array
 from collections import Counter
@@ -20,23 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import bounded_batches, broadcast_within, fixed
+from quire.llm.markup import RAW, decoded, tags_of
 from quire.llm.url_filter import host_of
 
 BROADCAST_HOSTS = 200_000
 
-_TAG = re.compile(
-    r"""<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>"""
-)
-_PLAIN_TAG = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)>")  # looks at no quotes
-_RAW = {
-    tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in ("script", "style", "noscript", "template", "svg", "textarea", "iframe")
-}
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\btype\s*=\s*["']?hidden\b""", re.I)
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[^a-z0-9]+")
-_ZEROS = re.compile(r"&#0+(?=[0-9])")
-_BEYOND = re.compile(r"&#[0-9]{8,};?")  # no character has such a number
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
@@ -63,13 +54,6 @@ _WHOLE_NAMES = _PARAGRAPHS | {"article", "li", "dt", "dd"}  # left out for a who
 
 FORM_TEXT = 200  # a form with this much running text for each field is a wrapper around the page
 AFTER_TEXT = 40  # running text (a sentence) after which an article counts as begun
-_BROKEN_TAGS = 16  # tags without an end that are looked for up to the page's end
-
-
-def _decoded(piece: str) -> str:
-    if "&#" in piece:
-        piece = _BEYOND.sub("�", _ZEROS.sub("&#", piece))
-    return html.unescape(piece)
 
 
 class _Page:
@@ -112,7 +96,7 @@ class _Page:
             self.starts.append(len(self.pieces))
             self.kept.append(not outside)
             self._fresh = False
-        self.pieces.append(_decoded(piece) if "&" in piece else piece)
+        self.pieces.append(decoded(piece) if "&" in piece else piece)
         if outside or self._open_tags["a"]:
             return
         length = len(piece) - piece.count(" ")
@@ -221,7 +205,7 @@ class _Page:
             return
         if tag in _FIELDS and not (tag == "input" and _HIDDEN.search(rest)):
             self._field_count += 1
-        if tag in _VOID or tag in _RAW:
+        if tag in _VOID or tag in RAW:
             return
         if not inline and self._tags and self._block[-1] >= 0:
             # a block ends an open paragraph, a list item or cell the one before it
@@ -231,43 +215,11 @@ class _Page:
         self._open(tag, rest)
 
     def _read(self, source: str) -> None:
-        last, broken, text, at = source.rfind(">"), 0, 0, 0
-
-        def emit(until: int) -> None:
-            if until > text:
-                self._text(source[text:until])
-
-        while (at := source.find("<", at)) >= 0:
-            if source.startswith("<!--", at):
-                emit(at)
-                found = source.find("-->", at + 4)
-                text = at = found + 3 if found >= 0 else len(source)
-                continue
-            if at > last:  # nothing ends any more but a comment
-                at = source.find("<!--", at)
-                if at < 0:
-                    break
-                continue
-            if source[at + 1] in "!?":
-                emit(at)
-                text = at = source.index(">", at) + 1
-                continue
-            found = _TAG.match(source, at) if broken < _BROKEN_TAGS else None
-            if found is None:
-                found = _PLAIN_TAG.match(source, at)
-                broken += found is not None
-            if found is None:
-                at += 1
-                continue
-            emit(at)
-            tag, end = found["tag"].lower(), found["end"] != ""
-            text = at = found.end()
-            if tag in _RAW and not end:
-                closing = _RAW[tag].search(source, source.index(">", found.start()))
-                text = at = closing.end() if closing else len(source)
-            self._tag(tag, end, found["rest"])
-        if text < len(source):
-            self._text(source[text:])
+        for text, tag, end, rest in tags_of(source):
+            if text:
+                self._text(text)
+            if tag:
+                self._tag(tag, end, rest)
 
     def _path(self, node: int) -> str:
         steps = []

@@ -7,20 +7,23 @@ with joins, and a block spreads to the aliases that no rule names, unless an ali
 
 from __future__ import annotations
 
+import re
 import string
+from collections.abc import Iterator
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import fixed
+from quire.llm.common import bounded_batches, fixed
 from quire.llm.components import connected_components
+from quire.llm.markup import attributes, tags_of
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
-_CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_REFRESH_URL = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+_REFRESH_URL = re.compile(r"""^[\s\d.]*[;,\s]\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
+_CONTROLS = re.compile(r"[\t\n\r]")
 
 
 def _after_scheme(url: Column) -> Column:
@@ -44,36 +47,59 @@ def same_page(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), rest))
 
 
-def resolve(scheme: Column, host: Column, path: Column, link: Column) -> Column:
-    """An absolute url for ``link`` found on a page with these url parts; null for an empty link."""
-    root = F.concat(scheme, F.lit("://"), host)
-    folder = F.regexp_replace(path, r"[^/]*$", "")
-    return (
-        F.when(link == "", None)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), link))
-    )
+def _absolute(base: str, link: str) -> str | None:
+    """``link`` as found on a page at ``base``; None if it is empty, unreadable or only a fragment."""
+    link = _CONTROLS.sub("", link).strip()
+    if not link or link.startswith("#"):
+        return None
+    try:
+        return urljoin(base, link)
+    except ValueError:  # such as an unclosed bracket in the host
+        return None
+
+
+def links_of(url: str, source: str) -> list[str]:
+    """Absolute addresses that a page names as canonical or refreshes to, in page order.
+
+    ``rel`` is a list of words; the first ``base`` counts for all links of the page; comments, scripts and the like hold no
+    links. All tags count, not only the first.
+    """
+    links, base = [], url
+    based = False
+    for _, tag, end, rest in tags_of(source):
+        if end or tag not in ("link", "meta", "base"):
+            continue
+        named = attributes(rest)
+        if tag == "base" and "href" in named and not based:
+            based, base = True, _absolute(url, named["href"]) or url
+        elif tag == "link" and "canonical" in named.get("rel", "").lower().split():
+            links.append(named.get("href", ""))
+        elif tag == "meta" and named.get("http-equiv", "").strip().lower() == "refresh":
+            found = _REFRESH_URL.match(named.get("content", ""))
+            links.append("".join(g or "" for g in found.groups()) if found else "")
+    return [target for target in (_absolute(base, link) for link in links) if target is not None]
+
+
+def _page_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sources, targets = [], []
+        for url, page in zip(batch.column(0), batch.column(1), strict=True):  # one page at a time in memory
+            found = dict.fromkeys(links_of(url.as_py(), page.as_py()))
+            sources += [url.as_py()] * len(found)
+            targets += found
+        yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(targets, pa.string())], names=["url", "target"])
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """src, dst: what pages (url, html) name as their canonical address or refresh to."""
-    found = []
-    for tag, link in ((_CANONICAL, _HREF), (_REFRESH, _REFRESH_URL)):
-        link = F.regexp_extract(F.regexp_extract("html", tag, 0), link, 1)
-        found.append(pages.where(F.col("html").rlike(tag)).select("url", link.alias("link")))
-    url = F.col("url")
-    links = fixed(found[0].unionByName(found[1]), "links").select(
-        same_page(url).alias("src"),
-        F.substring_index(url, "://", 1).alias("scheme"),
-        host_of(url).alias("host"),
-        path_of(url).alias("path"),
-        F.replace("link", F.lit("&amp;"), F.lit("&")).alias("link"),
-    )
-    target = resolve(F.col("scheme"), F.col("host"), F.col("path"), F.col("link"))
-    links = fixed(links.select("src", target.alias("target")), "link-targets")
-    return links.select("src", same_page(F.col("target")).alias("dst"))
+    """src, dst: what pages (url, html) name as their canonical address or refresh to.
+
+    Only pages that hold one of the two words, in any case, are read tag by tag.
+    """
+    bounded_batches(pages.sparkSession)
+    holds = F.col("html").rlike("(?i)canonical|refresh") & (host_of(F.col("url")) != "")
+    links = pages.where(holds).select("url", "html").mapInArrow(_page_links, "url string, target string")
+    links = fixed(links, "links")
+    return links.select(same_page(F.col("url")).alias("src"), same_page(F.col("target")).alias("dst"))
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
@@ -104,7 +130,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     ``redirects``: more edges (src, dst urls). The verdict is that of the longest fitting rule. A url without
     one is allowed if any alias is explicitly allowed, else blocked if any alias is blocked, else allowed.
     A null url, or one without "://", has an empty host and path, no rule and no aliases, and is allowed.
-    Null html has no links. Repeated rows are judged alike; other columns are not looked at.
+    Null html has no links; all links of a page count, however long it or its url is. Repeated rows are judged alike;
+    other columns are not looked at. An empty table gives an empty one.
     """
     edges = alias_edges(pages)
     if redirects is not None:

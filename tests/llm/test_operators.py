@@ -195,6 +195,39 @@ def test_urls_inherit_from_aliases(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("source", "links"),
+    [
+        ('<link rel="alternate canonical" href="/a">', ["http://h.com/a"]),
+        ('<link data-rel="canonical-x" rel="icon" href="/a">', []),
+        ('<!-- <link rel=canonical href=/a> --><script>"<link rel=canonical href=/b>"</script>', []),
+        ('<link href="c?x=1&amp;y=&#50;" REL=CANONICAL>', ["http://h.com/p/c?x=1&y=2"]),
+        ('<link rel=canonical href=../up><base href="//o.org/x/"><base href="/y/">', ["http://o.org/up"]),
+        ('<link rel=canonical href="/a"><link rel=canonical href=b>', ["http://h.com/a", "http://h.com/p/b"]),
+        ("<meta content=\"0; URL='/r s'\" http-equiv=Refresh>", ["http://h.com/r s"]),
+        ('<meta http-equiv=refresh content="5;/r"><meta http-equiv=refresh content="5">', ["http://h.com/r"]),
+        ('<meta http-equiv=refresh content=\'0;url="http://a.b/c"\'>', ["http://a.b/c"]),
+        ('<link rel=canonical><link rel=canonical href=""><link rel=canonical href="http://[x">', []),
+        ('<link rel="canonical" href="/a>b">', ["http://h.com/a>b"]),
+        ('<link rel="canonical" rel="icon" href="&#' + "9" * 5000 + ';">', ["http://h.com/p/\ufffd"]),
+        ("", []),
+    ],
+)
+def test_alias_links(source, links):
+    assert url_filter.links_of("http://h.com/p/q", source) == links
+
+
+def test_aliases_of_long_pages_and_urls(spark):
+    far, long = "http://a.net/" + "y" * 100_000, "<div " * 100_000 + "z" * 1_000_000
+    pages = spark.createDataFrame(
+        [(1, "http://b.com/", long + f'><link rel=canonical href="{far}"><link rel=canonical href="http://c.com/">'), (2, far, None), (3, "http://c.com/", "")],
+        "page_id long, url string, html string",
+    )
+    rules = url_filter.rule_table(spark, url_filter.RULES)
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {1: "block", 2: "block", 3: "block"}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 1000])
 def test_golomb_round_trip(n):
     rng = np.random.default_rng(n)
