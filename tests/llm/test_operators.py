@@ -476,3 +476,15 @@ def test_reader_equals_a_plain_reader_of_articles(sf_dir):
         blocks = re.split(r"</?(?:p|h1|article)>", re.sub(r"<br>", " ", article[1])) if article else []
         lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)
         assert read_page(source or "") == "\n".join(line for line in lines if line)
+
+
+def test_quality_on_labels_held_out(spark):
+    """Fitted on half of the labels, judged on the other half: at least nine in ten of either kind are told right."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(2)) == 0
+    model = quality.fit_quality(docs, labels.where(~held))
+    judged = quality.score_quality(docs, model).select("doc_id", "kept").join(labels.where(held), "doc_id")
+    counts = judged.groupBy("quality").agg(F.count_if(F.col("kept") == (F.col("quality") > 0)).alias("right"), F.count(F.lit(1)).alias("n"))
+    found = {r["quality"]: (r["right"], r["n"]) for r in counts.collect()}
+    assert len(found) == 2 and all(n > 20 and right >= 0.9 * n for right, n in found.values()), found
