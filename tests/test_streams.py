@@ -291,3 +291,15 @@ def test_histogram_of_a_table_equals_its_windows(log):
     windows = streams.stream_histogram(log, "ocr_confidence", CONFIDENCE_BOUNDS, ["ocr_engine"], "1 day")
     summed = windows.groupBy("ocr_engine", "le").agg(F.sum("cumulative_count").alias("cumulative_count"))
     assert rows(whole.select("ocr_engine", "le", "cumulative_count")) == rows(summed)
+
+
+def test_tables_of_many_files_are_streamed(spark, sf_dir, folder):
+    from quire.plans.registry import QUERIES
+
+    counts = {}
+    for place, files_of in ((f"{folder}/single", 1), (f"{folder}/many", 3)):
+        for name in ("documents", "labels", "events"):
+            derived.table(spark, sf_dir, name).repartition(files_of).write.parquet(f"{place}/{name}.parquet")
+        counts[place] = [rows(QUERIES[q](spark, place)) for q in ("stream_upserted", "stream_counts")]
+    plain = [rows(QUERIES[q](spark, sf_dir)) for q in ("stream_upserted", "stream_counts")]  # a file each
+    assert all(plain) and all(found == plain for found in counts.values())
