@@ -143,3 +143,18 @@ def test_upserts_do_not_depend_on_their_size(spark, monkeypatch, small):
     updates = spark.createDataFrame([(2, 1, "b1"), (None, 2, "n1"), (None, 1, "n0")], schema)
     rows = sorted(map(tuple, store.upsert_documents(current, updates).select("text", "id").collect()))
     assert rows == [("a", 1), ("a2", 1), ("b1", 2), ("n1", None)]
+
+
+def test_invoice_texts_are_not_shuffled(spark, sf_dir):
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        gathered = documents.gather(**derived.document_run_inputs(spark, sf_dir))
+        assert "Exchange" not in plan(gathered) and gathered.count() > 0
+        texts = [line for line in plan(derived.invoice_texts(spark, sf_dir)).splitlines() if "Exchange" in line]
+        assert texts and not any("items" in line or "item#" in line for line in texts)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
