@@ -10,6 +10,7 @@ from quire.fixed_values import CONFIDENCE_BOUNDS
 from quire.operators import metrics, runs, store
 from quire.operators.prompts import prompt_registry
 from quire.plans import documents
+from quire.plans.registry import QUERIES
 from quire.sources import derived
 from quire.sources.uploads import scan_uploads
 from quire.streaming import snapshots, streams
@@ -294,8 +295,6 @@ def test_histogram_of_a_table_equals_its_windows(log):
 
 
 def test_tables_of_many_files_are_streamed(spark, sf_dir, folder):
-    from quire.plans.registry import QUERIES
-
     counts = {}
     for place, files_of in ((f"{folder}/single", 1), (f"{folder}/many", 3)):
         for name in ("documents", "labels", "events"):
@@ -303,3 +302,16 @@ def test_tables_of_many_files_are_streamed(spark, sf_dir, folder):
         counts[place] = [rows(QUERIES[q](spark, place)) for q in ("stream_upserted", "stream_counts")]
     plain = [rows(QUERIES[q](spark, sf_dir)) for q in ("stream_upserted", "stream_counts")]  # a file each
     assert all(plain) and all(found == plain for found in counts.values())
+
+
+def test_streamed_updates_come_in_many_files_each_id_in_one(spark, sf_dir, monkeypatch):
+    read, arriving = streams.read_stream, []
+    monkeypatch.setattr(streams, "read_stream", lambda s, path, *more, **named: arriving.append(path) or read(s, path, *more, **named))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        QUERIES["stream_similar_texts"](spark, sf_dir)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    updates = spark.read.parquet(arriving[0]).where("seq > 0").select("id", F.input_file_name().alias("file"))
+    assert updates.select("file").distinct().count() > 1
+    assert updates.groupBy("id").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
