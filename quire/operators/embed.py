@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.fixed_values import SEARCH_K
-from quire.operators.search import search_similar
+from quire.operators.search import _stored, search_similar
 from quire.operators.store import upsert_documents
 
 SIZE = 256
@@ -47,9 +47,22 @@ def load_model(spark: SparkSession, path: str, version: int | None = None) -> Em
     return EmbeddingModel(int(version), tuple(r["weight"] for r in weights))
 
 
+def _place_names(size: int) -> list[str]:
+    """How the places are written: in hexadecimal where ``size`` is a power of 16, so that they are digits of the digest."""
+    digits = _digits(size)
+    return [f"{i:0{digits}x}" if digits else str(i) for i in range(size)]
+
+
+def _digits(size: int) -> int:
+    return next((d for d in range(1, _HEX_DIGITS + 1) if 16**d == size), 0)
+
+
 def _places(text: Column, size: int) -> Column:
-    """The place of each token, as text."""
+    """The place of each token, by name."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    digits = _digits(size)
+    if digits:
+        return F.transform(tokens, lambda t: F.substring(F.md5(t), _HEX_DIGITS - digits + 1, digits))
     place = lambda t: F.conv(F.substring(F.md5(t), 1, _HEX_DIGITS), 16, 10).cast("int") % size
     return F.transform(tokens, lambda t: place(t).cast("string"))
 
@@ -57,16 +70,15 @@ def _places(text: Column, size: int) -> Column:
 def fit_model(docs: DataFrame, version: int = 1, size: int = SIZE, text_col: str = "text") -> EmbeddingModel:
     """Weights from the number of documents that have each place; one pass, partial sums before the shuffle."""
     places = docs.select(F.explode(F.array_distinct(_places(F.col(text_col), size))).alias("place"))
-    held = {int(r["place"]): r["n"] for r in places.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size rows
+    held = {r["place"]: r["n"] for r in places.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size rows
     n = docs.count()
-    rows = docs.sparkSession.createDataFrame([(i, n, held.get(i, 0)) for i in range(size)], "place int, n long, d long")
+    rows = docs.sparkSession.createDataFrame([(i, n, held.get(name, 0)) for i, name in enumerate(_place_names(size))], "place int, n long, d long")
     weight = rows.select("place", (F.ln((F.col("n") + 1) / (F.col("d") + 1)) + 1).alias("weight")).orderBy("place").collect()
     return EmbeddingModel(version, tuple(r["weight"] for r in weight))
 
 
 def _stages(model: EmbeddingModel) -> PipelineModel:
-    names = [str(i) for i in range(len(model.weights))]
-    counted = CountVectorizerModel.from_vocabulary(names, inputCol="_places", outputCol="_counts")
+    counted = CountVectorizerModel.from_vocabulary(_place_names(len(model.weights)), inputCol="_places", outputCol="_counts")
     weighed = ElementwiseProduct(scalingVec=Vectors.dense(model.weights), inputCol="_counts", outputCol="_weighed")
     return PipelineModel([counted, weighed, Normalizer(inputCol="_weighed", outputCol="_unit")])
 
@@ -99,7 +111,10 @@ def search_texts(
 ) -> DataFrame:
     """The k stored documents nearest to each question (query_id, text), as ``search_similar``.
 
-    Rows of other model versions are embedded anew for the search, so that only vectors of one version meet.
+    Rows of other model versions are embedded anew for the search, once, so that only vectors of one version meet.
     """
+    known = F.coalesce(F.col("model_version") == model.version, F.lit(False))
+    fresh = _stored(refresh_embeddings(docs.where(~known), model), "refreshed")
+    current = docs.where(known).unionByName(fresh)
     asked = embed_text(questions.select("query_id", "text"), model).select("query_id", "embedding")
-    return search_similar(refresh_embeddings(docs, model), asked, k, document_type)
+    return search_similar(current, asked, k, document_type)

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import embed
 from quire.streaming import snapshots, streams
@@ -90,3 +91,24 @@ def test_streams_embed_what_they_store(spark, folder):
     want = embed.embed_text(stored(spark, ["new words", "beta", *TEXTS[2:]]), model)
     assert got == {r["id"]: (r["text"], r["embedding"]) for r in want.collect()}
     assert len(snapshots.read_snapshot(spark, folder + "/table").folders) == 2
+
+
+def test_places_are_the_digest_modulo_the_size(spark):
+    for size in (16, 100, 256):
+        names = embed._place_names(size)
+        text = "a bc Déjà 12 a"
+        got = spark.createDataFrame([(text,)], "text string").select(embed._places(F.col("text"), size)).first()[0]
+        assert [names.index(n) for n in got] == [int(hashlib.md5(t.encode()).hexdigest()[:7], 16) % size for t in text.lower().split()]
+
+
+def test_rows_of_older_models_are_embedded_once_for_a_search(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, 0, f"word{i} other", {}) for i in range(8)], "id long, seq long, text string, metadata map<string,string>")
+    model = embed.fit_model(docs)
+    old = embed.EmbeddingModel(0, tuple(1.0 for _ in model.weights))
+    mixed = embed.embed_text(docs.where("id < 5"), model).unionByName(embed.embed_text(docs.where("id >= 5"), old))
+    kept, plain = [], embed._stored
+    monkeypatch.setattr(embed, "_stored", lambda df, purpose: kept.append(plain(df, purpose)) or kept[-1])
+    asked = docs.selectExpr("id AS query_id", "text")
+    found = embed.search_texts(mixed, asked, model, k=1)
+    assert {r["query_id"]: r["id"] for r in found.collect()} == {i: i for i in range(8)}
+    assert [sorted(r["id"] for r in k.collect()) for k in kept] == [[5, 6, 7]]
