@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 DISTANCE_DIGITS = 9
 _PENDING_ROWS = 50_000
 _SCORED_ROWS = 4096
+_MATRIX_VALUES = 1 << 22  # of distances held at a time
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -23,10 +24,15 @@ def matrix_of(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def rows_at_a_time(width: int) -> int:
+    """Rows of a matrix of ``width`` columns that are worked on at a time."""
+    return max(1, min(_SCORED_ROWS, _MATRIX_VALUES // max(width, 1)))
+
+
 class TopK:
     """The k nearest rows (cosine distance, then id) of each query, over batches of rows.
 
-    Memory: one distance matrix of some thousand rows and the kept rows; pairs that cannot enter the k best
+    Memory: one distance matrix of bounded size and the kept rows; pairs that cannot enter the k best
     are never built.
     """
 
@@ -39,8 +45,9 @@ class TopK:
 
     def add(self, vectors: np.ndarray, rows: pa.Table) -> None:
         """``rows`` are carried along, one for each of ``vectors``; they have a column ``id``."""
-        for at in range(0, len(vectors), _SCORED_ROWS):
-            self._add(vectors[at : at + _SCORED_ROWS], rows.slice(at, _SCORED_ROWS))
+        step = rows_at_a_time(len(self.units))
+        for at in range(0, len(vectors), step):
+            self._add(vectors[at : at + step], rows.slice(at, step))
 
     def _add(self, vectors: np.ndarray, rows: pa.Table) -> None:
         distance = np.round(1.0 - unit_rows(vectors) @ self.units.T, DISTANCE_DIGITS) + 0.0  # no negative zero

@@ -16,7 +16,7 @@ from quire.fixed_values import PREVIEW_CHARS, SEARCH_K, SEARCH_K_RANGE
 from quire.functions.paths import work_dir
 from quire.functions.ranking import first_per_group
 from quire.functions.sizing import hinted, is_small
-from quire.functions.vectors import centres_of, euclidean, matrix_of, top_k_slots, unit_rows
+from quire.functions.vectors import centres_of, euclidean, matrix_of, rows_at_a_time, top_k_slots, unit_rows
 
 QUERY_BLOCK = 16_384  # queries of a slot, about
 SLOT_ROWS = 1_000_000  # documents of a slot, about; they are streamed
@@ -168,9 +168,17 @@ def search_similar(
 # --- the index of cells ---
 
 
+def _pieces(batches, width: int):
+    """The batches in pieces whose matrices of distances to ``width`` centres are bounded."""
+    step = rows_at_a_time(width)
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def _nearest_cell(centres: np.ndarray):
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches, len(centres)):
             gaps = euclidean(unit_rows(matrix_of(batch.column("embedding"), centres.shape[1])), centres)
             cell = gaps.argmin(axis=1) if len(gaps) else np.empty(0, np.int64)
             gap = gaps[np.arange(len(gaps)), cell]
@@ -245,7 +253,7 @@ def _probed(cells: np.ndarray, centres: np.ndarray, radii: np.ndarray, probes: i
     """query_id, embedding, cell: the ``probes`` nearest cells of each query, or the others that its limit cannot rule out."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches, len(centres)):
             gaps = euclidean(unit_rows(matrix_of(batch.column("embedding"), centres.shape[1])), centres)
             order = np.argsort(gaps, axis=1, kind="stable")
             chosen = np.zeros(gaps.shape, bool)

@@ -1,9 +1,11 @@
 """Similarity search against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import vectors
 from quire.operators import search
 from quire.sources import derived
 
@@ -172,3 +174,21 @@ def test_approximate_search_recalls_nine_of_ten(spark, folder, scale):
     found = [len({n for _, n in near[q]} & {n for _, n in exact[q]}) / len(exact[q]) for q in exact]
     print(scale, "cells", cells, "probes", probes, "recall", np.mean(found))
     assert np.mean(found) >= 0.9 and cells > 10
+
+
+def test_matrices_of_distances_are_bounded():
+    for width in (1, 500, 8192, 16_384, 10_000_000):
+        step = vectors.rows_at_a_time(width)
+        assert step >= 1 and (step == 1 or step * width <= vectors._MATRIX_VALUES)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(10_000))})
+    pieces = list(search._pieces([batch], 8192))
+    assert max(len(p) for p in pieces) == vectors.rows_at_a_time(8192)
+    assert [i for p in pieces for i in p.column("id").to_pylist()] == list(range(10_000))
+    rng = np.random.default_rng(3)
+    docs, queries = rng.integers(-3, 4, (700, 5)).astype(float), rng.integers(-3, 4, (9000, 5)).astype(float)
+    top = vectors.TopK(queries, 4)
+    top.add(docs, pa.table({"id": np.arange(700)}))
+    got = top.best()
+    want = np.round(1.0 - vectors.unit_rows(docs) @ vectors.unit_rows(queries).T, vectors.DISTANCE_DIGITS)
+    want = [i for q in range(9000) for i in np.lexsort((np.arange(700), want[:, q]))[:4]]
+    assert got.column("id").to_pylist() == want
