@@ -70,5 +70,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 17) -> Da
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """Write placed records to one folder per shard, in slot order within files."""
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write placed records to one folder per shard, in slot order within files.
+
+    A bucket is a run of the shuffled corpus, so its task writes its slices of the shards without another shuffle.
+    """
+    placed.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)

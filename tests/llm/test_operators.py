@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, exact_dedup, grammar, html_text, mixing, near_dedup, quality, sharding, url_filter
+from quire.llm import decontam, exact_dedup, grammar, html_text, mixing, near_dedup, quality, queries, sharding, url_filter
 from quire.llm.components import connected_components
 from quire.llm.queries import tokenizer_file
 from quire.llm.token_counts import count_tokens
@@ -488,3 +488,21 @@ def test_quality_on_labels_held_out(spark):
     counts = judged.groupBy("quality").agg(F.count_if(F.col("kept") == (F.col("quality") > 0)).alias("right"), F.count(F.lit(1)).alias("n"))
     found = {r["quality"]: (r["right"], r["n"]) for r in counts.collect()}
     assert len(found) == 2 and all(n > 20 and right >= 0.9 * n for right, n in found.values()), found
+
+
+def test_sharding_rows_are_read_off_the_written_shards(spark, folder, monkeypatch):
+    texts = [*strings(300), "", None, "", "ü" * 50]
+    documents(spark, texts).select("doc_id", "text", "lang").write.parquet(f"{folder}/documents.parquet")
+    written, write = [], queries.write_shards
+    monkeypatch.setattr(queries, "write_shards", lambda placed, path: written.append(path) or write(placed, path))
+    rows = {r["doc_id"]: r for r in queries.op10_sharding(spark, folder).collect()}
+    stored = {r["doc_id"]: r for r in spark.read.parquet(written[0]).collect()}
+    assert rows.keys() == stored.keys() == set(range(len(texts)))
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        assert stored[i]["text"] == text and stored[i]["lang"] == "en"
+        assert (rows[i]["shard"], rows[i]["slot"]) == (stored[i]["shard"], stored[i]["slot"])
+        assert (rows[i]["size"], rows[i]["text_crc32"], rows[i]["law"]) == (len(data) + 16, zlib.crc32(data), "rows")
+    slots = Counter(r["shard"] for r in rows.values())
+    assert len(slots) == 40 and max(slots.values()) - min(slots.values()) <= 1
+    assert {(r["shard"], r["slot"]) for r in rows.values()} == {(s, i) for s, n in slots.items() for i in range(n)}
