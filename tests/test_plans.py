@@ -151,7 +151,7 @@ def test_invoice_texts_are_not_shuffled(spark, sf_dir):
     try:
         for name, value in names.items():
             spark.conf.set(name, value)
-        gathered = documents.gather(**derived.document_run_inputs(spark, sf_dir))
+        gathered = documents.gather(**derived.document_run_inputs(spark, sf_dir, bucketed=True))
         assert "Exchange" not in plan(gathered) and gathered.count() > 0
         texts = [line for line in plan(derived.invoice_texts(spark, sf_dir)).splitlines() if "Exchange" in line]
         assert texts and not any("items" in line or "item#" in line for line in texts)
