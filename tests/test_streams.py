@@ -1,6 +1,7 @@
 """Streams equal their batch forms; late rows, repeated batches and restarts."""
 
 import datetime as dt
+import glob
 import time
 
 import pytest
@@ -218,6 +219,17 @@ def test_four_streams_equal_batch_with_an_answer_that_never_comes(spark, sf_dir,
     assert rows(again.where("doc_id >= 0")) == rows(want)
 
 
+def test_four_streams_keep_their_state_on_disk(spark, sf_dir):
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    done = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/quire/extracted-from-four-checkpoint-*"))
+    assert QUERIES["stream_extracted_from_four"](spark, sf_dir).count() > 0
+    (new,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/quire/extracted-from-four-checkpoint-*")) - done
+    with open(f"{new}/offsets/0", encoding="utf-8") as file:
+        assert "RocksDBStateStoreProvider" in file.read()
+    assert spark.conf.get(setting, None) == before
+
+
 @pytest.mark.parametrize("order", [[0, 1, 2, 3, 4], [1, 2, 4, 3, 0]])
 def test_keyed_drift_equals_batch_after_restarts_with_a_hot_type(spark, log, folder, order):
     hot = log.withColumn("document_type", F.when(F.col("run_id") % 10 < 8, "invoice").otherwise(F.col("document_type")))
