@@ -30,18 +30,6 @@ _SHARDS = "part int, number int, start_in_part long, n_ids long, doc_ids array<l
 _DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-class _Words(dict):
-    """Numbers words from 0 as they come; ``new`` collects those that are new."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
-
-
 class _Table:
     """Id sequences one after the other, by number."""
 
@@ -70,13 +58,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+_ALNUM = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+_PUNCTUATION = np.array([0x21 <= b < 0x7F and not _ALNUM[b] for b in range(256)])
+_LONGEST_TAIL = 16
+
+
+def _strings(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The ranges of UTF-8 bytes as an array of texts."""
+    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+    held = gather(data, starts, lengths, np.arange(len(lengths)))
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(held))
+
+
 class _Encoder:
     """Encodes texts with a byte-level tokenizer, each distinct blank-separated word once.
 
     Such a tokenizer starts a new pre-token at a single blank between two characters that are no white space,
-    so the words between such blanks are encoded alone, blank included; a closing mark is a pre-token of its
-    own, and a word of letters is one, which goes to the tokenizer's model as it is. Texts with other white
-    space next to a blank are encoded whole. These rules are tried out on the tokenizer first.
+    so the words between such blanks are encoded alone, blank included; the punctuation that ends a word after an ASCII
+    letter or digit, its tail, is a pre-token of its own, and a word of letters is one, which goes to the tokenizer's
+    model as it is. Texts with other white space next to a blank are encoded whole. These rules are tried out on the
+    tokenizer first; marks that its added tokens hold are in no tail.
     """
 
     def __init__(self, source: str):
@@ -88,7 +89,13 @@ class _Encoder:
             self._ids(a + " " + b) == self._ids(a) + self._ids(" " + b)
             for a, b in (("ab", "cd"), ("a.", "1b"), ("7", ".x"), ("é\nz", "ß"), ("it's", "'s"), ("a<|b", "|>c"))
         )
-        self.marks = {m: ids[0] for m in ",." if len(ids := self._ids(m)) == 1 and self._ids(" ab" + m) == self._ids(" ab") + ids}
+        self.tail_marks = _PUNCTUATION.copy()
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            self.tail_marks[list(token.content.encode())] = False
+        marks = [chr(b) for b in np.flatnonzero(self.tail_marks)]
+        tails = [*marks, *(m * 3 for m in marks), *(m + n for m, n in zip(marks, marks[1:], strict=False))]
+        if not all(self._ids(w + t) == self._ids(w) + self._ids(t) for w in (" ab", " a.7", " Z") for t in tails):
+            self.tail_marks[:] = False
         self.direct = self.tokenizer.normalizer is None and all(
             self._letters_only(w) == self._ids(" " + w) for w in ("the", "Blend", "été", "жук", "ßtz", "日本")
         )
@@ -102,64 +109,80 @@ class _Encoder:
         return [token.id for token in self.model.tokenize("\u0120" + written)]
 
     def _reset(self) -> None:
-        self.words, self.cores = _Words(), _Words()
-        self.word_ids, self.core_ids = _Table(), _Table()
-        self.core_alone = np.empty(0, bool)
-        self.alone = np.empty(0, bool)  # whether a word may be encoded without its neighbours
-
-    def _learn(self) -> None:
-        """Encode the words that came since the last call."""
-        new, self.words.new = self.words.new, []
-        core, tail = [], []
-        for word in new:
-            mark = self.marks.get(word[-1:], -1)
-            if mark >= 0 and len(word) > 1 and word[-2].isascii() and word[-2].isalnum():
-                core.append(self.cores[word[:-1]])
-                tail.append(mark)
-            else:
-                core.append(self.cores[word])
-                tail.append(-1)
-        new, self.cores.new = self.cores.new, []
+        """Forget all words; entry 0 of the table is the empty one."""
+        self.words: dict[str, int] = {}
+        self.tails: dict[str, int] = {"": 0}
+        self.table = _Table()
+        self.table.add(np.empty(0, np.int32), np.zeros(1, np.int64))
+        self.alone = np.zeros(1, bool)  # whether a word may be encoded without its neighbours
+
+    def _learn(self, entries: dict[str, int], texts: list[str], found: list[list[int]], alone: list[bool]) -> None:
+        first = len(self.table.lengths)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.table.add(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum())), lengths)
+        self.alone = np.r_[self.alone, np.array(alone, bool)]
+        entries.update(zip(texts, range(first, first + len(texts)), strict=True))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Encode those of the words that are new, each behind a blank."""
+        new = [w for w in words if w not in self.words]
         found = [self._letters_only(w) if self.direct and w.isalpha() else None for w in new]
         others = [i for i, ids in enumerate(found) if ids is None]
         encoded = self.tokenizer.encode_batch([" " + new[i] for i in others], add_special_tokens=False)
         for i, one in zip(others, encoded, strict=True):
             found[i] = one.ids
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.core_ids.add(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum())), lengths)
-        self.core_alone = np.r_[self.core_alone, [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in new]].astype(bool)
-
-        core, tail = np.array(core, np.int64), np.array(tail, np.int32)
-        marked = tail >= 0
-        lengths = self.core_ids.lengths[core] + marked
-        ids = np.empty(int(lengths.sum()), np.int32)
-        ends = np.cumsum(lengths)
-        at_mark = np.zeros(len(ids), bool)
-        at_mark[ends[marked] - 1] = True
-        ids[at_mark] = tail[marked]
-        ids[~at_mark] = self.core_ids.of(core)
-        self.word_ids.add(ids, lengths)
-        self.alone = np.r_[self.alone, self.core_alone[core]]
+        self._learn(self.words, new, found, [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in new])
+
+    def _entries(self, words: pa.Array) -> np.ndarray:
+        """The two entries of each word in the table: the word without its tail, and the tail."""
+        _, offsets, data = words.cast(pa.string()).buffers()
+        offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+        starts, lengths = offsets[:-1], np.diff(offsets)
+        marks = np.zeros(len(words), np.int64)
+        some = np.flatnonzero(lengths > 1)
+        for n in range(_LONGEST_TAIL):
+            some = some[lengths[some] > n + 1]  # a word is no tail alone
+            some = some[self.tail_marks[data[starts[some] + lengths[some] - n - 1]]]
+            marks[some] = n + 1
+        after = np.flatnonzero(marks)
+        marks[after] *= _ALNUM[data[starts[after] + lengths[after] - marks[after] - 1]]
+        pairs = np.empty((len(words), 2), np.int64)
+        tails = _strings(data, starts + lengths - marks, marks).dictionary_encode()
+        texts = tails.dictionary.to_pylist()
+        new = [t for t in texts if t not in self.tails]
+        self._learn(self.tails, new, [self._ids(t) for t in new], [True] * len(new))
+        cores = _strings(data, starts, lengths - marks).dictionary_encode()
+        names = cores.dictionary.to_pylist()
+        self._learn_words(names)
+        for i, (coded, known, of) in enumerate(((cores, self.words, names), (tails, self.tails, texts))):
+            numbers = np.fromiter(map(known.__getitem__, of), np.int64, len(of))
+            pairs[:, i] = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        return pairs
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
+        if len(texts) == 0:
+            return []
         if len(self.words) > CACHE_WORDS:
             self._reset()
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()  # every text has a first word, if an empty one
-        words = coded.dictionary.to_pylist()
-        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if self.words.new:
-            self._learn()
-        entries = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        pairs = self._entries(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
         bounds = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
-        firsts = [words[i] for i in coded.indices.take(pa.array(bounds[:-1])).to_pylist()]
+        firsts = coded.dictionary.take(coded.indices.take(pa.array(bounds[:-1]))).to_pylist()
         heads = self.tokenizer.encode_batch(firsts, add_special_tokens=False)
+        joined = ~self.alone[pairs[:, 0]]
+        # a first word has no blank before it
+        joined[bounds[:-1]] = False
+        pairs[bounds[:-1]] = 0
+        whole = np.add.reduceat(joined, bounds[:-1], dtype=np.int64) > 0
+        ids = self.table.of(pairs.ravel())
+        ends = np.r_[0, np.cumsum(self.table.lengths[pairs].sum(axis=1))][bounds]
         encoded = []
         for i, (first, head) in enumerate(zip(firsts, heads, strict=True)):
-            rest = entries[bounds[i] + 1 : bounds[i + 1]]
-            if first and not first[-1].isspace() and self.split and self.alone[rest].all():
-                encoded.append(np.r_[np.array(head.ids, np.int32), self.word_ids.of(rest)])
+            if first and not first[-1].isspace() and self.split and not whole[i]:
+                encoded.append(np.concatenate((np.array(head.ids, np.int32), ids[ends[i] : ends[i + 1]])))
             else:
                 encoded.append(np.array(self._ids(texts[i].as_py()), np.int32))
         return encoded
@@ -175,6 +198,7 @@ def _write(batches: Iterator[pa.RecordBatch], source, end_id: int, shard_ids: in
     encoder = _encoder(source)
     first_new = max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     part, number, before = task_number(), 0, 0
+    end = np.array([end_id], np.int32)
     held: list[np.ndarray] = []
     doc_ids: list[int | None] = []
     size = 0
@@ -192,7 +216,7 @@ def _write(batches: Iterator[pa.RecordBatch], source, end_id: int, shard_ids: in
             some = batch.slice(at, SLICE_ROWS)
             for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
                 doc_ids.append(doc_id)
-                held.append(np.r_[ids, np.int32(end_id)])
+                held.append(np.concatenate((ids, end)))
                 size += len(ids) + 1
                 if size >= shard_ids:
                     yield finish()

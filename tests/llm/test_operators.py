@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from quire.llm import decontam, exact_dedup, grammar, html_text, mixing, near_de
 from quire.llm.components import connected_components
 from quire.llm.queries import tokenizer_file
 from quire.llm.token_counts import count_tokens
-from quire.llm.token_files import read_token_shards, write_token_shards
+from quire.llm.token_files import _Encoder, read_token_shards, write_token_shards
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -506,3 +507,13 @@ def test_sharding_rows_are_read_off_the_written_shards(spark, folder, monkeypatc
     slots = Counter(r["shard"] for r in rows.values())
     assert len(slots) == 40 and max(slots.values()) - min(slots.values()) <= 1
     assert {(r["shard"], r["slot"]) for r in rows.values()} == {(s, i) for s, n in slots.items() for i in range(n)}
+
+
+def test_op4_words_are_learned_without_the_punctuation_that_ends_them():
+    with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encoder = _Encoder(file.read())
+    pieces = ["word", "Other7", "été", "жук", "&&&", "!!", ".", ",", "'s", "\n", "\t", " ", "  ", "<|endoftext|>", "|>", "*" * 30]
+    texts = [f"a {one}{two} {three}{one}" for one in pieces for two in pieces for three in pieces] + ["", " "]
+    assert [ids.tolist() for ids in encoder.encode(pa.array(texts))] == [encoder._ids(t) for t in texts]
+    assert {"word", "Other7"} <= set(encoder.words) and not {"word&&&", "Other7!!", "word."} & set(encoder.words)
+    assert encoder.encode(pa.array([], pa.string())) == []
