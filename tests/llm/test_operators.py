@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, exact_dedup, grammar, html_text, mixing, near_dedup, quality, queries, sharding, url_filter
+from quire.llm import components, decontam, exact_dedup, grammar, html_text, mixing, near_dedup, quality, queries, sharding, url_filter
 from quire.llm.components import connected_components
 from quire.llm.queries import tokenizer_file
 from quire.llm.token_counts import count_tokens
@@ -309,6 +309,28 @@ def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch, n):
     assert len({r["component_id"] for r in got}) < n / 2
 
 
+def test_near_duplicates_end_their_rounds_early(spark, monkeypatch):
+    """Every written step costs each run a few Spark jobs, whatever its size."""
+    written = []
+    for module in (near_dedup, components):
+        fixed = module.fixed
+        monkeypatch.setattr(module, "fixed", lambda df, purpose, fixed=fixed: written.append(purpose) or fixed(df, purpose))
+    stars = spark.createDataFrame([(1, 2), (1, 3), (5, 9)], "src long, dst long")
+    assert {(r["node"], r["component"]) for r in connected_components(stars).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (9, 5)}
+    assert written == ["edges"]
+    written.clear()
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(120):
+        words = list(BASE) * 2
+        for place in rng.integers(0, len(words), rng.integers(0, 4)):
+            words[place] = f"v{rng.integers(0, 30)}"
+        texts.append(" ".join(words))
+    got = near_dedup.near_duplicates(documents(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(texts, 5, 80)
+    assert len(written) <= 20, written
+
+
 def test_near_duplicate_stage_keeps_rows_as_they_are(spark):
     docs = documents(spark, [" ".join(BASE), " ".join(BASE[:-1]), None, "", "x y z"])
     docs = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
