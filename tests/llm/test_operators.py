@@ -309,6 +309,29 @@ def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch, n):
     assert len({r["component_id"] for r in got}) < n / 2
 
 
+def test_no_round_builds_all_pairs_of_a_large_group(spark, monkeypatch):
+    """Pairs are few when they are built, not only when their sets are compared."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(200)]
+    n, texts = 600, []
+    for _ in range(n):
+        copy = list(words)
+        for place in rng.integers(0, 200, int(rng.integers(0, 9))):
+            copy[place] = f"v{rng.integers(10**6)}"
+        texts.append(" ".join(copy))
+    built = []
+    open_pairs = near_dedup._open_pairs
+
+    def counted(*args):
+        built.append(open_pairs(*args).count())
+        return open_pairs(*args)
+
+    monkeypatch.setattr(near_dedup, "_open_pairs", counted)
+    got = near_dedup.near_duplicates(documents(spark, texts)).collect()
+    assert sum(built) < 5 * n, built
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(texts, 5, 80)
+
+
 def test_near_duplicates_end_their_rounds_early(spark, monkeypatch):
     """Every written step costs each run a few Spark jobs, whatever its size."""
     written = []
