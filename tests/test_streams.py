@@ -230,6 +230,17 @@ def test_four_streams_keep_their_state_on_disk(spark, sf_dir):
     assert spark.conf.get(setting, None) == before
 
 
+def test_four_streams_store_their_rows_once(spark, sf_dir):
+    """No copy of each stream beside the invoices they are derived from, and no log of changes beside the state's files."""
+    shared = f"{spark.conf.get('spark.checkpoint.dir')}/quire"
+    done = set(glob.glob(f"{shared}/*"))
+    assert QUERIES["stream_extracted_from_four"](spark, sf_dir).count() > 0
+    new = set(glob.glob(f"{shared}/*")) - done
+    assert sorted(path.split("/")[-1].rsplit("-", 1)[0] for path in new) == ["extracted-from-four", "extracted-from-four-checkpoint", "invoices"]
+    (checkpoint,) = [path for path in new if "checkpoint" in path]
+    assert glob.glob(f"{checkpoint}/state/*/*/*.zip") and not glob.glob(f"{checkpoint}/state/*/*/*.changelog")
+
+
 @pytest.mark.parametrize("order", [[0, 1, 2, 3, 4], [1, 2, 4, 3, 0]])
 def test_keyed_drift_equals_batch_after_restarts_with_a_hot_type(spark, log, folder, order):
     hot = log.withColumn("document_type", F.when(F.col("run_id") % 10 < 8, "invoice").otherwise(F.col("document_type")))
